@@ -36,3 +36,59 @@ def _on_tables(name: str, op):
 _on_tables("team_rankings", rankings.team_rankings)
 _on_tables("team_rankings_pct", rankings.team_rankings_pct)
 _on_tables("ranking_explain", rankings.ranking_explain)
+
+# --- listings, catalog, finance, feed, orders, inventory ----------------------
+from coffer.operators import catalog, directory, feed, finance, inventory, orders  # noqa: E402
+
+for _name, _op in {
+    "scan_products": directory.scan_products,
+    "user_ledger": directory.user_ledger,
+    "table_counts": directory.table_counts,
+    "user_directory": directory.user_directory,
+    "team_leaders": directory.team_leaders,
+    "team_directory": directory.team_directory,
+    "team_list": directory.team_list,
+    "team_members": directory.team_members,
+    "users_by_role": directory.users_by_role,
+    "ledger_type_counts": directory.ledger_type_counts,
+    "deletable_users": directory.deletable_users,
+    "code_listing": directory.code_listing,
+    "available_codes": directory.available_codes,
+    "store_catalog": catalog.store_catalog,
+    "catalog_categories": catalog.catalog_categories,
+    "donatable_products": catalog.donatable_products,
+    "stock_status": catalog.stock_status,
+    "test_ledger_rows": catalog.test_ledger_rows,
+    "team_finance": finance.team_finance,
+    "team_member_stats": finance.team_member_stats,
+    "recomputed_balances": finance.recomputed_balances,
+    "balance_audit": finance.balance_audit,
+    "activity_feed": feed.activity_feed,
+    "ledger_detail": feed.ledger_detail,
+    "ledger_sample": feed.ledger_sample,
+    "admin_orders": orders.admin_orders,
+    "order_board_summary": orders.order_board_summary,
+    "user_orders": orders.user_orders,
+    "team_purchases": orders.team_purchases,
+    "team_purchase_summary": orders.team_purchase_summary,
+    "received_donations": orders.received_donations,
+    "team_inventory": inventory.team_inventory,
+    "inventory_summary": inventory.inventory_summary,
+    "inventory_history": inventory.inventory_history,
+}.items():
+    _on_tables(_name, _op)
+
+
+@register("lookup_user")
+def _lookup_user(spark, sf_dir):
+    return directory.lookup_user(tables(spark, sf_dir), fixtures.redemption_requests(spark, sf_dir))
+
+
+@register("donation_targets")
+def _donation_targets(spark, sf_dir):
+    return catalog.donation_target_check(tables(spark, sf_dir), fixtures.store_requests(spark, sf_dir))
+
+
+@register("affordable_quantity")
+def _affordable_quantity(spark, sf_dir):
+    return catalog.affordable_quantity(tables(spark, sf_dir), fixtures.store_requests(spark, sf_dir))
