@@ -116,14 +116,3 @@ def double_redemptions(t: Tables) -> DataFrame:
         F.count_distinct("user_id").cast("bigint").alias("users"),
         F.sum("amount").cast("bigint").alias("total_amount"))
     return g.filter(F.col("redemptions") > 1)
-
-
-def damaged_users(users: DataFrame) -> DataFrame:
-    """Users with rule-breaking rows mixed in, so that the checks have something to find."""
-    i = F.col("id")
-    return users.select(
-        "id",
-        F.when(i % 90 == 6, F.lit("dup")).otherwise(F.col("username")).alias("username"),
-        F.when(i % 50 == 3, F.lit("x")).otherwise(F.col("role")).alias("role"),
-        F.when(i % 60 == 4, F.lit(999).cast("bigint")).otherwise(F.col("team_id")).alias("team_id"),
-        "balance", "created_at")

@@ -17,7 +17,8 @@ from coffer.functions import scalars as fx
 from coffer.schemas import FEED_SIZE_PERSONAL, FEED_SIZE_TEAM, LEDGER_SAMPLE_SIZE
 from coffer.sources.tables import Tables
 
-NEWEST = (F.desc("created_at"), F.desc("id"))
+def _newest():
+    return (F.desc("created_at"), F.desc("id"))
 
 
 def _ledger_with_users(t: Tables) -> DataFrame:
@@ -26,7 +27,7 @@ def _ledger_with_users(t: Tables) -> DataFrame:
 
 
 def _top(df: DataFrame, key: str, k: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*NEWEST)
+    w = Window.partitionBy(key).orderBy(*_newest())
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -64,7 +65,7 @@ def ledger_detail(t: Tables) -> DataFrame:
     tm = t.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
     j = t.transactions.join(u, t.transactions.user_id == u.uid).join(tm, "team_id")
     return j.select("team_name", "team_id", "user_id", "username", "id", "type", "amount", "description",
-                    "created_at").orderBy(F.asc("team_name"), *NEWEST)
+                    "created_at").orderBy(F.asc("team_name"), *_newest())
 
 
 def ledger_sample(t: Tables) -> DataFrame:

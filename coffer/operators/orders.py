@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from coffer.schemas import RECEIVED_DONATIONS_SHOWN
 from coffer.sources.tables import Tables
 
-TYPE_RANK = F.when(F.col("type") == "purchase", 0).otherwise(1)
+def _type_rank():
+    return F.when(F.col("type") == "purchase", 0).otherwise(1)
 
 
 def _purchases(t: Tables) -> DataFrame:
@@ -41,7 +42,7 @@ def _donation_rows(t: Tables) -> DataFrame:
 
 def admin_orders(t: Tables) -> DataFrame:
     merged = _purchases(t).unionByName(_donation_rows(t), allowMissingColumns=True)
-    return merged.orderBy(F.desc("created_at"), TYPE_RANK, F.desc("id"))
+    return merged.orderBy(F.desc("created_at"), _type_rank(), F.desc("id"))
 
 
 def order_board_summary(t: Tables) -> DataFrame:

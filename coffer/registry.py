@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coffer.operators import rankings
 from coffer.sources import fixtures
@@ -92,3 +93,173 @@ def _donation_targets(spark, sf_dir):
 @register("affordable_quantity")
 def _affordable_quantity(spark, sf_dir):
     return catalog.affordable_quantity(tables(spark, sf_dir), fixtures.store_requests(spark, sf_dir))
+
+
+# --- checks -------------------------------------------------------------------
+from coffer.operators import checks  # noqa: E402
+from coffer.plans import admit, edits, leaders, redeem, stock  # noqa: E402
+from coffer.plans import inventory as inventory_job  # noqa: E402
+
+
+def _damaged(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return t.with_(users=fixtures.damaged_users(t.users))
+
+
+for _name, _op in {"check_not_null": checks.check_not_null, "check_domain": checks.check_domain,
+                   "check_unique": checks.check_unique, "check_foreign_keys": checks.check_foreign_keys}.items():
+    QUERIES[_name] = (lambda op: lambda spark, sf_dir: op(_damaged(spark, sf_dir)))(_op)
+_on_tables("leader_status", checks.leader_status)
+_on_tables("duplicate_leaders", checks.duplicate_leaders)
+_on_tables("double_redemptions", checks.double_redemptions)
+
+
+@register("guard_product_requests")
+def _guard(spark, sf_dir):
+    return checks.guard_product_requests(fixtures.product_create_requests(tables(spark, sf_dir).products))
+
+
+# --- set-based jobs -------------------------------------------------------------
+@register("inventory_state")
+def _inventory_state(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return inventory_job.materialise(inventory_job.inventory_events(t.orders, t.donations))
+
+
+INVENTORY_CUTOFF = "1995-01-01 00:00:00"
+
+
+@register("inventory_upsert")
+def _inventory_upsert(spark, sf_dir):
+    """Inventory built in two steps: events before a cut-off, then an upsert of the rest."""
+    t = tables(spark, sf_dir)
+    ev = inventory_job.inventory_events(t.orders, t.donations)
+    cut = F.lit(INVENTORY_CUTOFF).cast("timestamp_ntz")
+    prior = inventory_job.materialise(ev.filter(F.col("created_at") < cut))
+    return inventory_job.upsert(prior, ev.filter(F.col("created_at") >= cut))
+
+
+@register("sync_leaders")
+def _sync_leaders(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return leaders.sync_leaders(t.users, t.teams)
+
+
+@register("assign_leaders")
+def _assign_leaders(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return leaders.assign_leaders(t.users, t.teams, fixtures.leader_requests(spark, sf_dir, t.users))["teams"]
+
+
+@register("assign_leaders_roles")
+def _assign_leaders_roles(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    new = leaders.assign_leaders(t.users, t.teams, fixtures.leader_requests(spark, sf_dir, t.users))["users"]
+    return new.select("id", "role", "team_id")
+
+
+@register("insert_if_absent")
+def _insert_if_absent(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return edits.insert_if_absent(t.teams, fixtures.team_candidates(spark, sf_dir))
+
+
+@register("apply_product_edits")
+def _apply_product_edits(spark, sf_dir):
+    return edits.apply_product_edits(tables(spark, sf_dir).products, fixtures.product_edits(spark, sf_dir))
+
+
+@register("verify_orders")
+def _verify_orders(spark, sf_dir):
+    return edits.verify_orders(tables(spark, sf_dir).orders, fixtures.verify_requests(spark, sf_dir))
+
+
+@register("balance_changes")
+def _balance_changes(spark, sf_dir):
+    u = tables(spark, sf_dir).users
+    return edits.balance_changes(u, fixtures.new_user_snapshot(u))
+
+
+@register("sample_ledger")
+def _sample_ledger(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return edits.sample_ledger(t.users, t.teams)
+
+
+@register("generated_codes")
+def _generated_codes(spark, sf_dir):
+    return edits.generated_codes(fixtures.code_generation_requests(tables(spark, sf_dir).money_codes))
+
+
+@register("reset_users")
+def _reset_users(spark, sf_dir):
+    return edits.reset_users(tables(spark, sf_dir).users)
+
+
+@register("reset_teams")
+def _reset_teams(spark, sf_dir):
+    return edits.reset_teams(tables(spark, sf_dir).teams)
+
+
+@register("delete_products")
+def _delete_products(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return edits.delete_products(t.products, fixtures.delete_requests(t.products), t.orders, t.donations,
+                                 t.team_inventory)["results"]
+
+
+# --- redemption -------------------------------------------------------------------
+def _redeem(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return redeem.redeem_codes(t.users, t.money_codes, fixtures.redemption_requests(spark, sf_dir))
+
+
+QUERIES["redeem_codes"] = lambda spark, sf_dir: _redeem(spark, sf_dir)["results"]
+QUERIES["redeem_ledger"] = lambda spark, sf_dir: _redeem(spark, sf_dir)["ledger"]
+QUERIES["redeem_code_state"] = lambda spark, sf_dir: _redeem(spark, sf_dir)["money_codes"]
+QUERIES["redeem_balances"] = lambda spark, sf_dir: _redeem(spark, sf_dir)["users"].select("id", "balance")
+
+
+# --- admission and posting (iterative; checked against a sequential model in tests) --
+def run_admission(spark, sf_dir, role_guard=True):
+    t = tables(spark, sf_dir)
+    return t, admit.admit(t.users, t.products, t.teams, fixtures.store_requests(spark, sf_dir), role_guard=role_guard)
+
+
+QUERIES["admit_orders"] = lambda spark, sf_dir: run_admission(spark, sf_dir)[1].results
+QUERIES["admit_orders_open"] = lambda spark, sf_dir: run_admission(spark, sf_dir, role_guard=False)[1].results
+
+
+@register("posted_orders")
+def _posted_orders(spark, sf_dir):
+    return admit.posted_orders(run_admission(spark, sf_dir, role_guard=False)[1].accepted)
+
+
+@register("posted_donations")
+def _posted_donations(spark, sf_dir):
+    t, a = run_admission(spark, sf_dir, role_guard=False)
+    return admit.posted_donations(a.accepted, t.users)
+
+
+@register("posted_ledger")
+def _posted_ledger(spark, sf_dir):
+    t, a = run_admission(spark, sf_dir, role_guard=False)
+    return admit.posted_ledger(a.accepted, t.users, t.teams)
+
+
+@register("stock_after")
+def _stock_after(spark, sf_dir):
+    t, a = run_admission(spark, sf_dir, role_guard=False)
+    return admit.stock_after(t.products, a.accepted)
+
+
+@register("stock_adjust")
+def _stock_adjust(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return stock.adjust_stock(t.products, fixtures.stock_adjustments(spark, sf_dir)).results
+
+
+@register("stock_adjust_products")
+def _stock_adjust_products(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return stock.adjust_stock(t.products, fixtures.stock_adjustments(spark, sf_dir)).products

@@ -250,3 +250,44 @@ def product_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_user_snapshot(users_df: DataFrame) -> DataFrame:
     return users_df.withColumn("balance", F.col("balance") + ((F.col("id") % 3) - 1) * 50)
+
+
+def damaged_users(users_df: DataFrame) -> DataFrame:
+    """Users with rule-breaking rows mixed in (bad role, unknown team, repeated name) for the checks."""
+    i = F.col("id")
+    return users_df.select(
+        "id",
+        F.when(i % 90 == 6, F.lit("dup")).otherwise(F.col("username")).alias("username"),
+        F.when(i % 50 == 3, F.lit("x")).otherwise(F.col("role")).alias("role"),
+        F.when(i % 60 == 4, F.lit(999).cast("bigint")).otherwise(F.col("team_id")).alias("team_id"),
+        "balance", "created_at")
+
+
+def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order verifications: every store line whose line status is 'F' (fulfilled)."""
+    li = _t(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "F")
+    return li.select(_line_id().alias("order_id"))
+
+
+def code_generation_requests(money_codes_df: DataFrame) -> DataFrame:
+    """One replacement code per used code, of the same amount, asked for when it was used."""
+    used = money_codes_df.filter(F.col("used_by").isNotNull())
+    return used.select(F.col("id").alias("request_id"), "amount", F.lit(1).alias("quantity"),
+                       F.col("used_at").alias("requested_at"))
+
+
+def team_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Team names to insert if absent: every nation and every region name."""
+    n = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    r = _t(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    return n.unionByName(r)
+
+
+def product_create_requests(products_df: DataFrame) -> DataFrame:
+    """Every product row read as a create request (name, price, stock)."""
+    return products_df.select("id", "name", "price", "stock_quantity")
+
+
+def delete_requests(products_df: DataFrame) -> DataFrame:
+    """Deletion of every inactive product."""
+    return products_df.filter(~F.col("is_active")).select(F.col("id").alias("product_id"))

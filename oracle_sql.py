@@ -352,3 +352,208 @@ SELECT r.request_id, r.user_id, r.product_id, u.balance, p.price, p.stock_quanti
             AS BIGINT) AS max_quantity,
        u.balance >= p.price AS can_afford
 FROM store_requests r JOIN users u ON u.id = r.user_id JOIN products p ON p.id = r.product_id""")
+
+# --- checks (on users with damaged rows mixed in) --------------------------------
+DAMAGED = """
+, dusers AS (
+  SELECT id, CASE WHEN id % 90 = 6 THEN 'dup' ELSE username END AS username,
+         CASE WHEN id % 50 = 3 THEN 'x' ELSE role END AS role,
+         CASE WHEN id % 60 = 4 THEN CAST(999 AS BIGINT) ELSE team_id END AS team_id, balance, created_at
+  FROM users)
+"""
+_REQUIRED = [("users", "dusers", ["username", "role"]), ("teams", "teams", ["name"]),
+             ("products", "products", ["name", "price"]),
+             ("orders", "shop_orders", ["user_id", "team_id", "product_id", "total_price"]),
+             ("transactions", "transactions", ["user_id", "type", "amount"]),
+             ("money_codes", "money_codes", ["code", "amount"]),
+             ("team_inventory", "team_inventory", ["team_id", "product_id", "quantity", "obtained_from"]),
+             ("donations", "donations", ["donor_id", "donor_team_id", "recipient_team_id", "product_id", "amount",
+                                         "quantity"])]
+ORACLE["check_not_null"] = _q(DAMAGED + " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
+    f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM {src}"
+    for name, src, cols in _REQUIRED for c in cols))
+_DOMAIN = [("users", "dusers", "role", "'admin', 'team_leader', 'participant'"),
+           ("orders", "shop_orders", "status", "'pending', 'verified', 'cancelled'"),
+           ("transactions", "transactions", "type",
+            "'earn', 'purchase', 'donation_sent', 'donation_received', 'admin_adjustment'"),
+           ("team_inventory", "team_inventory", "obtained_from", "'purchase', 'donation'")]
+ORACLE["check_domain"] = _q(DAMAGED + " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
+    f"CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) AS BIGINT) AS bad_count FROM {src}"
+    for name, src, c, vals in _DOMAIN))
+ORACLE["check_unique"] = _q(DAMAGED + """
+SELECT 'users' AS table_name, 'username' AS key_columns, username AS key_value, CAST(count(*) AS BIGINT) AS dup_count
+FROM dusers GROUP BY username HAVING count(*) > 1
+UNION ALL
+SELECT 'teams', 'name', name, count(*) FROM teams GROUP BY name HAVING count(*) > 1
+UNION ALL
+SELECT 'money_codes', 'code', code, count(*) FROM money_codes GROUP BY code HAVING count(*) > 1
+UNION ALL
+SELECT 'team_inventory', 'team_id,product_id',
+       COALESCE(CAST(team_id AS VARCHAR), 'NULL') || '|' || COALESCE(CAST(product_id AS VARCHAR), 'NULL'), count(*)
+FROM team_inventory GROUP BY team_id, product_id HAVING count(*) > 1""")
+_FK = [("users", "dusers", "team_id", "teams", "teams"), ("teams", "teams", "leader_id", "users", "dusers"),
+       ("orders", "shop_orders", "user_id", "users", "dusers"), ("orders", "shop_orders", "team_id", "teams", "teams"),
+       ("orders", "shop_orders", "product_id", "products", "products"),
+       ("transactions", "transactions", "user_id", "users", "dusers"),
+       ("money_codes", "money_codes", "used_by", "users", "dusers"),
+       ("team_inventory", "team_inventory", "team_id", "teams", "teams"),
+       ("team_inventory", "team_inventory", "product_id", "products", "products"),
+       ("donations", "donations", "donor_id", "users", "dusers"),
+       ("donations", "donations", "recipient_id", "users", "dusers"),
+       ("donations", "donations", "donor_team_id", "teams", "teams"),
+       ("donations", "donations", "recipient_team_id", "teams", "teams"),
+       ("donations", "donations", "product_id", "products", "products")]
+ORACLE["check_foreign_keys"] = _q(DAMAGED + " UNION ALL ".join(
+    f"SELECT '{child}' AS child_table, '{c}' AS column_name, '{parent}' AS parent_table, "
+    f"CAST(count(*) AS BIGINT) AS orphan_count FROM {csrc} x "
+    f"WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {psrc} p WHERE p.id = x.{c})"
+    for child, csrc, c, parent, psrc in _FK))
+ORACLE["leader_status"] = _q("""
+SELECT t.id AS team_id, t.name AS team_name, t.leader_id, u.username AS leader_name, u.role AS leader_role,
+       CASE WHEN t.leader_id IS NULL THEN '❌ No Leader'
+            WHEN u.role != 'team_leader' THEN '⚠️ Leader role mismatch'
+            ELSE '✅ OK' END AS status
+FROM teams t LEFT JOIN users u ON t.leader_id = u.id""")
+ORACLE["duplicate_leaders"] = _q("""
+SELECT team_id, CAST(COUNT(*) AS BIGINT) AS leader_count, STRING_AGG(username, ', ' ORDER BY username) AS leaders
+FROM users WHERE role = 'team_leader' GROUP BY team_id HAVING COUNT(*) > 1""")
+ORACLE["double_redemptions"] = _q("""
+SELECT code, CAST(count(*) AS BIGINT) AS redemptions, CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+       CAST(sum(amount) AS BIGINT) AS total_amount
+FROM (SELECT regexp_extract(description, '^Redeemed code: (.+)$', 1) AS code, user_id, amount
+      FROM transactions WHERE type = 'earn')
+WHERE code <> '' GROUP BY code HAVING count(*) > 1""")
+ORACLE["guard_product_requests"] = _q("""
+SELECT id, name, price, stock_quantity, reject_reason, reject_reason IS NULL AS accepted
+FROM (SELECT id, name, price, stock_quantity,
+             CASE WHEN name IS NULL OR trim(name) = '' THEN 'name_required'
+                  WHEN price IS NULL OR price <= 0 THEN 'price_not_positive'
+                  WHEN stock_quantity IS NULL OR stock_quantity < 0 THEN 'stock_negative_or_missing' END
+               AS reject_reason
+      FROM products)""")
+
+# --- set-based jobs -----------------------------------------------------------------
+ORACLE["inventory_state"] = _q("SELECT * FROM team_inventory")
+ORACLE["inventory_upsert"] = ORACLE["inventory_state"]
+ORACLE["sync_leaders"] = _q("""
+, synced AS (
+  SELECT t.id AS team_id, t.name AS team_name,
+         CASE WHEN EXISTS (SELECT 1 FROM users u2 WHERE u2.team_id = t.id AND u2.role = 'team_leader')
+              THEN (SELECT min(u.id) FROM users u WHERE u.team_id = t.id AND u.role = 'team_leader')
+              ELSE t.leader_id END AS leader_id
+  FROM teams t)
+SELECT s.team_id, s.team_name, s.leader_id, u.username AS leader_name
+FROM synced s LEFT JOIN users u ON s.leader_id = u.id""")
+LEADER_FOLD = """
+, lr AS (SELECT *, row_number() OVER (ORDER BY requested_at, request_id) AS seq
+         FROM leader_requests WHERE team_id IS NOT NULL AND leader_id IS NOT NULL),
+team_last AS (SELECT team_id, max(seq) AS last_seq, arg_max(leader_id, seq) AS new_leader FROM lr GROUP BY team_id),
+named AS (SELECT leader_id AS uid, max(seq) AS named_last, min(seq) AS named_first FROM lr GROUP BY leader_id)
+"""
+ORACLE["assign_leaders"] = _q(LEADER_FOLD + """
+, cands AS (
+  SELECT t.*, tl.last_seq, CASE WHEN tl.last_seq IS NOT NULL THEN tl.new_leader ELSE t.leader_id END AS cand
+  FROM teams t LEFT JOIN team_last tl ON tl.team_id = t.id),
+judged AS (
+  SELECT c.*,
+         CASE WHEN c.last_seq IS NOT NULL THEN c.last_seq
+              WHEN cu.role = 'team_leader' THEN 0
+              ELSE n.named_first END AS since,
+         cu.team_id AS cand_team
+  FROM cands c LEFT JOIN users cu ON cu.id = c.cand LEFT JOIN named n ON n.uid = c.cand)
+SELECT id, name,
+       CASE WHEN since IS NOT NULL AND EXISTS (SELECT 1 FROM lr WHERE lr.team_id = judged.cand_team AND lr.seq > since)
+            THEN NULL ELSE cand END AS leader_id,
+       created_at
+FROM judged""")
+ORACLE["assign_leaders_roles"] = _q(LEADER_FOLD + """
+SELECT u.id,
+       CASE WHEN n.named_last IS NOT NULL AND (tl.last_seq IS NULL OR n.named_last >= tl.last_seq) THEN 'team_leader'
+            WHEN tl.last_seq IS NOT NULL AND (n.named_last IS NOT NULL OR u.role = 'team_leader') THEN 'participant'
+            ELSE u.role END AS role,
+       u.team_id
+FROM users u LEFT JOIN named n ON n.uid = u.id LEFT JOIN team_last tl ON tl.team_id = u.team_id""")
+ORACLE["insert_if_absent"] = _q("""
+, cand AS (SELECT DISTINCT name FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region)),
+fresh AS (SELECT name FROM cand WHERE name NOT IN (SELECT name FROM teams))
+SELECT id, name, false AS inserted FROM teams
+UNION ALL
+SELECT CAST((SELECT max(id) FROM teams) + row_number() OVER (ORDER BY name) AS BIGINT), name, true FROM fresh""")
+ORACLE["apply_product_edits"] = _q("""
+SELECT p.id, p.name, p.description, COALESCE(e.price, p.price) AS price, p.category,
+       COALESCE(e.stock_quantity, p.stock_quantity) AS stock_quantity, p.initial_stock, p.is_active, p.created_at
+FROM products p LEFT JOIN product_edits e ON e.id = p.id""")
+ORACLE["verify_orders"] = _q("""
+, vr AS (SELECT DISTINCT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
+                CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)) AS order_id
+         FROM lineitem WHERE l_linestatus = 'F')
+SELECT o.id, o.user_id, o.team_id, o.product_id, o.quantity, o.total_price,
+       CASE WHEN vr.order_id IS NOT NULL THEN 'verified' ELSE o.status END AS status,
+       (vr.order_id IS NOT NULL OR o.verified) AS verified, o.created_at
+FROM shop_orders o LEFT JOIN vr ON vr.order_id = o.id""")
+ORACLE["balance_changes"] = _q("""
+SELECT o.id AS user_id, 'admin_adjustment' AS type, n.balance - o.balance AS amount,
+       CASE WHEN n.balance - o.balance > 0 THEN 'Admin added $' || CAST(n.balance - o.balance AS VARCHAR) || ' to balance'
+            ELSE 'Admin removed $' || CAST(abs(n.balance - o.balance) AS VARCHAR) || ' from balance' END
+         AS description,
+       o.balance AS old_balance, n.balance AS new_balance
+FROM users o JOIN new_users n ON n.id = o.id WHERE n.balance <> o.balance""")
+ORACLE["sample_ledger"] = _q("""
+, lt AS (SELECT t.id AS team_id, t.name AS team_name, u.id AS user_id
+         FROM teams t JOIN users u ON t.leader_id = u.id WHERE u.role = 'team_leader')
+SELECT team_id, user_id, 'earn' AS type, CAST(100000 * team_id AS BIGINT) AS amount,
+       'Test money code for ' || team_name AS description FROM lt
+UNION ALL
+SELECT team_id, user_id, 'donation_sent', CAST(-(100000 * team_id * 0.1) AS BIGINT),
+       'Test donation from ' || team_name || ' to other teams' FROM lt WHERE team_id <= 4
+UNION ALL
+SELECT team_id, user_id, 'purchase', CAST(-(100000 * team_id * 0.05) AS BIGINT),
+       'Test purchase by ' || team_name FROM lt WHERE team_id % 2 = 1""")
+ORACLE["reset_users"] = _q("""
+SELECT id, username, role, team_id, CAST(0 AS BIGINT) AS balance, created_at FROM users WHERE role = 'admin'""")
+ORACLE["reset_teams"] = _q("""
+SELECT id, CASE id WHEN 1 THEN 'A그룹' WHEN 2 THEN 'B그룹' WHEN 3 THEN 'C그룹' WHEN 4 THEN 'D그룹'
+                   WHEN 5 THEN 'E그룹' WHEN 6 THEN 'Z그룹' ELSE name END AS name,
+       CAST(NULL AS BIGINT) AS leader_id, created_at
+FROM teams""")
+ORACLE["delete_products"] = _q("""
+, refd AS (SELECT p.id,
+                  EXISTS (SELECT 1 FROM shop_orders o WHERE o.product_id = p.id)
+                  OR EXISTS (SELECT 1 FROM donations d WHERE d.product_id = p.id)
+                  OR EXISTS (SELECT 1 FROM team_inventory i WHERE i.product_id = p.id) AS referenced
+           FROM products p WHERE NOT p.is_active)
+SELECT id AS product_id, NOT referenced AS deleted, CASE WHEN referenced THEN 'referenced' END AS reason FROM refd""")
+
+REDEEM = """
+, rq AS (
+  SELECT r.*, (r.code IS NOT NULL AND r.code <> '') AS given,
+         COALESCE(u.role IN ('team_leader', 'admin'), false) AS role_ok
+  FROM redemption_requests r LEFT JOIN users u ON u.id = r.user_id),
+elig AS (SELECT request_id, row_number() OVER (PARTITION BY code ORDER BY requested_at, request_id) AS rn
+         FROM rq WHERE given AND role_ok),
+res AS (
+  SELECT rq.*, COALESCE(e.rn = 1 AND mc.id IS NOT NULL, false) AS accepted, mc.id AS mc_id, mc.amount AS mc_amount
+  FROM rq LEFT JOIN elig e ON e.request_id = rq.request_id
+          LEFT JOIN money_codes mc ON mc.code = rq.code AND mc.used_by IS NULL)
+"""
+ORACLE["redeem_codes"] = _q(REDEEM + """
+SELECT request_id, user_id, code, requested_at, accepted,
+       CASE WHEN NOT given THEN 'code_required' WHEN NOT role_ok THEN 'forbidden'
+            WHEN NOT accepted THEN 'invalid_or_used' END AS reason,
+       CASE WHEN accepted THEN mc_amount END AS amount, CASE WHEN accepted THEN mc_id END AS code_id
+FROM res""")
+ORACLE["redeem_ledger"] = _q(REDEEM + """
+SELECT request_id AS id, user_id, 'earn' AS type, CAST(mc_amount AS BIGINT) AS amount,
+       'Redeemed code: ' || code AS description, CAST(NULL AS BIGINT) AS reference_id, requested_at AS created_at
+FROM res WHERE accepted""")
+ORACLE["redeem_code_state"] = _q(REDEEM + """
+SELECT mc.id, mc.code, mc.amount, COALESCE(mc.used_by, w.user_id) AS used_by,
+       COALESCE(mc.used_at, w.requested_at) AS used_at, mc.created_at
+FROM money_codes mc LEFT JOIN (SELECT * FROM res WHERE accepted) w ON w.mc_id = mc.id""")
+ORACLE["redeem_balances"] = _q(REDEEM + """
+SELECT u.id, CAST(u.balance + COALESCE((SELECT sum(mc_amount) FROM res WHERE accepted AND res.user_id = u.id), 0)
+                  AS BIGINT) AS balance
+FROM users u""")
