@@ -263,3 +263,25 @@ def _stock_adjust(spark, sf_dir):
 def _stock_adjust_products(spark, sf_dir):
     t = tables(spark, sf_dir)
     return stock.adjust_stock(t.products, fixtures.stock_adjustments(spark, sf_dir)).products
+
+
+# --- streams (end state must equal the batch twin) -------------------------------
+from coffer.streaming import jobs as streams  # noqa: E402
+
+
+@register("stream_team_totals")
+def _stream_team_totals(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return streams.run_team_totals(spark, t.transactions, t.users, t.teams)
+
+
+@register("stream_redeem")
+def _stream_redeem(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return streams.run_redeem(spark, fixtures.redemption_requests(spark, sf_dir), t.users, t.money_codes)
+
+
+@register("stream_stock")
+def _stream_stock(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return streams.run_stock(spark, fixtures.stock_adjustments(spark, sf_dir), t.products)

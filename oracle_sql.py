@@ -557,3 +557,8 @@ ORACLE["redeem_balances"] = _q(REDEEM + """
 SELECT u.id, CAST(u.balance + COALESCE((SELECT sum(mc_amount) FROM res WHERE accepted AND res.user_id = u.id), 0)
                   AS BIGINT) AS balance
 FROM users u""")
+
+# --- streams: their end tables equal the batch twins --------------------------------
+ORACLE["stream_team_totals"] = _q(RANKING_BASE + """
+SELECT id, team_name, member_count, total_earned, total_spent, total_donated, current_balance FROM scored""")
+ORACLE["stream_redeem"] = ORACLE["redeem_codes"]
