@@ -285,3 +285,30 @@ def _stream_redeem(spark, sf_dir):
 def _stream_stock(spark, sf_dir):
     t = tables(spark, sf_dir)
     return streams.run_stock(spark, fixtures.stock_adjustments(spark, sf_dir), t.products)
+
+
+# --- file sources and sinks (inputs written from the test tables first) ------------
+from coffer.session import scratch_path  # noqa: E402
+from coffer.sources import files  # noqa: E402
+
+
+@register("src_products_csv")
+def _src_products_csv(spark, sf_dir):
+    path = scratch_path(spark, "products-csv")
+    files.write_products_csv(tables(spark, sf_dir).products, path)
+    return files.read_products_csv(spark, path)
+
+
+@register("src_users_csv")
+def _src_users_csv(spark, sf_dir):
+    path = scratch_path(spark, "users-csv")
+    files.write_users_csv(tables(spark, sf_dir).users, path)
+    return files.read_users_csv(spark, path)
+
+
+@register("sink_json")
+def _sink_json(spark, sf_dir):
+    df = catalog.store_catalog(tables(spark, sf_dir))
+    path = scratch_path(spark, "catalog-json")
+    files.write_json(df, path)
+    return files.read_json(spark, path, df.schema)

@@ -562,3 +562,11 @@ FROM users u""")
 ORACLE["stream_team_totals"] = _q(RANKING_BASE + """
 SELECT id, team_name, member_count, total_earned, total_spent, total_donated, current_balance FROM scored""")
 ORACLE["stream_redeem"] = ORACLE["redeem_codes"]
+
+# --- file sources and sinks: a round trip keeps the rows ------------------------------
+ORACLE["src_products_csv"] = _q("""
+SELECT name, COALESCE(description, '') AS description, price, COALESCE(NULLIF(category, ''), 'item') AS category,
+       stock_quantity, initial_stock, is_active
+FROM products""")
+ORACLE["src_users_csv"] = _q("SELECT username, role, team_id, balance FROM users")
+ORACLE["sink_json"] = ORACLE["store_catalog"]
