@@ -9,6 +9,9 @@ chunks. The running sum then has two levels:
 * inside a (key, chunk) group: a window over rows of one chunk only;
 * across chunks: per-(key, chunk) totals (a partial aggregate), and a window
   over those totals per key (one row per chunk, so at most n rows a key).
+
+When the whole input is within one task's row budget (``ROWS_PER_TASK``), no
+key can outgrow a task, and a plain per-key window (one shuffle) is used.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ("requested_at", "request_id")
+# Rows one task can sort and scan for a single key without spilling much (narrow rows).
+ROWS_PER_TASK = 4_000_000
 
 
 def add_chunk(df: DataFrame, key: str, name: str, partitions: int, order=ORDER) -> DataFrame:
@@ -29,8 +34,15 @@ def add_chunk(df: DataFrame, key: str, name: str, partitions: int, order=ORDER)
 
 
 def exclusive_running_sums(df: DataFrame, key: str, chunk: str, values: dict[str, Column],
-                           order=ORDER) -> DataFrame:
-    """Add, per named value, the sum over earlier rows of the same key (0 for the first)."""
+                           order=ORDER, rows: int | None = None) -> DataFrame:
+    """Add, per named value, the sum over earlier rows of the same key (0 for the first).
+
+    ``rows`` is the known size of ``df``; at or below ``ROWS_PER_TASK`` one
+    window per key is enough, otherwise the chunked two-level form is used.
+    """
+    if rows is not None and rows <= ROWS_PER_TASK:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint") for n, v in values.items()})
     w_in = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = df.withColumns({f"_{n}_in": F.coalesce(F.sum(v).over(w_in), F.lit(0)) for n, v in values.items()})
     totals = df.groupBy(key, chunk).agg(*[F.sum(v).alias(f"_{n}_tot") for n, v in values.items()])

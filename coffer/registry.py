@@ -25,8 +25,15 @@ def register(name: str):
     return deco
 
 
+_TABLES: dict[tuple[str, str], object] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str):
-    return fixtures.load_tables(spark, sf_dir)
+    """The mapped logical tables, built once per session and folder (plans are immutable)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = fixtures.load_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def _on_tables(name: str, op):

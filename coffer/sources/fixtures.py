@@ -29,8 +29,15 @@ EVENT_TO_LEDGER_TYPE = {
 ORDER_STATUS_OF = {"F": "verified", "O": "pending", "P": "cancelled"}
 
 
+_SCANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table, read once per session (the read resolves its schema eagerly)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _SCANS[key]
 
 
 def _after_base(unit: str, amount: str) -> Column:

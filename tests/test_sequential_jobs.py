@@ -118,3 +118,52 @@ def test_stock_stream_equals_batch(spark):
     cols = ["request_id", "accepted", "reason", "stock_before", "stock_after"]
     key = lambda r: r["request_id"]
     assert sorted(rows(batch.select(cols)), key=key) == sorted(rows(stream.select(cols)), key=key)
+
+
+@pytest.fixture
+def chunked(monkeypatch):
+    """Force the two-level, range-chunked running sums (the path taken above a task's row budget)."""
+    import coffer.plans.admit as admit_mod
+    import coffer.plans.running as running_mod
+    import coffer.plans.stock as stock_mod
+
+    for mod in (admit_mod, running_mod, stock_mod):
+        monkeypatch.setattr(mod, "ROWS_PER_TASK", 0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_admission_chunked_path(spark, chunked, seed):
+    t, req = _random_store(spark, seed)
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=False, partitions=4)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=False)
+
+
+def test_admission_chunked_hot_user_and_product(spark, chunked):
+    """One user and one product carry most of the log: they are split over several chunks."""
+    users = [(1, "hot", "team_leader", 1, 400, ts(0)), (2, "b", "team_leader", 2, 50, ts(0))]
+    teams = [(1, "t1", None, ts(0)), (2, "t2", None, ts(0))]
+    prods = [(1, "p1", None, 3, "c", 90, 90, True, ts(0)), (2, "p2", None, 1, "c", 5, 5, True, ts(0))]
+    rnd = random.Random(7)
+    reqs = [(f"r{k:04d}", 1 if rnd.random() < 0.8 else 2, "purchase", None, 1 if rnd.random() < 0.8 else 2,
+             rnd.choice([1, 2, 3]), "", ts(k)) for k in range(300)]
+    t = make_tables(spark, users=users, teams=teams, products=prods)
+    req = spark.createDataFrame(reqs, STORE_REQ)
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=True, partitions=6)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stock_fold_chunked_path(spark, chunked, seed):
+    rnd = random.Random(100 + seed)
+    prods = [(i, f"p{i}", None, 5, "c", rnd.choice([0, 2, 7]), 5, True, ts(0)) for i in range(1, 3)]
+    reqs = [(k, 1 if rnd.random() < 0.8 else 2, rnd.choice(["set", "adjust", "adjust", "adjust"]),
+             rnd.choice([-6, -3, -1, 0, 2, 4]), ts(k)) for k in range(120)]
+    t = make_tables(spark, products=prods)
+    req = spark.createDataFrame(reqs, STOCK_REQ)
+    run = stock.adjust_stock(t.products, req, partitions=5)
+    state, want = sequential.stock_fold(rows(t.products), rows(req))
+    assert {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(run.results)} == want
+    assert {r["id"]: (r["stock_quantity"], r["is_active"]) for r in rows(run.products)} == {
+        k: (v["stock"], v["active"]) for k, v in state.items()}
