@@ -163,3 +163,15 @@ def delete_products(products: DataFrame, requests: DataFrame, orders: DataFrame,
     gone = results.filter("deleted").select(F.col("product_id").alias("pid"))
     remaining = products.join(gone, products.id == gone.pid, "left_anti")
     return {"results": results, "products": remaining}
+
+
+def delete_users(users: DataFrame, transactions: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
+    """Delete requested users unless they are admins or have ledger rows (anti joins, no id list)."""
+    req = requests.select(F.col("user_id").alias("rid")).distinct()
+    has_rows = transactions.select(F.col("user_id").alias("rid")).distinct()
+    known = users.select(F.col("id").alias("rid"), "role")
+    checked = req.join(known, "rid").join(has_rows.withColumn("has_rows", F.lit(True)), "rid", "left")
+    reason = F.when(F.col("role") == "admin", "admin").when(F.col("has_rows").isNotNull(), "has_transactions")
+    results = checked.select(F.col("rid").alias("user_id"), reason.isNull().alias("deleted"), reason.alias("reason"))
+    gone = results.filter("deleted").select(F.col("user_id").alias("gid"))
+    return {"results": results, "users": users.join(gone, users.id == gone.gid, "left_anti")}

@@ -319,3 +319,16 @@ def _sink_json(spark, sf_dir):
     path = scratch_path(spark, "catalog-json")
     files.write_json(df, path)
     return files.read_json(spark, path, df.schema)
+
+
+@register("users_after_delete")
+def _users_after_delete(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return edits.delete_users(t.users, t.transactions, fixtures.user_delete_requests(t.users))["users"]
+
+
+@register("inventory_after_posting")
+def _inventory_after_posting(spark, sf_dir):
+    t, a = run_admission(spark, sf_dir, role_guard=False)
+    return admit.inventory_after(t.team_inventory, admit.posted_orders(a.accepted),
+                                 admit.posted_donations(a.accepted, t.users))

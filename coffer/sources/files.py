@@ -54,3 +54,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Append new rows (ledger, orders, donations) to a table folder; earlier files stay as they are."""
+    df.write.mode("append").parquet(path)

@@ -298,3 +298,8 @@ def product_create_requests(products_df: DataFrame) -> DataFrame:
 def delete_requests(products_df: DataFrame) -> DataFrame:
     """Deletion of every inactive product."""
     return products_df.filter(~F.col("is_active")).select(F.col("id").alias("product_id"))
+
+
+def user_delete_requests(users_df: DataFrame) -> DataFrame:
+    """A bulk delete request for every user (the guard decides who may go)."""
+    return users_df.select(F.col("id").alias("user_id"))

@@ -570,3 +570,6 @@ SELECT name, COALESCE(description, '') AS description, price, COALESCE(NULLIF(ca
 FROM products""")
 ORACLE["src_users_csv"] = _q("SELECT username, role, team_id, balance FROM users")
 ORACLE["sink_json"] = ORACLE["store_catalog"]
+ORACLE["users_after_delete"] = _q("""
+SELECT * FROM users u
+WHERE u.role = 'admin' OR EXISTS (SELECT 1 FROM transactions tr WHERE tr.user_id = u.id)""")

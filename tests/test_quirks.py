@@ -57,3 +57,31 @@ def test_p2_catalog_drops_inactive_and_defaults_stock(spark):
     t = make_tables(spark, products=prods)
     got = rows(catalog.store_catalog(t))
     assert [(r["id"], r["stock_quantity"], r["stock_status"]) for r in got] == [(1, 0, "sold_out")]
+
+
+def test_d10_toggle_latest_request_wins(spark):
+    from pyspark.sql import types as T
+
+    from coffer.plans import edits
+
+    prods = [(1, "x", None, 5, "A", 3, 3, True, ts(0)), (2, "y", None, 5, "A", 3, 3, False, ts(0))]
+    t = make_tables(spark, products=prods)
+    schema = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("product_id", T.LongType()),
+                           T.StructField("is_active", T.BooleanType()),
+                           T.StructField("requested_at", T.TimestampNTZType())])
+    req = spark.createDataFrame([(1, 1, False, ts(1)), (2, 1, True, ts(2)), (3, 2, True, ts(1))], schema)
+    got = {r["id"]: r["is_active"] for r in rows(edits.toggle_products(t.products, req))}
+    assert got == {1: True, 2: True}
+
+
+def test_q13_set_zero_keeps_flag_and_edit_keeps_stock(spark):
+    from pyspark.sql import types as T
+
+    from coffer.plans import edits
+
+    prods = [(1, "x", None, 5, "A", 3, 3, True, ts(0))]
+    t = make_tables(spark, products=prods)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("price", T.LongType()),
+                           T.StructField("stock_quantity", T.LongType())])
+    edited = rows(edits.apply_product_edits(t.products, spark.createDataFrame([(1, 9, None)], schema)))[0]
+    assert edited["price"] == 9 and edited["stock_quantity"] == 3 and edited["is_active"] is True
