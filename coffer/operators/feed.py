@@ -17,6 +17,7 @@ from coffer.functions import scalars as fx
 from coffer.schemas import FEED_SIZE_PERSONAL, FEED_SIZE_TEAM, LEDGER_SAMPLE_SIZE
 from coffer.sources.tables import Tables
 
+
 def _newest():
     return (F.desc("created_at"), F.desc("id"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from coffer.schemas import RECEIVED_DONATIONS_SHOWN
 from coffer.sources.tables import Tables
 
+
 def _type_rank():
     return F.when(F.col("type") == "purchase", 0).otherwise(1)
 

@@ -14,7 +14,7 @@ redemptions, the 'earn' ledger rows, and users with credited balances.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ledger text of a redemption and the roles allowed to redeem.
@@ -22,7 +22,11 @@ REDEEM_TEXT = "Redeemed code: "
 REDEEM_ROLES = ("team_leader", "admin")
 
 
-def redeem_codes(users: DataFrame, codes: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
+def redeem_codes(users: DataFrame, codes: DataFrame, requests: DataFrame,
+                 processed_at: Column | None = None) -> dict[str, DataFrame]:
+    """``processed_at`` stamps used_at and the ledger rows (the handler's "now"); it defaults to the
+    request time, so a rerun of the same log gives the same tables."""
+    stamp = processed_at if processed_at is not None else F.col("requested_at")
     u = users.select(F.col("id").alias("uid"), "role")
     r = requests.join(u, requests.user_id == u.uid, "left").withColumn(
         "k", F.struct("requested_at", "request_id"))
@@ -36,19 +40,21 @@ def redeem_codes(users: DataFrame, codes: DataFrame, requests: DataFrame) -> dic
     accepted = F.col("eligible") & F.col("code_id").isNotNull() & (F.col("k") == F.col("first_k"))
     reason = (F.when(~given, "code_required").when(~role_ok, "forbidden")
               .when(~F.coalesce(accepted, F.lit(False)), "invalid_or_used"))
+    j = j.withColumn("stamp", stamp)
     results = j.select(
         "request_id", "user_id", "code", "requested_at",
         F.coalesce(accepted, F.lit(False)).alias("accepted"), reason.alias("reason"),
-        F.when(accepted, F.col("code_amount")).alias("amount"), F.when(accepted, F.col("code_id")).alias("code_id"))
+        F.when(accepted, F.col("code_amount")).alias("amount"), F.when(accepted, F.col("code_id")).alias("code_id"),
+        "stamp")
 
     won = results.filter("accepted")
     ledger = won.select(
         F.col("request_id").alias("id"), "user_id", F.lit("earn").alias("type"), F.col("amount").cast("bigint"),
         F.concat(F.lit(REDEEM_TEXT), F.col("code")).alias("description"),
-        F.lit(None).cast("bigint").alias("reference_id"), F.col("requested_at").alias("created_at"))
+        F.lit(None).cast("bigint").alias("reference_id"), F.col("stamp").alias("created_at"))
 
     taken = won.select(F.col("code_id").alias("tid"), F.col("user_id").alias("new_by"),
-                       F.col("requested_at").alias("new_at"))
+                       F.col("stamp").alias("new_at"))
     cj = codes.join(taken, codes.id == taken.tid, "left")
     new_codes = cj.select(*[
         F.coalesce(F.col("used_by"), F.col("new_by")).alias("used_by") if c == "used_by" else
@@ -60,4 +66,4 @@ def redeem_codes(users: DataFrame, codes: DataFrame, requests: DataFrame) -> dic
     new_users = uj.select(*[
         (F.col("balance") + F.coalesce(F.col("credit"), F.lit(0))).cast("bigint").alias("balance")
         if c == "balance" else users[c] for c in users.columns])
-    return {"results": results, "money_codes": new_codes, "ledger": ledger, "users": new_users}
+    return {"results": results.drop("stamp"), "money_codes": new_codes, "ledger": ledger, "users": new_users}
