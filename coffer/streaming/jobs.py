@@ -8,16 +8,19 @@
 * ST3 stock level and active flag: adjustments keyed by product through
   ``applyInPandasWithState``; the state is (exists, stock, active).
 
-Requests are assumed to arrive in order: every request of a micro-batch is
-later than those of earlier micro-batches; inside a micro-batch each group is
-sorted by (requested_at, request_id). ``maxFilesPerTrigger`` bounds what one
-group receives per micro-batch. Sinks are ``foreachBatch`` writes to parquet
-under the shared checkpoint folder, keyed by batch id so a replayed batch
-overwrites its own output (exactly-once results).
+Requests of one key are assumed to arrive in order (as from a log partitioned
+by key): a micro-batch holds no request of a key earlier than those of earlier
+micro-batches; inside a micro-batch each group is sorted by (requested_at,
+request_id). The source's ``maxFilesPerTrigger`` (or a Kafka source's
+``maxOffsetsPerTrigger``) bounds what one group receives per micro-batch.
+Sinks are ``foreachBatch`` writes to parquet under the shared checkpoint
+folder, keyed by batch id so a replayed batch overwrites its own output
+(exactly-once results).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,28 +35,42 @@ from coffer.session import scratch_path
 # --- plumbing ---------------------------------------------------------------------
 
 
-def write_ordered_source(df: DataFrame, path: str, time_col: str, pieces: int) -> None:
-    """Lay a log down as ``pieces`` files in time order (one file per time slice), for a file stream."""
+def _slices(df: DataFrame, time_col: str, pieces: int) -> list[DataFrame]:
+    """Cut a log into ``pieces`` consecutive time ranges (one small aggregate for the bounds)."""
     bounds = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
     if bounds.lo is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return
-    lo, hi = F.lit(bounds.lo).cast("timestamp_ntz"), F.lit(bounds.hi).cast("timestamp_ntz")
-    span = F.unix_micros(F.to_timestamp(hi)) - F.unix_micros(F.to_timestamp(lo)) + 1
-    pos = F.unix_micros(F.to_timestamp(F.col(time_col))) - F.unix_micros(F.to_timestamp(lo))
-    sliced = df.withColumn("_slice", F.floor(pos * pieces / span).cast("int"))
-    import time
-
-    for i in range(pieces):
-        part = sliced.filter(F.col("_slice") == i).drop("_slice")
-        part.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)  # distinct modification times keep the file source in slice order
-
-
-def _run(stream: DataFrame, sink, checkpoint: str, output_mode: str = "append") -> None:
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+        return [df]
+    micros = F.unix_micros(F.to_timestamp(F.col(time_col)))
+    lo = int(bounds.lo.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    hi = int(bounds.hi.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    span = hi - lo + 1
+    piece = F.floor((micros - F.lit(lo)) * pieces / F.lit(span)).cast("int")
+    return [df.filter(piece == i) for i in range(pieces)]
+
+
+def run_in_slices(spark: SparkSession, log: DataFrame, time_col: str, pieces: int, name: str,
+                  start_query) -> str:
+    """Feed ``log`` to a file-source stream slice by slice, in time order, and return the output folder.
+
+    Each slice is appended to the source folder (with its own parallelism), then
+    the query is started with ``availableNow`` and runs until it has consumed
+    exactly the new files. Every start restores the operator state from the
+    checkpoint, as after a restart of a long-running query; this also stands in
+    for a log source (e.g. Kafka partitioned by key) that delivers each key's
+    requests in order.
+    """
+    src, out, ck = (scratch_path(spark, f"{name}-{n}") for n in ("src", "out", "ck"))
+    log.limit(0).write.parquet(src)  # the folder exists (and has a schema) before the first start
+    for part in _slices(log, time_col, pieces):
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(log.schema).parquet(src)
+        start_query(stream, out, ck).awaitTermination()
+    return out
+
+
+def _start(stream: DataFrame, sink, checkpoint: str, output_mode: str = "append"):
+    return (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def _batch_writer(path: str, mode: str = "append"):
@@ -81,10 +98,8 @@ def team_totals_stream(ledger: DataFrame, users: DataFrame) -> DataFrame:
 def run_team_totals(spark: SparkSession, ledger: DataFrame, users: DataFrame, teams: DataFrame,
                     pieces: int = 4) -> DataFrame:
     """Stream the ledger through ST1 and return the final per-team totals (batch twin: A1 sums)."""
-    src, out, ck = (scratch_path(spark, n) for n in ("st1-src", "st1-out", "st1-ck"))
-    write_ordered_source(ledger, src, "created_at", pieces)
-    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    _run(team_totals_stream(stream, users), _batch_writer(out, "overwrite"), ck, "complete")
+    out = run_in_slices(spark, ledger, "created_at", pieces, "st1", lambda stream, out, ck: _start(
+        team_totals_stream(stream, users), _batch_writer(out, "overwrite"), ck, "complete"))
     totals = spark.read.parquet(out)
     counts = users.filter(F.col("team_id").isNotNull()).groupBy(F.col("team_id").alias("ct")).agg(
         F.count(F.lit(1)).alias("member_count"))
@@ -146,10 +161,8 @@ def redeem_stream(requests: DataFrame, users: DataFrame, codes: DataFrame) -> Da
 
 def run_redeem(spark: SparkSession, requests: DataFrame, users: DataFrame, codes: DataFrame,
                pieces: int = 4) -> DataFrame:
-    src, out, ck = (scratch_path(spark, n) for n in ("st2-src", "st2-out", "st2-ck"))
-    write_ordered_source(requests, src, "requested_at", pieces)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    _run(redeem_stream(stream, users, codes), _batch_writer(out), ck)
+    out = run_in_slices(spark, requests, "requested_at", pieces, "st2", lambda stream, out, ck: _start(
+        redeem_stream(stream, users, codes), _batch_writer(out), ck))
     return spark.read.parquet(out).drop("_batch")
 
 
@@ -223,8 +236,6 @@ def stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def run_stock(spark: SparkSession, requests: DataFrame, products: DataFrame, pieces: int = 4) -> DataFrame:
-    src, out, ck = (scratch_path(spark, n) for n in ("st3-src", "st3-out", "st3-ck"))
-    write_ordered_source(requests, src, "requested_at", pieces)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    _run(stock_stream(stream, products), _batch_writer(out), ck)
+    out = run_in_slices(spark, requests, "requested_at", pieces, "st3", lambda stream, out, ck: _start(
+        stock_stream(stream, products), _batch_writer(out), ck))
     return spark.read.parquet(out).drop("_batch")
