@@ -40,6 +40,18 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _SCANS[key]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Spread a fact scan that yields fewer splits than the session has cores.
+
+    A single-row-group file is read by one task however many cores there are;
+    a round-robin repartition of such a (necessarily small) input lets the
+    joins above it use every core. Inputs with at least one split per core,
+    as every large table has, are left as they are (no extra shuffle).
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _after_base(unit: str, amount: str) -> Column:
     return F.expr(f"timestampadd({unit}, {amount}, {BASE_TS})")
 
@@ -95,7 +107,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
+    e = _spread(_t(spark, sf_dir, "events"))
     eid = F.col("event_id")
     v = F.floor(F.col("value") * 10).cast("bigint")
     typ = _case(F.col("event_type"), EVENT_TO_LEDGER_TYPE)
@@ -126,7 +138,7 @@ def _line_id() -> Column:
 
 def _store_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ orders, one row per line with the composite text id."""
-    li = _t(spark, sf_dir, "lineitem")
+    li = _spread(_t(spark, sf_dir, "lineitem"))
     od = _t(spark, sf_dir, "orders")
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
         _line_id().alias("id"),
