@@ -332,3 +332,13 @@ def _inventory_after_posting(spark, sf_dir):
     t, a = run_admission(spark, sf_dir, role_guard=False)
     return admit.inventory_after(t.team_inventory, admit.posted_orders(a.accepted),
                                  admit.posted_donations(a.accepted, t.users))
+
+
+@register("admit_with_redemptions")
+def _admit_with_redemptions(spark, sf_dir):
+    """Redemptions (D3) first, then purchases and donations with those credits interleaved in time."""
+    t = tables(spark, sf_dir)
+    won = redeem.redeem_codes(t.users, t.money_codes, fixtures.redemption_requests(spark, sf_dir))["results"]
+    credits = won.filter("accepted").select(F.col("request_id").alias("credit_id"), "user_id", "amount",
+                                            F.col("requested_at").alias("credited_at"))
+    return admit.admit(t.users, t.products, t.teams, fixtures.store_requests(spark, sf_dir), credits=credits).results

@@ -15,15 +15,24 @@ def _null(v) -> bool:
     return v is None or (isinstance(v, float) and math.isnan(v))
 
 
-def admission(users, products, teams, requests, role_guard=True):
-    """users/products/teams/requests: lists of dicts. Returns {request_id: (accepted, reason)}."""
+def admission(users, products, teams, requests, role_guard=True, credits=()):
+    """users/products/teams/requests: lists of dicts. Returns {request_id: (accepted, reason)}.
+
+    ``credits`` (credit_id, user_id, amount, credited_at) top balances up in order; at equal
+    times a credit comes before a request."""
     ud = {u["id"]: u for u in users}
     bal = {u["id"]: u["balance"] for u in users}
     prods = {p["id"]: {"price": p["price"], "stock": 0 if _null(p["stock_quantity"]) else p["stock_quantity"],
                        "active": bool(p["is_active"]) if not _null(p["is_active"]) else False} for p in products}
     team_ids = {t["id"] for t in teams}
     out = {}
-    for r in sorted(requests, key=lambda r: (r["requested_at"], r["request_id"])):
+    events = [((c["credited_at"], 0, str(c["credit_id"])), "credit", c) for c in credits]
+    events += [((r["requested_at"], 1, str(r["request_id"])), "request", r) for r in requests]
+    for _, what, r in sorted(events, key=lambda e: e[0]):
+        if what == "credit":
+            if r["user_id"] in bal:
+                bal[r["user_id"]] += r["amount"]
+            continue
         rid, u = r["request_id"], ud.get(r["user_id"])
         donate = r["kind"] == "donate"
         q = r["quantity"]

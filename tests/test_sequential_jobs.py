@@ -167,3 +167,45 @@ def test_stock_fold_chunked_path(spark, chunked, seed):
     assert {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(run.results)} == want
     assert {r["id"]: (r["stock_quantity"], r["is_active"]) for r in rows(run.products)} == {
         k: (v["stock"], v["active"]) for k, v in state.items()}
+
+
+CREDIT = T.StructType([T.StructField("credit_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                       T.StructField("amount", T.LongType()), T.StructField("credited_at", T.TimestampNTZType())])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_admission_with_interleaved_credits(spark, seed):
+    t, req = _random_store(spark, seed)
+    rnd = random.Random(50 + seed)
+    cr = spark.createDataFrame([(k, rnd.randint(1, 6), rnd.choice([5, 10, 40]), ts(rnd.randint(0, 20)))
+                                for k in range(15)], CREDIT)
+    a = admit.admit(t.users, t.products, t.teams, req, credits=cr, role_guard=False, partitions=3)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    want = sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=False,
+                                credits=rows(cr))
+    assert got == want
+
+
+def test_admission_with_credits_chunked(spark, chunked):
+    t, req = _random_store(spark, 11)
+    rnd = random.Random(61)
+    cr = spark.createDataFrame([(k, rnd.randint(1, 6), rnd.choice([5, 10, 40]), ts(rnd.randint(0, 20)))
+                                for k in range(15)], CREDIT)
+    a = admit.admit(t.users, t.products, t.teams, req, credits=cr, role_guard=False, partitions=3)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req),
+                                       role_guard=False, credits=rows(cr))
+
+
+def test_admission_with_redemption_credits_on_store_log(spark):
+    from coffer.plans import redeem
+
+    t = fixtures.load_tables(spark, SF_SMALL)
+    won = redeem.redeem_codes(t.users, t.money_codes, fixtures.redemption_requests(spark, SF_SMALL))["results"]
+    cr = won.filter("accepted").selectExpr("request_id AS credit_id", "user_id", "amount",
+                                           "requested_at AS credited_at")
+    req = fixtures.store_requests(spark, SF_SMALL)
+    a = admit.admit(t.users, t.products, t.teams, req, credits=cr)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req),
+                                       credits=rows(cr))
