@@ -3,16 +3,21 @@
 * ST1 live team totals: the ledger stream joined to the (static) users, grouped
   per team with partial aggregation; complete mode, one row of state per team.
 * ST2 first redemption wins: requests keyed by code through
-  ``applyInPandasWithState``; the state of a code is whether it is taken (a
-  code never expires, so there is no timeout).
+  ``applyInPandasWithState``; the state of a code is whether it is taken.
 * ST3 stock level and active flag: adjustments keyed by product through
   ``applyInPandasWithState``; the state is (exists, stock, active).
 
-Requests of one key are assumed to arrive in order (as from a log partitioned
-by key): a micro-batch holds no request of a key earlier than those of earlier
-micro-batches; inside a micro-batch each group is sorted by (requested_at,
-request_id). The source's ``maxFilesPerTrigger`` (or a Kafka source's
-``maxOffsetsPerTrigger``) bounds what one group receives per micro-batch.
+Order: requests may arrive out of order by up to ``ORDER_DELAY``. The stream
+carries an event-time watermark; each group keeps arriving requests in its
+state and releases them, sorted by (requested_at, request_id), once the
+watermark has passed them; an event-time timeout wakes a group whose pending
+requests the watermark passes while no new data arrives for it. A request
+behind the watermark is dropped by Spark before the stateful operator; the
+runner counts such drops from the query progress and fails rather than
+return an incomplete result. (A request at the watermark's exact edge that
+falls behind what its key already released is answered ``late``.) The source's ``maxFilesPerTrigger`` (or a
+Kafka source's ``maxOffsetsPerTrigger``) bounds what one group receives per
+micro-batch.
 Sinks are ``foreachBatch`` writes to parquet under the shared checkpoint
 folder, keyed by batch id so a replayed batch overwrites its own output
 (exactly-once results).
@@ -21,6 +26,7 @@ folder, keyed by batch id so a replayed batch overwrites its own output
 from __future__ import annotations
 
 import datetime as dt
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,7 +55,7 @@ def _slices(df: DataFrame, time_col: str, pieces: int) -> list[DataFrame]:
 
 
 def run_in_slices(spark: SparkSession, log: DataFrame, time_col: str, pieces: int, name: str,
-                  start_query) -> str:
+                  start_query, heartbeat: DataFrame | None = None) -> str:
     """Feed ``log`` to a file-source stream slice by slice, in time order, and return the output folder.
 
     Each slice is appended to the source folder (with its own parallelism), then
@@ -61,13 +67,40 @@ def run_in_slices(spark: SparkSession, log: DataFrame, time_col: str, pieces: in
     """
     src, out, ck = (scratch_path(spark, f"{name}-{n}") for n in ("src", "out", "ck"))
     log.limit(0).write.parquet(src)  # the folder exists (and has a schema) before the first start
-    for part in _slices(log, time_col, pieces):
+    parts = _slices(log, time_col, pieces)
+    if heartbeat is not None:
+        parts.append(heartbeat)
+    dropped = 0
+    for part in parts:
         part.write.mode("append").parquet(src)
-        stream = spark.readStream.schema(log.schema).parquet(src)
-        start_query(stream, out, ck).awaitTermination()
+        dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
+    if heartbeat is not None:  # one more start with no new data lets the last timeouts fire
+        dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
+    if dropped:
+        raise RuntimeError(f"{dropped} requests arrived later than the watermark delay and were dropped; "
+                           "the result would not be whole")
     return out
 
 
+def run_to_end(query) -> int:
+    """Wait for an ``availableNow`` query; return how many input rows its watermark dropped as late."""
+    query.awaitTermination()
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for p in query.recentProgress for op in p.get("stateOperators", []))
+
+
+def heartbeat_row(log: DataFrame, time_col: str, delay_seconds: int, **values) -> DataFrame:
+    """One marker row later than the whole log by more than the delay, to move the watermark past it."""
+    hi = log.agg(F.max(time_col).alias("hi"))
+    cols = []
+    for f in log.schema.fields:
+        if f.name == time_col:
+            cols.append(F.expr(f"timestampadd(SECOND, {delay_seconds + 1}, hi)").alias(f.name))
+        else:
+            cols.append(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name))
+    return hi.select(*cols)
+
+
 def _start(stream: DataFrame, sink, checkpoint: str, output_mode: str = "append"):
     return (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -82,6 +115,53 @@ def _batch_writer(path: str, mode: str = "append"):
     return sink
 
 
+# --- event-time ordering inside a group ------------------------------------------------
+
+ORDER_DELAY_SECONDS = 3600
+ORDER_DELAY = f"{ORDER_DELAY_SECONDS} seconds"
+HEARTBEAT_ID = -1
+_ORDER = ["requested_at", "request_id"]
+
+
+def _micros(ts: pd.Series) -> pd.Series:
+    return pd.to_datetime(ts).astype("datetime64[us]").astype("int64")
+
+
+def _encode(pending: pd.DataFrame) -> str | None:
+    if pending.empty:
+        return None
+    p = pending.copy()
+    p["requested_at"] = _micros(p["requested_at"])
+    return p.to_json(orient="split", index=False)
+
+
+def _decode(text: str | None, columns: list[str]) -> pd.DataFrame:
+    if not text:
+        return pd.DataFrame(columns=columns)
+    p = pd.read_json(io.StringIO(text), orient="split", dtype=False)
+    p["requested_at"] = pd.to_datetime(p["requested_at"], unit="us")
+    return p
+
+
+def _release(new: pd.DataFrame, pending: pd.DataFrame, state: GroupState, last_us: int | None):
+    """Split buffered + new requests into (ready in order, late, still pending) by the watermark."""
+    rows = pd.concat([x for x in (pending, new) if not x.empty]) if not (pending.empty and new.empty) else new
+    if rows.empty:
+        return rows, rows, rows
+    wm_us = state.getCurrentWatermarkMs() * 1000
+    t = _micros(rows["requested_at"])
+    late = rows[(t <= last_us)] if last_us is not None else rows.iloc[0:0]
+    rows = rows[t > last_us] if last_us is not None else rows
+    t = _micros(rows["requested_at"])
+    ready = rows[t <= wm_us].sort_values(_ORDER, kind="stable")
+    return ready, late, rows[t > wm_us]
+
+
+def _keep_pending(state: GroupState, pending: pd.DataFrame) -> None:
+    if not pending.empty:
+        state.setTimeoutTimestamp(int(_micros(pending["requested_at"]).min() // 1000))
+
+
 # --- ST1 ------------------------------------------------------------------------------
 
 def team_totals_stream(ledger: DataFrame, users: DataFrame) -> DataFrame:
@@ -119,17 +199,24 @@ REDEEM_OUT = T.StructType([
     T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
     T.StructField("amount", T.LongType()), T.StructField("code_id", T.LongType()),
 ])
-REDEEM_STATE = T.StructType([T.StructField("taken", T.BooleanType())])
+REDEEM_STATE = T.StructType([T.StructField("taken", T.BooleanType()), T.StructField("last_us", T.LongType()),
+                             T.StructField("pending", T.StringType())])
+_REDEEM_IN = ["request_id", "user_id", "code", "requested_at", "code_id", "code_amount", "initially_used",
+              "given", "role_ok"]
 
 
 def _redeem_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"], kind="stable")
-    taken = state.get[0] if state.exists else None
+    new = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame(columns=_REDEEM_IN)
+    new = new[_REDEEM_IN] if not new.empty else new
+    taken, last_us, pending = state.get if state.exists else (None, None, None)
+    ready, late, pending = _release(new, _decode(pending, _REDEEM_IN), state, last_us)
     out = []
-    for r in rows.itertuples(index=False):
-        if taken is None:
-            taken = bool(r.initially_used) if r.code_id is not None and not pd.isna(r.code_id) else False
+    for r in late.itertuples(index=False):
+        out.append((r.request_id, r.user_id, r.code, r.requested_at, False, "late", None, None))
+    for r in ready.itertuples(index=False):
         exists = r.code_id is not None and not pd.isna(r.code_id)
+        if taken is None:
+            taken = bool(r.initially_used) if exists else False
         if not r.given:
             res = (False, "code_required")
         elif not r.role_ok:
@@ -142,7 +229,10 @@ def _redeem_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         ok = res[0]
         out.append((r.request_id, r.user_id, r.code, r.requested_at, ok, res[1],
                     int(r.code_amount) if ok else None, int(r.code_id) if ok else None))
-    state.update((bool(taken),))
+    if not ready.empty:
+        last_us = int(_micros(ready["requested_at"]).max())
+    state.update((taken, last_us, _encode(pending)))
+    _keep_pending(state, pending)
     yield pd.DataFrame(out, columns=[f.name for f in REDEEM_OUT.fields]).astype(
         {"amount": "Int64", "code_id": "Int64"})
 
@@ -155,15 +245,17 @@ def redeem_stream(requests: DataFrame, users: DataFrame, codes: DataFrame) -> Da
     j = j.select("request_id", "user_id", "code", "requested_at", "code_id", "code_amount", "initially_used",
                  (F.col("code").isNotNull() & (F.col("code") != "")).alias("given"),
                  F.coalesce(F.col("role").isin(*REDEEM_ROLES), F.lit(False)).alias("role_ok"))
+    j = j.withColumn("event_time", F.to_timestamp("requested_at")).withWatermark("event_time", ORDER_DELAY)
     return j.groupBy("code").applyInPandasWithState(
-        _redeem_group, REDEEM_OUT, REDEEM_STATE, "append", GroupStateTimeout.NoTimeout)
+        _redeem_group, REDEEM_OUT, REDEEM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_redeem(spark: SparkSession, requests: DataFrame, users: DataFrame, codes: DataFrame,
                pieces: int = 4) -> DataFrame:
+    beat = heartbeat_row(requests, "requested_at", ORDER_DELAY_SECONDS, request_id=HEARTBEAT_ID)
     out = run_in_slices(spark, requests, "requested_at", pieces, "st2", lambda stream, out, ck: _start(
-        redeem_stream(stream, users, codes), _batch_writer(out), ck))
-    return spark.read.parquet(out).drop("_batch")
+        redeem_stream(stream, users, codes), _batch_writer(out), ck), heartbeat=beat)
+    return spark.read.parquet(out).drop("_batch").filter(F.col("request_id") != HEARTBEAT_ID)
 
 
 # --- ST3 ------------------------------------------------------------------------------
@@ -176,7 +268,9 @@ STOCK_OUT = T.StructType([
     T.StructField("stock_after", T.LongType()), T.StructField("is_active", T.BooleanType()),
 ])
 STOCK_STATE = T.StructType([T.StructField("exists", T.BooleanType()), T.StructField("stock", T.LongType()),
-                            T.StructField("active", T.BooleanType())])
+                            T.StructField("active", T.BooleanType()), T.StructField("started", T.BooleanType()),
+                            T.StructField("last_us", T.LongType()), T.StructField("pending", T.StringType())])
+_STOCK_IN = ["request_id", "product_id", "type", "adjustment", "requested_at", "product_exists", "stock0", "active0"]
 
 
 def _none(v):
@@ -184,15 +278,18 @@ def _none(v):
 
 
 def _stock_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["requested_at", "request_id"], kind="stable")
-    if state.exists:
-        exists, stock, active = state.get
-    else:
-        first = rows.iloc[0]
-        exists = bool(first.product_exists)
-        stock, active = _none(first.stock0), _none(first.active0)
+    new = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame(columns=_STOCK_IN)
+    new = new[_STOCK_IN] if not new.empty else new
+    exists, stock, active, started, last_us, pending = state.get if state.exists else (
+        None, None, None, False, None, None)
+    ready, late, pending = _release(new, _decode(pending, _STOCK_IN), state, last_us)
     out = []
-    for r in rows.itertuples(index=False):
+    for r in late.itertuples(index=False):
+        out.append((r.request_id, r.product_id, r.type, _none(r.adjustment), r.requested_at, False, "late",
+                    None, None, active))
+    for r in ready.itertuples(index=False):
+        if not started:
+            exists, stock, active, started = bool(r.product_exists), _none(r.stock0), _none(r.active0), True
         a = _none(r.adjustment)
         before = after = None
         if a is None:
@@ -210,18 +307,21 @@ def _stock_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             ok, why = False, "product_not_found"
         else:
             before = 0 if stock is None else stock
-            new = before + a
-            if new < 0:
+            new_stock = before + a
+            if new_stock < 0:
                 ok, why = False, "below_zero"
             else:
-                ok, why, after = True, None, new
-                stock = new
-                if new > 0 and before <= 0:
+                ok, why, after = True, None, new_stock
+                stock = new_stock
+                if new_stock > 0 and before <= 0:
                     active = True
-                elif new <= 0:
+                elif new_stock <= 0:
                     active = False
         out.append((r.request_id, r.product_id, r.type, a, r.requested_at, ok, why, before, after, active))
-    state.update((exists, stock, active))
+    if not ready.empty:
+        last_us = int(_micros(ready["requested_at"]).max())
+    state.update((exists, stock, active, started, last_us, _encode(pending)))
+    _keep_pending(state, pending)
     yield pd.DataFrame(out, columns=[f.name for f in STOCK_OUT.fields]).astype(
         {"adjustment": "Int64", "stock_before": "Int64", "stock_after": "Int64", "is_active": "boolean"})
 
@@ -231,11 +331,14 @@ def stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
                         F.col("is_active").alias("active0"))
     j = requests.join(p, requests.product_id == p.pid, "left").withColumn(
         "product_exists", F.col("pid").isNotNull())
+    j = j.withColumn("event_time", F.to_timestamp("requested_at")).withWatermark("event_time", ORDER_DELAY)
     return j.groupBy("product_id").applyInPandasWithState(
-        _stock_group, STOCK_OUT, STOCK_STATE, "append", GroupStateTimeout.NoTimeout)
+        _stock_group, STOCK_OUT, STOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_stock(spark: SparkSession, requests: DataFrame, products: DataFrame, pieces: int = 4) -> DataFrame:
+    beat = heartbeat_row(requests, "requested_at", ORDER_DELAY_SECONDS, request_id=HEARTBEAT_ID,
+                         product_id=HEARTBEAT_ID, type="adjust", adjustment=0)
     out = run_in_slices(spark, requests, "requested_at", pieces, "st3", lambda stream, out, ck: _start(
-        stock_stream(stream, products), _batch_writer(out), ck))
-    return spark.read.parquet(out).drop("_batch")
+        stock_stream(stream, products), _batch_writer(out), ck), heartbeat=beat)
+    return spark.read.parquet(out).drop("_batch").filter(F.col("request_id") != HEARTBEAT_ID)
