@@ -33,6 +33,13 @@ def user_ledger(t: Tables, user_id: int | None = None) -> DataFrame:
     return tx.orderBy("user_id", F.desc("created_at"), F.desc("id"))
 
 
+def user_ledger_sql(t: Tables, user_id: int) -> DataFrame:
+    """The same listing as SQL text with a bound parameter (no string splicing of values)."""
+    spark = t.transactions.sparkSession
+    return spark.sql("SELECT * FROM {tx} WHERE user_id = :uid ORDER BY created_at DESC, id DESC",
+                     args={"uid": user_id}, tx=t.transactions)
+
+
 def lookup_user(t: Tables, keys: DataFrame) -> DataFrame:
     """Point lookup for many keys at once: each (request_id, user_id) gets the row or NULLs."""
     u = t.users.select(F.col("id").alias("found_id"), "username", "role", "team_id", "balance")
