@@ -126,7 +126,7 @@ def generated_codes(requests: DataFrame) -> DataFrame:
     r = requests.filter((F.col("amount") > 0) & (F.col("quantity") >= 1))
     x = r.select("request_id", "amount", "requested_at",
                  F.explode(F.sequence(F.lit(1), F.col("quantity").cast("int"))).alias("n"))
-    millis = F.unix_millis(F.to_timestamp(F.col("requested_at")))
+    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', requested_at)")
     h = F.abs(F.xxhash64("request_id", "n")) % F.lit(36 ** 6)
     suffix = F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 6, "0")
     return x.select("request_id", "n", F.concat(F.lit("RC"), millis.cast("string"), suffix).alias("code"),

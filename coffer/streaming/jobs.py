@@ -25,7 +25,6 @@ folder, keyed by batch id so a replayed batch overwrites its own output
 
 from __future__ import annotations
 
-import datetime as dt
 import io
 from collections.abc import Iterator
 
@@ -43,14 +42,12 @@ from coffer.session import scratch_path
 
 def _slices(df: DataFrame, time_col: str, pieces: int) -> list[DataFrame]:
     """Cut a log into ``pieces`` consecutive time ranges (one small aggregate for the bounds)."""
-    bounds = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {time_col})")
+    bounds = df.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
     if bounds.lo is None:
         return [df]
-    micros = F.unix_micros(F.to_timestamp(F.col(time_col)))
-    lo = int(bounds.lo.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
-    hi = int(bounds.hi.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
-    span = hi - lo + 1
-    piece = F.floor((micros - F.lit(lo)) * pieces / F.lit(span)).cast("int")
+    span = bounds.hi - bounds.lo + 1
+    piece = F.floor((micros - F.lit(bounds.lo)) * pieces / F.lit(span)).cast("int")
     return [df.filter(piece == i) for i in range(pieces)]
 
 
@@ -131,7 +128,7 @@ def _encode(pending: pd.DataFrame) -> str | None:
     if pending.empty:
         return None
     p = pending.copy()
-    p["requested_at"] = _micros(p["requested_at"])
+    p["requested_at"] = _micros(p["requested_at"])  # zone-free: the NTZ wall time as plain micros
     return p.to_json(orient="split", index=False)
 
 
@@ -149,17 +146,23 @@ def _release(new: pd.DataFrame, pending: pd.DataFrame, state: GroupState, last_u
     if rows.empty:
         return rows, rows, rows
     wm_us = state.getCurrentWatermarkMs() * 1000
-    t = _micros(rows["requested_at"])
+    t = rows["event_us"].astype("int64")  # epoch micros of the watermark's own event time
     late = rows[(t <= last_us)] if last_us is not None else rows.iloc[0:0]
     rows = rows[t > last_us] if last_us is not None else rows
-    t = _micros(rows["requested_at"])
+    t = rows["event_us"].astype("int64")
     ready = rows[t <= wm_us].sort_values(_ORDER, kind="stable")
     return ready, late, rows[t > wm_us]
 
 
 def _keep_pending(state: GroupState, pending: pd.DataFrame) -> None:
     if not pending.empty:
-        state.setTimeoutTimestamp(int(_micros(pending["requested_at"]).min() // 1000))
+        state.setTimeoutTimestamp(int(pending["event_us"].astype("int64").min() // 1000))
+
+
+def _event_time(df: DataFrame) -> DataFrame:
+    """Watermarked event time (TIMESTAMP) plus the same instant as epoch micros for the group functions."""
+    df = df.withColumn("event_time", F.to_timestamp("requested_at"))
+    return df.withColumn("event_us", F.unix_micros("event_time")).withWatermark("event_time", ORDER_DELAY)
 
 
 # --- ST1 ------------------------------------------------------------------------------
@@ -201,8 +204,8 @@ REDEEM_OUT = T.StructType([
 ])
 REDEEM_STATE = T.StructType([T.StructField("taken", T.BooleanType()), T.StructField("last_us", T.LongType()),
                              T.StructField("pending", T.StringType())])
-_REDEEM_IN = ["request_id", "user_id", "code", "requested_at", "code_id", "code_amount", "initially_used",
-              "given", "role_ok"]
+_REDEEM_IN = ["request_id", "user_id", "code", "requested_at", "event_us", "code_id", "code_amount",
+              "initially_used", "given", "role_ok"]
 
 
 def _redeem_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -230,7 +233,7 @@ def _redeem_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         out.append((r.request_id, r.user_id, r.code, r.requested_at, ok, res[1],
                     int(r.code_amount) if ok else None, int(r.code_id) if ok else None))
     if not ready.empty:
-        last_us = int(_micros(ready["requested_at"]).max())
+        last_us = int(ready["event_us"].astype("int64").max())
     state.update((taken, last_us, _encode(pending)))
     _keep_pending(state, pending)
     yield pd.DataFrame(out, columns=[f.name for f in REDEEM_OUT.fields]).astype(
@@ -245,8 +248,7 @@ def redeem_stream(requests: DataFrame, users: DataFrame, codes: DataFrame) -> Da
     j = j.select("request_id", "user_id", "code", "requested_at", "code_id", "code_amount", "initially_used",
                  (F.col("code").isNotNull() & (F.col("code") != "")).alias("given"),
                  F.coalesce(F.col("role").isin(*REDEEM_ROLES), F.lit(False)).alias("role_ok"))
-    j = j.withColumn("event_time", F.to_timestamp("requested_at")).withWatermark("event_time", ORDER_DELAY)
-    return j.groupBy("code").applyInPandasWithState(
+    return _event_time(j).groupBy("code").applyInPandasWithState(
         _redeem_group, REDEEM_OUT, REDEEM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -270,7 +272,8 @@ STOCK_OUT = T.StructType([
 STOCK_STATE = T.StructType([T.StructField("exists", T.BooleanType()), T.StructField("stock", T.LongType()),
                             T.StructField("active", T.BooleanType()), T.StructField("started", T.BooleanType()),
                             T.StructField("last_us", T.LongType()), T.StructField("pending", T.StringType())])
-_STOCK_IN = ["request_id", "product_id", "type", "adjustment", "requested_at", "product_exists", "stock0", "active0"]
+_STOCK_IN = ["request_id", "product_id", "type", "adjustment", "requested_at", "event_us", "product_exists",
+             "stock0", "active0"]
 
 
 def _none(v):
@@ -319,7 +322,7 @@ def _stock_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                     active = False
         out.append((r.request_id, r.product_id, r.type, a, r.requested_at, ok, why, before, after, active))
     if not ready.empty:
-        last_us = int(_micros(ready["requested_at"]).max())
+        last_us = int(ready["event_us"].astype("int64").max())
     state.update((exists, stock, active, started, last_us, _encode(pending)))
     _keep_pending(state, pending)
     yield pd.DataFrame(out, columns=[f.name for f in STOCK_OUT.fields]).astype(
@@ -331,8 +334,7 @@ def stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
                         F.col("is_active").alias("active0"))
     j = requests.join(p, requests.product_id == p.pid, "left").withColumn(
         "product_exists", F.col("pid").isNotNull())
-    j = j.withColumn("event_time", F.to_timestamp("requested_at")).withWatermark("event_time", ORDER_DELAY)
-    return j.groupBy("product_id").applyInPandasWithState(
+    return _event_time(j).groupBy("product_id").applyInPandasWithState(
         _stock_group, STOCK_OUT, STOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

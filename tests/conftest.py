@@ -19,7 +19,7 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.session.timeZone", os.environ.get("COFFER_TEST_TZ", "UTC"))
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="coffer-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
