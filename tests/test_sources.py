@@ -41,3 +41,27 @@ def test_user_csv_drops_hash_column(spark):
         df.explain(mode="formatted")
     read_schema = [line for line in buf.getvalue().splitlines() if line.startswith("ReadSchema")]
     assert read_schema and all("password_hash" not in line for line in read_schema)
+
+
+def test_bucketed_snapshot_joins_ledger_to_users_without_shuffle(spark):
+    from coffer.operators import rankings
+
+    t = fixtures.load_tables(spark, SF_SMALL)
+    db = "coffer_bucketed_test"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{scratch_path(spark, 'warehouse')}'")
+    t.save_bucketed(db, buckets=4, mode="overwrite")
+    b = Tables.read_catalog(spark, db)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = rankings.ledger_by_user(b.transactions).join(
+            b.users.selectExpr("id AS user_id", "team_id"), "user_id")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        plan = buf.getvalue()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        got = {r["id"]: r["donation_score"] for r in rows(rankings.team_rankings(b))}
+        want = {r["id"]: r["donation_score"] for r in rows(rankings.team_rankings(t))}
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
