@@ -2,8 +2,9 @@
 
 Feed for every viewer: a team member sees the team's newest 20 ledger rows,
 an admin or a user without a team sees their own newest 10. The team feed is
-computed once per team and then joined to the team's viewers, so the ledger
-is shuffled once. ``row_number() <= k`` per key plans as a WindowGroupLimit:
+computed once per team and then joined to the team's viewers (not once per
+viewer); the personal feed only reads the ledger rows of personal viewers (a
+semi join). ``row_number() <= k`` per key plans as a WindowGroupLimit:
 each map task keeps only its k newest rows per key before the shuffle, so a
 team with a third of the ledger still ships k rows per task.
 """
