@@ -3,8 +3,8 @@
 Feed for every viewer: a team member sees the team's newest 20 ledger rows,
 an admin or a user without a team sees their own newest 10. The team feed is
 computed once per team and then joined to the team's viewers (not once per
-viewer); the personal feed only reads the ledger rows of personal viewers (a
-semi join). ``row_number() <= k`` per key plans as a WindowGroupLimit:
+viewer), from each user's newest rows only (see ``activity_feed``).
+``row_number() <= k`` per key plans as a WindowGroupLimit:
 each map task keeps only its k newest rows per key before the shuffle, so a
 team with a third of the ledger still ships k rows per task.
 """
@@ -23,11 +23,6 @@ def _newest():
     return (F.desc("created_at"), F.desc("id"))
 
 
-def _ledger_with_users(t: Tables) -> DataFrame:
-    u = t.users.select(F.col("id").alias("uid"), "username", F.col("team_id").alias("author_team_id"))
-    return t.transactions.join(u, t.transactions.user_id == u.uid).drop("uid")
-
-
 def _top(df: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*_newest())
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -42,19 +37,30 @@ def _display(df: DataFrame) -> DataFrame:
 
 
 def activity_feed(t: Tables) -> DataFrame:
-    """One row per (viewer, feed entry) for every user."""
-    ledger = _ledger_with_users(t)
+    """One row per (viewer, feed entry) for every user.
+
+    First each user's newest 20 ledger rows are kept (a per-user top-k, cut
+    map-side before its shuffle), and only those are joined to their authors.
+    That is exact for both feeds: a team's newest 20 are among its members'
+    own newest 20, and a personal feed is the first 10 of the same ranking.
+    So the ledger itself is never shuffled, only at most 20 rows per user and
+    map task, however skewed the ledger is.
+    """
+    per_user = _top(t.transactions, "user_id", max(FEED_SIZE_TEAM, FEED_SIZE_PERSONAL))
+    u = t.users.select(F.col("id").alias("uid"), "username", F.col("team_id").alias("author_team_id"),
+                       F.col("role").alias("author_role"))
+    authored = per_user.join(u, per_user.user_id == u.uid).drop("uid")
     team_viewer = (F.col("role") != "admin") & F.col("team_id").isNotNull()
     viewers = t.users.select(F.col("id").alias("viewer_id"), "role", "team_id")
 
-    team_feed = _top(ledger.filter(F.col("author_team_id").isNotNull()), "author_team_id", FEED_SIZE_TEAM)
+    team_feed = _top(authored.filter(F.col("author_team_id").isNotNull()).drop("rank"), "author_team_id",
+                     FEED_SIZE_TEAM)
     team_rows = viewers.filter(team_viewer).join(
         team_feed, F.col("team_id") == F.col("author_team_id")).withColumn("scope", F.lit("team"))
 
-    personal_viewers = viewers.filter(~team_viewer).select("viewer_id")
-    own = ledger.join(personal_viewers, ledger.user_id == personal_viewers.viewer_id, "left_semi")
-    own_feed = _top(own, "user_id", FEED_SIZE_PERSONAL)
-    own_rows = own_feed.withColumn("viewer_id", F.col("user_id")).withColumn("scope", F.lit("user"))
+    personal_author = (F.col("author_role") == "admin") | F.col("author_team_id").isNull()
+    own_rows = authored.filter(personal_author & (F.col("rank") <= FEED_SIZE_PERSONAL)).withColumns(
+        {"viewer_id": F.col("user_id"), "scope": F.lit("user")})
 
     cols = ["viewer_id", "scope", F.col("rank").cast("bigint").alias("rank"), "id", "user_id", "username",
             "type", "amount", "description", "reference_id", "created_at"]
