@@ -63,12 +63,19 @@ def check_unique(t: Tables) -> DataFrame:
 
 
 def check_foreign_keys(t: Tables) -> DataFrame:
-    """Orphans per edge: child rows whose non-NULL reference has no parent row (anti join)."""
+    """Orphans per edge: child rows whose non-NULL reference has no parent row.
+
+    Child rows are first counted per reference (a partial aggregate, so each
+    map task ships one row per distinct reference); only those counts are
+    anti-joined to the parent keys and summed.
+    """
     parts = []
     for child, col, parent in FOREIGN_KEYS:
-        c = getattr(t, child).select(F.col(col).alias("ref")).filter(F.col("ref").isNotNull())
+        c = (getattr(t, child).select(F.col(col).alias("ref")).filter(F.col("ref").isNotNull())
+             .groupBy("ref").agg(F.count(F.lit(1)).alias("n")))
         p = getattr(t, parent).select(F.col("id").alias("ref"))
-        orphans = c.join(p, "ref", "left_anti").agg(F.count(F.lit(1)).cast("bigint").alias("orphan_count"))
+        orphans = c.join(p, "ref", "left_anti").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphan_count"))
         parts.append(orphans.select(F.lit(child).alias("child_table"), F.lit(col).alias("column_name"),
                                     F.lit(parent).alias("parent_table"), "orphan_count"))
     return _union(parts)
