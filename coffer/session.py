@@ -68,3 +68,26 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``coffer`` importable in Python workers (grouped pandas functions run there).
+
+    On a cluster this is what ``--py-files`` does; here the package folder is
+    zipped once per application and added with ``addPyFile``, which copies it
+    to every executor.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="coffer-pkg-")
+    shutil.copytree(pkg, os.path.join(stage, "coffer"), ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(os.path.join(stage, "coffer"), "zip", stage, "coffer")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from coffer.plans.redeem import REDEEM_ROLES
-from coffer.session import scratch_path
+from coffer.session import scratch_path, ship_package
 
 # --- plumbing ---------------------------------------------------------------------
 
@@ -62,17 +62,26 @@ def run_in_slices(spark: SparkSession, log: DataFrame, time_col: str, pieces: in
     for a log source (e.g. Kafka partitioned by key) that delivers each key's
     requests in order.
     """
+    ship_package(spark)
     src, out, ck = (scratch_path(spark, f"{name}-{n}") for n in ("src", "out", "ck"))
     log.limit(0).write.parquet(src)  # the folder exists (and has a schema) before the first start
     parts = _slices(log, time_col, pieces)
     if heartbeat is not None:
         parts.append(heartbeat)
+    # State partitions are fixed at the first start (AQE cannot coalesce them): one per core,
+    # within the session's shuffle setting, which is restored afterwards.
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions",
+                   str(max(1, min(int(setting), spark.sparkContext.defaultParallelism))))
     dropped = 0
-    for part in parts:
-        part.write.mode("append").parquet(src)
-        dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
-    if heartbeat is not None:  # one more start with no new data lets the last timeouts fire
-        dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(src)
+            dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
+        if heartbeat is not None:  # one more start with no new data lets the last timeouts fire
+            dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
     if dropped:
         raise RuntimeError(f"{dropped} requests arrived later than the watermark delay and were dropped; "
                            "the result would not be whole")
