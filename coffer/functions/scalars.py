@@ -35,10 +35,12 @@ def score_pct(donated: Column, earned: Column) -> Column:
 
 
 def progress(score: Column) -> Column:
+    """Progress-bar width: the score capped at 100."""
     return F.least(score, F.lit(PROGRESS_CAP))
 
 
 def medal(position: Column) -> Column:
+    """'gold', 'silver', 'bronze' for positions 1-3, else NULL."""
     out = F.lit(None).cast("string")
     for k in sorted(MEDALS, reverse=True):
         out = F.when(position == k, F.lit(MEDALS[k])).otherwise(out)
@@ -46,6 +48,7 @@ def medal(position: Column) -> Column:
 
 
 def stock_status(stock: Column) -> Column:
+    """Stock bucket: ≤ 0 sold out, ≤ 5 low, else in stock (missing stock counts as 0)."""
     s = F.coalesce(stock, F.lit(0))
     return (F.when(s <= 0, STOCK_SOLD_OUT).when(s <= LOW_STOCK_LIMIT, STOCK_LOW).otherwise(STOCK_OK))
 
@@ -59,6 +62,7 @@ def js_default(c: Column, default) -> Column:
 
 
 def format_ts(ts: Column) -> Column:
+    """Display form of a timestamp, 'dd/MM/yy HH:mm:ss'."""
     return F.date_format(ts, DATE_FORMAT)
 
 
@@ -73,6 +77,7 @@ def signed_amount(amount: Column) -> Column:
 
 
 def flow_class(ledger_type: Column) -> Column:
+    """Feed colour class: income types are 'earn', everything else 'spend'."""
     return F.when(ledger_type.isin("earn", "donation_received"), "earn").otherwise("spend")
 
 

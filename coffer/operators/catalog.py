@@ -31,11 +31,13 @@ def catalog_categories(t: Tables) -> DataFrame:
 
 
 def donatable_products(t: Tables) -> DataFrame:
+    """Active products in stock, the five columns the donation form needs, by category, name."""
     p = t.products.filter(F.col("is_active") & (F.col("stock_quantity") > 0))
     return p.select("id", "name", "price", "stock_quantity", "category").orderBy("category", "name", "id")
 
 
 def stock_status(t: Tables) -> DataFrame:
+    """Every product with its shown stock (missing = 0) and its stock bucket."""
     s = F.col("stock_quantity")
     return t.products.select("id", "name", "is_active", s, fx.js_default(s, 0).cast("bigint").alias("stock_shown"),
                              fx.stock_status(s).alias("stock_status"))
@@ -74,9 +76,10 @@ def affordable_quantity(t: Tables, requests: DataFrame) -> DataFrame:
 
 
 def test_ledger_rows(t: Tables, name_pattern: str = "test\\_%") -> DataFrame:
-    """Ledger rows of test data: description LIKE 'Test%', or the user's name matches a pattern (semi join).
+    """Ledger rows of test data: description LIKE 'Test%', or the user's name matches a pattern.
 
-    Shown with team and user name, ordered by team, type, time.
+    The name test is a left join to the (few) matching users, so either
+    condition keeps a row. Shown with team and user name, by team, type, time.
     """
     named = t.users.filter(F.col("username").like(name_pattern)).select(F.col("id").alias("tid_user"))
     by_name = t.transactions.join(named, t.transactions.user_id == named.tid_user, "left")

@@ -88,6 +88,7 @@ def team_directory(t: Tables) -> DataFrame:
 
 
 def team_list(t: Tables) -> DataFrame:
+    """All teams (id, name) by id, for pickers."""
     return t.teams.select("id", "name").orderBy("id")
 
 
@@ -105,10 +106,12 @@ def team_members(t: Tables, team_id: int | None = None) -> DataFrame:
 
 
 def users_by_role(t: Tables) -> DataFrame:
+    """Number of users per role, by role."""
     return t.users.groupBy("role").agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy("role")
 
 
 def ledger_type_counts(t: Tables) -> DataFrame:
+    """Ledger totals: all rows and the earn, donation_sent and purchase rows."""
     ty = F.col("type")
     return t.transactions.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_transactions"),
@@ -142,4 +145,5 @@ def code_listing(t: Tables) -> DataFrame:
 
 
 def available_codes(t: Tables) -> DataFrame:
+    """Codes nobody has redeemed yet, newest first."""
     return t.money_codes.filter(F.col("used_by").isNull()).orderBy(F.desc("created_at"), F.desc("id"))

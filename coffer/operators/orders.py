@@ -42,6 +42,7 @@ def _donation_rows(t: Tables) -> DataFrame:
 
 
 def admin_orders(t: Tables) -> DataFrame:
+    """Purchases and donations on one board, newest first; at equal times purchases come first."""
     merged = _purchases(t).unionByName(_donation_rows(t), allowMissingColumns=True)
     return merged.orderBy(F.desc("created_at"), _type_rank(), F.desc("id"))
 

@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Decorator: add a (spark, sf_dir) -> DataFrame function under a query name."""
     def deco(fn: Query) -> Query:
         QUERIES[name] = fn
         return fn
@@ -229,6 +230,7 @@ QUERIES["redeem_balances"] = lambda spark, sf_dir: _redeem(spark, sf_dir)["users
 
 # --- admission and posting (iterative; checked against a sequential model in tests) --
 def run_admission(spark, sf_dir, role_guard=True):
+    """Tables of ``sf_dir`` and the admission of its store-request log."""
     t = tables(spark, sf_dir)
     return t, admit.admit(t.users, t.products, t.teams, fixtures.store_requests(spark, sf_dir), role_guard=role_guard)
 

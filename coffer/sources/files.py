@@ -53,6 +53,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read JSON lines back with a fixed schema."""
     return spark.read.schema(schema).json(path)
 
 

@@ -250,6 +250,7 @@ def _redeem_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def redeem_stream(requests: DataFrame, users: DataFrame, codes: DataFrame) -> DataFrame:
+    """ST2 plan: requests joined to users and codes, then first-wins per code in group state."""
     u = users.select(F.col("id").alias("uid"), "role")
     c = codes.select(F.col("code").alias("c_code"), F.col("id").alias("code_id"),
                      F.col("amount").alias("code_amount"), F.col("used_by").isNotNull().alias("initially_used"))
@@ -263,6 +264,7 @@ def redeem_stream(requests: DataFrame, users: DataFrame, codes: DataFrame) -> Da
 
 def run_redeem(spark: SparkSession, requests: DataFrame, users: DataFrame, codes: DataFrame,
                pieces: int = 4) -> DataFrame:
+    """Run ST2 over a redemption log; returns the per-request results (batch twin: D3 results)."""
     beat = heartbeat_row(requests, "requested_at", ORDER_DELAY_SECONDS, request_id=HEARTBEAT_ID)
     out = run_in_slices(spark, requests, "requested_at", pieces, "st2", lambda stream, out, ck: _start(
         redeem_stream(stream, users, codes), _batch_writer(out), ck), heartbeat=beat)
@@ -339,6 +341,7 @@ def _stock_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """ST3 plan: adjustments joined to products, then folded per product in group state."""
     p = products.select(F.col("id").alias("pid"), F.col("stock_quantity").alias("stock0"),
                         F.col("is_active").alias("active0"))
     j = requests.join(p, requests.product_id == p.pid, "left").withColumn(
@@ -348,6 +351,7 @@ def stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def run_stock(spark: SparkSession, requests: DataFrame, products: DataFrame, pieces: int = 4) -> DataFrame:
+    """Run ST3 over an adjustment log; returns the per-request results (batch twin: D8 results)."""
     beat = heartbeat_row(requests, "requested_at", ORDER_DELAY_SECONDS, request_id=HEARTBEAT_ID,
                          product_id=HEARTBEAT_ID, type="adjust", adjustment=0)
     out = run_in_slices(spark, requests, "requested_at", pieces, "st3", lambda stream, out, ck: _start(
