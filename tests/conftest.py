@@ -21,6 +21,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", os.environ.get("COFFER_TEST_TZ", "UTC"))
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="coffer-test-ckpt-"))
+         .config("spark.sql.ansi.enabled", os.environ.get("COFFER_TEST_ANSI", "true"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
