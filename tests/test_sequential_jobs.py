@@ -39,9 +39,10 @@ def _random_store(spark, seed):
 
 @pytest.mark.parametrize("seed", range(6))
 @pytest.mark.parametrize("guard", [True, False])
-def test_admission_random_logs(spark, seed, guard):
+@pytest.mark.parametrize("tight", [False, True])
+def test_admission_random_logs(spark, seed, guard, tight):
     t, req = _random_store(spark, seed)
-    a = admit.admit(t.users, t.products, t.teams, req, role_guard=guard, partitions=3)
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=guard, partitions=3, tight_bounds=tight)
     got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
     want = sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=guard)
     assert got == want
@@ -55,6 +56,9 @@ def test_admission_matches_sequential_on_store_log(spark, guard):
     got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
     want = sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=guard)
     assert got == want
+    tight = admit.admit(t.users, t.products, t.teams, req, role_guard=guard, tight_bounds=True)
+    assert {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(tight.results)} == want
+    assert tight.rounds <= a.rounds
     # posting: stock and balances after equal the model's end state
     acc = [k for k, v in want.items() if v[0]]
     assert a.accepted.count() == len(acc)
@@ -132,9 +136,10 @@ def chunked(monkeypatch):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_admission_chunked_path(spark, chunked, seed):
+@pytest.mark.parametrize("tight", [False, True])
+def test_admission_chunked_path(spark, chunked, seed, tight):
     t, req = _random_store(spark, seed)
-    a = admit.admit(t.users, t.products, t.teams, req, role_guard=False, partitions=4)
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=False, partitions=4, tight_bounds=tight)
     got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
     assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=False)
 
