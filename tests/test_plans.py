@@ -31,3 +31,15 @@ def test_rankings_aggregate_partially_before_exchanging(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "partial_sum" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_query_plans_a_cross_product(spark):
+    import __spark_entry__ as entry
+
+    names = sorted(k for k in entry.oracle_sql() if not k.startswith("stream_"))
+    offenders = []
+    for name in names:
+        plan = _plan(entry.queries()[name](spark, SF_SMALL))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            offenders.append(name)
+    assert offenders == []
