@@ -22,7 +22,7 @@ k AS (SELECT doc_id, source, size,
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM k GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][i % 3 + 1]::DOUBLE AS w FROM s),
 -- the level l at which sum(least(2 size, l w)) is 150 % of all words lies between two sources' own levels
-l AS (SELECT min((1.5 * (SELECT sum(source_size) FROM w) - lo.full) / lo.open) AS level FROM (
+l AS (SELECT arg_min((1.5 * (SELECT sum(source_size) FROM w) - lo.full) / lo.open, lo.own) AS level FROM (
         SELECT a.i, coalesce(sum(CASE WHEN b.source_size / b.w < a.source_size / a.w THEN 2.0 * b.source_size END), 0) AS full,
                sum(CASE WHEN b.source_size / b.w >= a.source_size / a.w THEN b.w END) AS open,
                any_value(a.source_size / a.w) AS own FROM w a, w b GROUP BY a.i) lo
