@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .jaccard import op3_ngram_jaccard_join
 from .licenses import op8_license_scan
 from .mixing import op10_mix_sources
 from .quality import op6_quality_rules
 from .secrets import op9_secret_scan
 
 QUERIES = {f.__name__: f for f in (
-    op6_quality_rules, op8_license_scan, op9_secret_scan, op10_mix_sources)}
+    op3_ngram_jaccard_join, op6_quality_rules, op8_license_scan, op9_secret_scan, op10_mix_sources)}
 
 _OP10 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
