@@ -7,9 +7,11 @@ from .licenses import op8_license_scan
 from .mixing import op10_mix_sources
 from .quality import op6_quality_rules
 from .secrets import op9_secret_scan
+from .templates import op2_html_main_text
+from .warc import op4_warc_archives
 
 QUERIES = {f.__name__: f for f in (
-    op3_ngram_jaccard_join, op6_quality_rules, op8_license_scan, op9_secret_scan, op10_mix_sources)}
+    op2_html_main_text, op3_ngram_jaccard_join, op4_warc_archives, op6_quality_rules, op8_license_scan, op9_secret_scan, op10_mix_sources)}
 
 _OP10 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
