@@ -18,6 +18,10 @@ RUN_BYTES = 4 << 20
 _WIDE = 40
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words of letters and digits: all other ASCII characters separate.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[128:] = False
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -33,10 +37,10 @@ class Words:
     """Words of a run of texts: ``text`` (index of the text in the batch), ``hash``, ``start`` and ``end`` (byte
     offsets in ``data``), in order; ``first`` and ``count`` are the texts of the run."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, lower: bool, space: np.ndarray = _SPACE):
         self.data, self.first, self.count = data, first, len(bounds) - 1
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~space[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         cut = bounds[:-1][bounds[:-1] < n]
@@ -73,18 +77,21 @@ class Words:
             out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
         return mix(out)
 
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash) of every run of ``k`` words inside a text."""
+        n = len(self.hash)
+        if n < k:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        at = np.flatnonzero(self.text[: n - k + 1] == self.text[k - 1:])
+        acc = np.full(len(at), k, dtype=np.uint64)
+        for j in range(k):
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + self.hash[at + j])
+        return at, acc
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of every run of ``k`` words; a text of fewer words is one shingle as a whole."""
-        n = len(self.hash)
-        if n >= k:
-            whole = self.text[: n - k + 1] == self.text[k - 1:]
-            at = np.flatnonzero(whole)
-            acc = np.full(len(at), k, dtype=np.uint64)
-            for j in range(k):
-                acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + self.hash[at + j])
-            text = self.text[at]
-        else:
-            text, acc = np.empty(0, dtype=self.text.dtype), np.empty(0, dtype=np.uint64)
+        at, acc = self.grams(k)
+        text = self.text[at]
         found, begin, count = np.unique(self.text, return_index=True, return_counts=True)
         extra_t, extra_h = [], []
         for t, b, c in zip(found[count < k], begin[count < k], count[count < k]):
@@ -112,8 +119,8 @@ class Words:
             yield self.first + i, h[edge[i]: edge[i + 1]]
 
 
-def runs(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
-    """The words of an Arrow string array, in runs of whole texts. Null counts as empty."""
+def runs(texts: pa.Array, lower: bool = True, space: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of an Arrow string array, in runs of whole texts; bytes in ``space`` separate. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -126,5 +133,5 @@ def runs(texts: pa.Array, lower: bool = True) -> Iterator[Words]:
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + RUN_BYTES, side="right")) - 1)
         hi = min(hi, len(texts))
-        yield Words(raw[off[lo]: off[hi]], off[lo: hi + 1] - off[lo], lo, lower)
+        yield Words(raw[off[lo]: off[hi]], off[lo: hi + 1] - off[lo], lo, lower, space)
         lo = hi

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_benchmark_decontamination
 from .jaccard import op3_ngram_jaccard_join
 from .licenses import op8_license_scan
 from .mixing import op10_mix_sources
 from .quality import op6_quality_rules
 from .secrets import op9_secret_scan
+from .substrings import op1_substring_dedup
 from .templates import op2_html_main_text
+from .toxicity import op5_toxicity
 from .warc import op4_warc_archives
 
 QUERIES = {f.__name__: f for f in (
-    op2_html_main_text, op3_ngram_jaccard_join, op4_warc_archives, op6_quality_rules, op8_license_scan, op9_secret_scan, op10_mix_sources)}
+    op1_substring_dedup, op2_html_main_text, op3_ngram_jaccard_join, op4_warc_archives, op5_toxicity, op6_quality_rules,
+    op7_benchmark_decontamination, op8_license_scan, op9_secret_scan, op10_mix_sources)}
 
 _OP10 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),

@@ -52,8 +52,12 @@ class ArchiveError(ValueError):
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A Zstandard dictionary from a bounded sample of pages; empty if there is too little to learn from."""
-    sample = (pages.filter(F.length("html") > 0).select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id", "html").alias("h"))
-              .orderBy("h").limit(SAMPLE_PAGES).collect())
+    some = pages.filter(F.length("html") > 0).withColumn("h", F.xxhash64("page_id", "html"))
+    # only hashes are sorted; then the pages at or below the last of them are read
+    last = some.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    sample = some.filter(F.col("h") <= last).select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), "h").distinct().sort("h", "html").collect()
     parts = [r["html"].encode()[:SAMPLE_BYTES] for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes() if len(parts) >= 8 else b""
