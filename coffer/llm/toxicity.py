@@ -1,13 +1,12 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 5).
 
-Terms are the words of a text in lower case (letters and digits). Two passes over all texts count, per task and then
-globally, in how many documents each term occurs and in how many toxic and other training documents. The ``TERMS``
+Terms are the words of a text in lower case (letters and digits). The classifier is fitted on a bounded sample of
+labelled training rows (``TRAIN`` of each class, those with the smallest id hashes; a documented parameter): the ``TERMS``
 terms whose presence tells toxic from other training documents best (signed root of the G statistic) are the
-vocabulary; inverse document frequencies come from all documents. A text is the vector of its vocabulary terms, weighted
-by (1 + log tf) idf, scaled to length one.
+vocabulary. The share of toxic documents comes from all training labels and inverse document frequencies from one pass
+over all documents. A text is the vector of its vocabulary terms, weighted by (1 + log tf) idf, scaled to length one.
 
-Examples are a bounded sample of the labelled training documents (``EXAMPLES`` of each class, those with the smallest hashes; a
-documented parameter). They form an inverted index in blocks of ``BLOCK`` examples; for each term and block the
+Examples are a bounded sample of these (``EXAMPLES`` of each class, those with the smallest hashes). They form an inverted index in blocks of ``BLOCK`` examples; for each term and block the
 index holds the largest weight there. A query's upper bound in a block is the sum of its weights times these maxima; blocks
 are scored in falling order of their bounds until no bound exceeds the ``NEIGHBOURS``-th best similarity, so the
 nearest examples are exact. Ties go to the smaller example number.
@@ -39,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import load, materialize, ship_package
 
 TERMS = 256
+#: Training documents of each class, at most, and examples of each class in the index, at most.
+TRAIN = 8000
 EXAMPLES = 1500
 BLOCK = 64
 NEIGHBOURS = 15
@@ -63,38 +64,52 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """``term, docs, other, toxic`` from ``text, toxic`` (null: no label); each task folds its own rows first."""
+    """``term, other, toxic``: training documents of each class that hold the term; each task folds its own rows first."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = (Counter(), Counter()), [0, 0]
         for b in batches:
-            counts = (Counter(), Counter(), Counter())
-            n = [0, 0, 0]
             for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-                own = set(terms(text))
-                kind = 0 if toxic is None else 1 + (toxic == 1)
-                counts[kind].update(own)
-                n[kind] += 1
-            names = list(set().union(*counts))
-            cols = [names + [""]] + [[c[t] for t in names] + [m] for c, m in zip(counts, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string())] + [pa.array(c, pa.int64()) for c in cols[1:]], names=["term", "none", "other", "toxic"])
+                counts[toxic == 1].update(set(terms(text)))
+                n[toxic == 1] += 1
+        names = sorted(set(counts[0]) | set(counts[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(names + [""], pa.string())] + [pa.array([c[t] for t in names] + [m], pa.int64()) for c, m in zip(counts, n)],
+                                         names=["term", "other", "toxic"])
 
-    return rows.mapInArrow(fold, "term string, none long, other long, toxic long").groupBy("term").agg(
-        F.sum(F.col("none") + F.col("other") + F.col("toxic")).alias("docs"), F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    return rows.mapInArrow(fold, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
 
 
-def vocabulary(counted: DataFrame, size: int = TERMS) -> tuple[dict[str, float], float]:
-    """(idf of each chosen term, share of toxic documents in training)."""
+def vocabulary(counted: DataFrame, size: int = TERMS) -> list[str]:
+    """The terms that tell toxic from other training documents best."""
     whole = counted.filter("term = ''").first()
-    n, other, toxic = (whole["docs"], whole["other"], whole["toxic"]) if whole else (0, 0, 0)
+    other, toxic = (whole["other"], whole["toxic"]) if whole else (0, 0)
     if not other or not toxic:
-        return {}, 0.0 if not toxic else 1.0
+        return []
     a, b = F.col("toxic") / float(toxic), F.col("other") / float(other)
     both = (F.col("toxic") + F.col("other")) / float(toxic + other)
     part = lambda x, y: F.when((x > 0) & (y > 0), x * F.log(x / y)).otherwise(0.0)
     g = 2 * (toxic * (part(a, both) + part(1 - a, 1 - both)) + other * (part(b, both) + part(1 - b, 1 - both)))
     chosen = (counted.filter((F.col("term") != "") & (F.col("toxic") + F.col("other") >= MIN_DOCS)).withColumn("root", F.sqrt(F.greatest(g, F.lit(0.0))))
               .filter(F.col("root") >= MIN_ROOT_G).filter(a > b).orderBy(F.desc("root"), "term").limit(size).collect())
-    return {r["term"]: math.log(1 + n / r["docs"]) for r in chosen}, toxic / (toxic + other)
+    return sorted(r["term"] for r in chosen)
+
+
+def document_frequencies(docs: DataFrame, chosen: list[str]) -> dict[str, float]:
+    """idf of each chosen term, over all of ``docs``; a task sends one row a term."""
+    wanted = frozenset(chosen)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held = 0, Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                n += 1
+                held.update(wanted.intersection(terms(text)))
+        names = sorted(held)
+        yield pa.RecordBatch.from_arrays([pa.array(names + [""], pa.string()), pa.array([held[t] for t in names] + [n], pa.int64())], names=["term", "n"])
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(fold, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = {r["term"]: r["n"] for r in rows}
+    return {t: math.log(1 + n.get("", 0) / n[t]) for t in chosen if n.get(t)}
 
 
 class Index:
@@ -205,15 +220,19 @@ def _isotonic(rows: list[tuple[float, float, int]]) -> tuple[list[float], list[f
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``)."""
     ship_package(docs.sparkSession)
-    known = materialize(training_labels(labels), "toxic-labels")
-    d, k = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"), known.alias("k")
+    known = materialize(training_labels(labels).withColumn("h", F.xxhash64("doc_id")), "toxic-labels")
+    total = known.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("t")).first()
+    share = total["t"] / total["n"] if total["n"] else 0.0
+    chosen = None
+    for toxic in (True, False):
+        of = known.filter((F.col("toxic") == 1) == toxic)
+        last = of.select("h").orderBy("h").limit(TRAIN).agg(F.max("h")).first()[0]
+        some = of.filter(F.col("h") <= (last if last is not None else 0))
+        chosen = some if chosen is None else chosen.unionByName(some)
+    # at most 2 TRAIN rows of two numbers, so the texts need no shuffle
+    d, k = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"), F.broadcast(chosen.select("doc_id", "toxic")).alias("k")
     labelled = materialize(d.join(k, F.col("d.doc_id") == F.col("k.doc_id")).select("d.doc_id", "text", "toxic"), "toxic-examples")
-    # every document counts for frequencies; the labelled ones again for the classes
-    every = _counted(docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("int").alias("toxic")))
-    by_class = _counted(labelled.select("text", "toxic"))
-    e, c = every.select("term", "docs").alias("e"), by_class.select("term", "other", "toxic").alias("c")
-    counted = materialize(e.join(c, "term"), "toxic-terms")
-    idf, share = vocabulary(counted)
+    idf = document_frequencies(docs, vocabulary(_counted(labelled)))
     # what the driver holds of an example is its vocabulary terms; only hashes are sorted to choose them
     kept = F.array_join(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: w.isin(list(idf)) if idf else F.lit(False)), " ")
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
