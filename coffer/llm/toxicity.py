@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # at most 2 TRAIN rows of two numbers, so the texts need no shuffle
     d, k = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"), F.broadcast(chosen.select("doc_id", "toxic")).alias("k")
     labelled = materialize(d.join(k, F.col("d.doc_id") == F.col("k.doc_id")).select("d.doc_id", "text", "toxic"), "toxic-examples")
-    idf = document_frequencies(docs, vocabulary(_counted(labelled)))
+    idf = document_frequencies(docs, vocabulary(materialize(_counted(labelled.select("text", "toxic")), "toxic-terms")))
     # what the driver holds of an example is its vocabulary terms; only hashes are sorted to choose them
     kept = F.array_join(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: w.isin(list(idf)) if idf else F.lit(False)), " ")
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
