@@ -37,28 +37,28 @@ def insert_if_absent(existing: DataFrame, candidates: DataFrame, key: str = "nam
 
 
 def apply_product_edits(products: DataFrame, edits: DataFrame) -> DataFrame:
-    """Partial edits by id (latest edit wins); a missing or blank stock keeps the stock (Q27).
+    """Partial edits by id; a missing or blank stock keeps the stock (Q27).
 
-    is_active is never changed by an edit (Q13).
+    Edits of one product apply in the order of ``edited_at`` (and ``request_id``, where the edits have one): each column
+    takes the last value given for it, so an edit that leaves a column out doesn't undo an earlier one. Without
+    either column, the larger value wins. is_active is never changed by an edit (Q13).
     """
-    if "edited_at" in edits.columns:
-        w = Window.partitionBy("id").orderBy(F.desc("edited_at"))
-        edits = edits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    e = edits.select(*[F.col(c).alias(f"e_{c}") for c in edits.columns])
+    changed = [c for c in edits.columns if c in products.columns and c not in ("id", "is_active")]
+    order = [c for c in ("edited_at", "request_id") if c in edits.columns]
+
+    def last(c):
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_value")))).getField("_value").alias(f"e_{c}")
+
+    e = edits.groupBy(F.col("id").alias("e_id")).agg(*[last(c) for c in changed])
     j = products.join(e, products.id == e.e_id, "left")
-    out = []
-    for c in products.columns:
-        if f"e_{c}" in e.columns and c != "id":
-            out.append(F.coalesce(F.col(f"e_{c}"), products[c]).alias(c))
-        else:
-            out.append(products[c])
-    return j.select(*out)
+    return j.select(*[F.coalesce(F.col(f"e_{c}"), products[c]).alias(c) if c in changed else products[c] for c in products.columns])
 
 
 def toggle_products(products: DataFrame, requests: DataFrame) -> DataFrame:
-    """Set is_active from requests (request_id, product_id, is_active); latest per product wins."""
+    """Set is_active from requests (request_id, product_id, is_active); latest per product wins, a missing value
+    turns the product off."""
     latest = requests.groupBy("product_id").agg(
-        F.max_by("is_active", F.struct("requested_at", "request_id")).alias("new_active"))
+        F.max(F.struct("requested_at", "request_id", F.coalesce("is_active", F.lit(False)).alias("on"))).getField("on").alias("new_active"))
     j = products.join(latest, products.id == latest.product_id, "left")
     return j.select(*[F.coalesce(F.col("new_active"), products[c]).alias(c) if c == "is_active" else products[c]
                       for c in products.columns])
