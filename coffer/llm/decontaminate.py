@@ -63,8 +63,8 @@ def _signs(h: np.ndarray) -> np.ndarray:
 
 
 def _fold(total: np.ndarray) -> np.ndarray:
-    """Fingerprints (packed bytes) of weighted sums."""
-    return np.packbits(total > 0, axis=-1)
+    """Fingerprints (packed bytes) of weighted sums; sums that are 0 but for rounding give 0."""
+    return np.packbits(total > 1e-6, axis=-1)
 
 
 class Items:
