@@ -186,7 +186,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     own = docs.columns
     # the rules' own columns stand apart, whatever columns the documents have
     wide = measured(docs.select("lang", "source", "text", F.struct(*own).alias("_row")))
-    return judge(wide, model, groups).filter("kept").select("_row.*")
+    # written first: a filter on the verdict would be pushed down as a copy of every expression behind it
+    return materialize(judge(wide, model, groups).select("_row", "kept"), "quality-kept").filter("kept").select("_row.*")
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
