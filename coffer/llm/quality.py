@@ -180,14 +180,11 @@ def judge(rows: DataFrame, model: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass; texts are not shuffled."""
-    slim = docs.select("lang", "source", "text")
-    model, groups = fit(materialize(measured(slim).drop("text"), "quality-stats"))
-    own = docs.columns
+    """The rows of ``docs`` that pass. Every text is measured once; texts are written with their statistics, not shuffled."""
     # the rules' own columns stand apart, whatever columns the documents have
-    wide = measured(docs.select("lang", "source", "text", F.struct(*own).alias("_row")))
-    # written first: a filter on the verdict would be pushed down as a copy of every expression behind it
-    return materialize(judge(wide, model, groups).select("_row", "kept"), "quality-kept").filter("kept").select("_row.*")
+    wide = measured(docs.select("lang", "source", "text", F.struct(*docs.columns).alias("_row"))).drop("text")
+    stats = materialize(wide, "quality-stats")
+    return judge(stats, *fit(stats.drop("_row"))).filter("kept").select("_row.*")
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
