@@ -8,10 +8,12 @@ chunks. The running sum then has two levels:
 
 * inside a (key, chunk) group: a window over rows of one chunk only;
 * across chunks: per-(key, chunk) totals (a partial aggregate), and a window
-  over those totals per key (one row per chunk, so at most n rows a key).
+  over those totals per key. Only a key's second and later pieces have anything
+  before them, and each of these begins at one of the n - 1 boundaries between
+  chunks, so fewer than n rows are joined back: that side is broadcast.
 
-When the whole input is within one task's row budget (``ROWS_PER_TASK``), no
-key can outgrow a task, and a plain per-key window (one shuffle) is used.
+All sums of a call read the columns of its input, a written table, so the
+input is scanned once for the rows and once for each key's totals.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ("requested_at", "request_id")
-# Rows one task can sort and scan for a single key without spilling much (narrow rows).
-ROWS_PER_TASK = 4_000_000
 
 
 def add_chunk(df: DataFrame, key: str, name: str, partitions: int, order=ORDER) -> DataFrame:
@@ -33,22 +33,24 @@ def add_chunk(df: DataFrame, key: str, name: str, partitions: int, order=ORDER)
     return df.repartitionByRange(partitions, key, *order).withColumn(name, F.spark_partition_id())
 
 
-def exclusive_running_sums(df: DataFrame, key: str, chunk: str, values: dict[str, Column],
-                           order=ORDER, rows: int | None = None) -> DataFrame:
-    """Add, per named value, the sum over earlier rows of the same key (0 for the first).
+def exclusive_running_sums(df: DataFrame, sums: dict[tuple[str, str], dict[str, Column]], order=ORDER) -> DataFrame:
+    """Add, per (key, chunk) and named value, the sum over earlier rows of the same key (0 for the first).
 
-    ``rows`` is the known size of ``df``; at or below ``ROWS_PER_TASK`` one
-    window per key is enough, otherwise the chunked two-level form is used.
+    ``df`` is a written table (or a projection of one); its chunks come from ``add_chunk`` on the key, or on
+    a key that this one refines in the same order.
     """
-    if rows is not None and rows <= ROWS_PER_TASK:
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint") for n, v in values.items()})
-    w_in = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumns({f"_{n}_in": F.coalesce(F.sum(v).over(w_in), F.lit(0)) for n, v in values.items()})
-    totals = df.groupBy(key, chunk).agg(*[F.sum(v).alias(f"_{n}_tot") for n, v in values.items()])
-    w_off = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, chunk, *[
-        F.coalesce(F.sum(f"_{n}_tot").over(w_off), F.lit(0)).alias(f"_{n}_off") for n in values])
-    j = inner.join(offsets, [key, chunk])
-    j = j.withColumns({n: (F.col(f"_{n}_in") + F.col(f"_{n}_off")).cast("bigint") for n in values})
-    return j.drop(*[f"_{n}_in" for n in values], *[f"_{n}_off" for n in values])
+    out = df
+    for (key, chunk), values in sums.items():
+        inside = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        pieces = Window.partitionBy("_key").orderBy("_chunk")
+        before = pieces.rowsBetween(Window.unboundedPreceding, -1)
+        totals = df.groupBy(F.col(key).alias("_key"), F.col(chunk).alias("_chunk")).agg(
+            *[F.sum(v).alias(f"_{n}_tot") for n, v in values.items()])
+        offsets = totals.select("_key", "_chunk", (F.row_number().over(pieces) > 1).alias("_later"), *[
+            F.sum(f"_{n}_tot").over(before).alias(f"_{n}_off") for n in values]).filter("_later")
+        out = out.withColumns({f"_{n}_in": F.sum(v).over(inside) for n, v in values.items()})
+        out = out.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("_key")) & (F.col(chunk) == F.col("_chunk")), "left")
+        out = out.withColumns({n: (F.coalesce(F.col(f"_{n}_in"), F.lit(0)) + F.coalesce(F.col(f"_{n}_off"), F.lit(0))).cast("bigint")
+                               for n in values})
+        out = out.drop("_key", "_chunk", "_later", *[f"_{n}_in" for n in values], *[f"_{n}_off" for n in values])
+    return out

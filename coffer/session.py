@@ -70,6 +70,24 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
+class RoundTable:
+    """The tables that an iterative job writes, one a round, under one folder: read singly, or all rounds by one scan."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.rounds = spark, scratch_path(spark, name), 0
+
+    def write(self, df):
+        """Write the next round's table and read it back (cuts the lineage, as ``materialize``)."""
+        path = f"{self.path}/round={self.rounds}"
+        df.write.parquet(path)
+        self.rounds += 1
+        return self.spark.read.parquet(path)
+
+    def all(self):
+        """The rows of all rounds (at least one must have been written)."""
+        return self.spark.read.parquet(self.path).drop("round")
+
+
 _SHIPPED: set[str] = set()
 
 
