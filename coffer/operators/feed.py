@@ -69,13 +69,22 @@ def activity_feed(t: Tables) -> DataFrame:
 
 def ledger_detail(t: Tables) -> DataFrame:
     """Ledger rows of users in a team with the team name: by team name, newest first."""
+    return _detail(t, t.transactions)
+
+
+def _detail(t: Tables, ledger: DataFrame) -> DataFrame:
     u = t.users.select(F.col("id").alias("uid"), "team_id", "username")
     tm = t.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    j = t.transactions.join(u, t.transactions.user_id == u.uid).join(tm, "team_id")
+    j = ledger.join(u, ledger.user_id == u.uid).join(tm, "team_id")
     return j.select("team_name", "team_id", "user_id", "username", "id", "type", "amount", "description",
                     "created_at").orderBy(F.asc("team_name"), *_newest())
 
 
 def ledger_sample(t: Tables) -> DataFrame:
-    """The first 20 rows of the ordered detail listing (a top-k: TakeOrderedAndProject)."""
-    return ledger_detail(t).limit(LEDGER_SAMPLE_SIZE)
+    """The first 20 rows of the ordered detail listing (a top-k: TakeOrderedAndProject).
+
+    All of them are among the newest 20 of their users, so the ledger is cut to these before it is joined.
+    """
+    w = Window.partitionBy("user_id").orderBy(*_newest())
+    newest = t.transactions.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= LEDGER_SAMPLE_SIZE).drop("_rank")
+    return _detail(t, newest).limit(LEDGER_SAMPLE_SIZE)

@@ -26,12 +26,20 @@ def team_inventory(t: Tables) -> DataFrame:
 
 
 def inventory_summary(t: Tables) -> DataFrame:
-    """Per team: items held, product types, value at current prices, distinct categories."""
-    return _held(t).groupBy("team_id").agg(
-        F.sum("quantity").cast("bigint").alias("total_items"),
-        F.count_distinct("product_id").cast("bigint").alias("product_types"),
-        F.sum(F.col("quantity") * F.col("price")).cast("bigint").alias("total_value"),
-        F.count_distinct("category").cast("bigint").alias("category_count"),
+    """Per team: items held, product types, value at current prices, distinct categories.
+
+    A product has one category, so both distinct counts are plain counts after grouping by (team, category, product)
+    and (team, category).
+    """
+    products = _held(t).groupBy("team_id", "category", "product_id").agg(
+        F.sum("quantity").alias("items"), F.sum(F.col("quantity") * F.col("price")).alias("value"))
+    categories = products.groupBy("team_id", "category").agg(
+        F.sum("items").alias("items"), F.sum("value").alias("value"), F.count("product_id").alias("types"))
+    return categories.groupBy("team_id").agg(
+        F.sum("items").cast("bigint").alias("total_items"),
+        F.sum("types").cast("bigint").alias("product_types"),
+        F.sum("value").cast("bigint").alias("total_value"),
+        F.count("category").cast("bigint").alias("category_count"),
     )
 
 
