@@ -119,15 +119,12 @@ class Index:
         self.n = len(vectors)
         blocks = max(1, -(-self.n // BLOCK))
         self.most = np.zeros((n_terms, blocks))
-        self.lists: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        held: list[list[tuple[list, list]]] = [[([], []) for _ in range(blocks)] for _ in range(n_terms)]
+        # the list of a term in a block, as its BLOCK weights
+        self.lists = np.zeros((blocks, n_terms, BLOCK))
         for i, v in enumerate(vectors):
             for t, w in v.items():
-                at, weight = held[t][i // BLOCK]
-                at.append(i % BLOCK)
-                weight.append(w)
+                self.lists[i // BLOCK, t, i % BLOCK] = w
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.lists = [[(np.array(a, dtype=np.int64), np.array(w)) for a, w in row] for row in held]
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The ``k`` nearest vectors of positive similarity, exactly."""
@@ -140,11 +137,7 @@ class Index:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(best) == k and bound[b] + 1e-12 < -best[-1][0]:
                 break
-            score = np.zeros(BLOCK)
-            for term, weight in zip(t, w):
-                at, held = self.lists[term][b]
-                if len(at):
-                    score[at] += weight * held
+            score = w @ self.lists[b, t]
             hit = np.flatnonzero(score > 0)
             best += [(-round(float(score[i]), 12), int(b) * BLOCK + int(i)) for i in hit if int(b) * BLOCK + int(i) != without]
             best.sort()
