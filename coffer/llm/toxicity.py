@@ -8,7 +8,7 @@ over all documents. A text is the vector of its vocabulary terms, weighted by (1
 
 Examples are a bounded sample of these (``EXAMPLES`` of each class, those with the smallest hashes). They form an inverted index in blocks of ``BLOCK`` examples; for each term and block the
 index holds the largest weight there. A query's upper bound in a block is the sum of its weights times these maxima; blocks
-are scored in falling order of their bounds until no bound exceeds the ``NEIGHBOURS``-th best similarity, so the
+are scored in falling order of their bounds, in waves, until no bound exceeds the ``NEIGHBOURS``-th best similarity, so the
 nearest examples are exact. Ties go to the smaller example number.
 
 The score is a vote of the nearest examples, weighted by similarity, with a prior of weight ``PRIOR`` at the training share of
@@ -42,6 +42,8 @@ TERMS = 256
 TRAIN = 8000
 EXAMPLES = 1500
 BLOCK = 64
+#: Blocks scored before the first look at the bounds; each further look comes after twice as many.
+WAVE = 4
 NEIGHBOURS = 15
 PRIOR = 0.25
 #: Least documents of a term in training, and least root of G, to enter the vocabulary.
@@ -119,11 +121,11 @@ class Index:
         self.n = len(vectors)
         blocks = max(1, -(-self.n // BLOCK))
         self.most = np.zeros((n_terms, blocks))
-        # the list of a term in a block, as its BLOCK weights
-        self.lists = np.zeros((blocks, n_terms, BLOCK))
+        # the list of a term, as the BLOCK weights of each block
+        self.lists = np.zeros((n_terms, blocks, BLOCK))
         for i, v in enumerate(vectors):
             for t, w in v.items():
-                self.lists[i // BLOCK, t, i % BLOCK] = w
+                self.lists[t, i // BLOCK, i % BLOCK] = w
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
@@ -133,16 +135,26 @@ class Index:
         t = np.fromiter(v, dtype=np.int64)
         w = np.fromiter(v.values(), dtype=np.float64)
         bound = w @ self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-12 < -best[-1][0]:
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        similar, number, least = np.empty(0), np.empty(0, dtype=np.int64), 0.0
+        at, wave = 0, WAVE
+        while at < len(order):
+            # a bound below the k-th best similarity ends the search: all later ones are no higher
+            b = order[at: at + wave]
+            b = b[bound[b] + 1e-11 >= least]
+            if not len(b):
                 break
-            score = w @ self.lists[b, t]
-            hit = np.flatnonzero(score > 0)
-            best += [(-round(float(score[i]), 12), int(b) * BLOCK + int(i)) for i in hit if int(b) * BLOCK + int(i) != without]
-            best.sort()
-            del best[k:]
-        return [(i, -s) for s, i in best]
+            at, wave = at + wave, 2 * wave
+            got = np.round(w @ self.lists[t[:, None], b].reshape(len(t), -1), 12)
+            who = (b[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = (got > 0) & (got >= least) & (who != without)
+            similar, number = np.concatenate([similar, got[hit]]), np.concatenate([number, who[hit]])
+            if len(similar) >= k:
+                least = float(np.partition(similar, len(similar) - k)[len(similar) - k])
+                similar, number = similar[similar >= least], number[similar >= least]
+        best = np.lexsort((number, -similar))[:k]
+        return list(zip(number[best].tolist(), similar[best].tolist()))
 
 
 class Model:
