@@ -75,17 +75,14 @@ def affordable_quantity(t: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
-def test_ledger_rows(t: Tables, name_pattern: str = "test\\_%") -> DataFrame:
-    """Ledger rows of test data: description LIKE 'Test%', or the user's name matches a pattern.
+def test_ledger_rows(t: Tables, name_pattern: str = "test_%") -> DataFrame:
+    """Ledger rows of test data: description LIKE 'Test%', or the user's name matches a pattern (``_`` stands for any character).
 
-    The name test is a left join to the (few) matching users, so either
-    condition keeps a row. Shown with team and user name, by team, type, time.
+    Shown with team and user name, by team, type, time.
     """
-    named = t.users.filter(F.col("username").like(name_pattern)).select(F.col("id").alias("tid_user"))
-    by_name = t.transactions.join(named, t.transactions.user_id == named.tid_user, "left")
-    rows = by_name.filter(F.col("description").like("Test%") | F.col("tid_user").isNotNull())
     u = t.users.select(F.col("id").alias("uid"), F.col("username").alias("leader_name"), "team_id")
     tm = t.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    j = rows.join(u, rows.user_id == u.uid).join(tm, "team_id")
+    rows = t.transactions.join(u, t.transactions.user_id == u.uid)
+    j = rows.filter(F.col("description").like("Test%") | F.col("leader_name").like(name_pattern)).join(tm, "team_id")
     return j.select("team_id", "team_name", "leader_name", F.col("id").alias("transaction_id"), "type", "amount",
                     "description", "created_at").orderBy("team_id", "type", "created_at", "transaction_id")

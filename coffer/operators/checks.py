@@ -103,10 +103,10 @@ def duplicate_leaders(t: Tables) -> DataFrame:
 def guard_product_requests(requests: DataFrame) -> DataFrame:
     """Product create requests with the first failing rule as reason, in the handler's order.
 
-    Name required; price must be a positive number; stock must be given and not
+    Name required (a blank is one); price must be a positive number; stock must be given and not
     negative (0 is taken, see Q15).
     """
-    name_missing = F.col("name").isNull() | (F.trim(F.col("name")) == "")
+    name_missing = F.col("name").isNull() | (F.col("name") == "")
     reason = (F.when(name_missing, "name_required")
               .when(F.col("price").isNull() | (F.col("price") <= 0), "price_not_positive")
               .when(F.col("stock_quantity").isNull() | (F.col("stock_quantity") < 0), "stock_negative_or_missing"))

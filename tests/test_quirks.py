@@ -116,11 +116,11 @@ def test_q15_product_guard_takes_zero_stock_refuses_null_and_negative(spark):
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
                            T.StructField("price", T.LongType()), T.StructField("stock_quantity", T.LongType())])
-    req = spark.createDataFrame([(1, "a", 5, 0), (2, "b", 5, None), (3, "c", 5, -1), (4, " ", 5, 1),
-                                 (5, "e", 0, 1)], schema)
+    req = spark.createDataFrame([(1, "a", 5, 0), (2, "b", 5, None), (3, "c", 5, -1), (4, "", 5, 1),
+                                 (5, "e", 0, 1), (6, " ", 5, 1), (7, None, 5, 1)], schema)
     got = {r["id"]: r["reject_reason"] for r in rows(checks.guard_product_requests(req))}
     assert got == {1: None, 2: "stock_negative_or_missing", 3: "stock_negative_or_missing",
-                   4: "name_required", 5: "price_not_positive"}
+                   4: "name_required", 5: "price_not_positive", 6: None, 7: "name_required"}
 
 
 def test_q18_categories_are_case_sensitive(spark):
