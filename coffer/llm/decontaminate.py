@@ -96,7 +96,7 @@ class Items:
         for i, (own, _) in enumerate(self.sets):
             for x in own.tolist():
                 self.holders.setdefault(x, []).append(i)
-        self.prints = np.array(prints, dtype=np.uint8).reshape(len(prints), -1)
+        self.prints = np.array(prints, dtype=np.uint8).reshape(len(prints), 8 * LANES)
         self.total = np.array([w.sum() for _, w in self.sets])
         self.sizes = sorted(set(self.words))
         self.short = sorted({n for n in self.sizes if n < k})
