@@ -3,7 +3,8 @@ r"""Secret scan with corpus-wide ownership frequency (operator 9, native).
 Candidates are found in every whole text by fixed patterns (``KINDS``). Each candidate's value is hashed, and the
 hashes are counted over the corpus by distinct repositories (documents) and distinct owners (sources). A value that
 ``min_owners`` owners or more have in common is a widely copied example; one that fewer have is taken for a live
-credential of its owner. ``redact`` masks live values and leaves examples.
+credential of its owner. ``redact`` masks live values and leaves examples. A private key is its whole block: the body is
+the value, and all from the header through the footer (or the end of the body, where the footer is missing) is the span.
 
 Offsets without a UDF: ``split`` gives the text between matches and ``regexp_extract_all`` the matches of the same
 pattern, so their lengths, summed in turn, are the offsets in code points. Both run only on texts in which a cheap
@@ -30,15 +31,29 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: What stands between the pieces of a key's body (white space, also escaped, marks of quoting), and the end of a line.
+_BETWEEN = r"""(?:[\s"'>#*|,]|\\+[nrt]|\+(?=\s))"""
+_EOL = r"""[\x20\t\r"',+]*+(?:\n|\\+[nr]|\z)"""
+_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+#: A private key block: header, body (the group) up to the footer. Without a footer the body is what follows of header
+#: fields, long base64 runs and lines that are one base64 run. Loops are possessive, so a long body needs no stack.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"((?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+(?={_END}))"
+    rf"|(?:{_BETWEEN}*+(?:Proc-Type|DEK-Info|Content-Domain|Comment|Version):[^\n\\]*+)*+"
+    rf"(?:{_BETWEEN}*+[A-Za-z0-9+/=]{{24,}}+|[^\S\n]*+(?:\n|\\+[nr]){_BETWEEN}*+[A-Za-z0-9+/=]++(?={_EOL}))*+)"
+    rf"(?:{_END})?")
 #: Further credential formats: private key blocks, hosting-service tokens, chat tokens, signed web tokens, bearer headers.
 MORE = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("private_key", PRIVATE_KEY, 1, 0),
     ("hosting", r"\bgh[pousr]_[A-Za-z0-9]{20,}", 0, 0),
     ("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 0),
     ("bearer", r"\bBearer\x20+[A-Za-z0-9+/_.=~-]{20,}", 0, 0),
 )
 KINDS = BASE + MORE
+#: What is no part of a value of a kind: a key is the same however its lines are broken, indented or escaped.
+LAYOUT = {"private_key": r"\\+[nrt]|[^A-Za-z0-9+/=]+"}
 ANY = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}"
        r"|-----BEGIN|gh[pousr]_|xox[abprs]-|eyJ|Bearer\x20")
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
@@ -46,10 +61,11 @@ MIN_OWNERS = 3
 
 
 def _matches(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind, in order; ``value`` is the SHA-256 of the credential itself."""
+    """Spans of one kind, in order; ``value`` is the SHA-256 of the credential itself (for a key block, of its body)."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+    bare = lambda v: F.regexp_replace(v, LAYOUT[kind], "") if kind in LAYOUT else v
     none = F.array().cast(SPAN)
     folded = F.aggregate(
         found, F.struct(F.lit(0).alias("at"), none.alias("spans")),
@@ -58,7 +74,7 @@ def _matches(text: Column, rank: int, kind: str, pattern: str, group: int, least
             F.when(F.length(m["value"]) >= least, F.concat(acc["spans"], F.array(F.struct(
                 (acc["at"] + F.length(m["gap"])).alias("start"), F.lit(rank).alias("rank"),
                 (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("end"), F.lit(kind).alias("kind"),
-                F.sha2(m["value"], 256).alias("value"))))).otherwise(acc["spans"]).alias("spans")),
+                F.sha2(bare(m["value"]), 256).alias("value"))))).otherwise(acc["spans"]).alias("spans")),
         lambda acc: acc["spans"])
     return F.when(F.size(whole) > 0, folded).otherwise(none)
 

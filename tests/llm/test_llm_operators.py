@@ -251,6 +251,29 @@ def test_redaction_masks_live_values_only(spark, none):
     assert secrets.redact(none).count() == 0
 
 
+def test_private_keys_are_whole_blocks(spark):
+    r = random.Random(35)
+    body = lambda n=200: base64.b64encode(r.randbytes(n)).decode()
+    lines = lambda b, n=64, end="\n": end.join(b[i: i + n] for i in range(0, len(b), n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    shared = body()
+    keys = [f"{begin}\n{lines(body())}\n{end}" for _ in range(5)]
+    keys += [f"{begin}\\n{lines(body(), 64, chr(92) + 'n')}\\n{end}", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{lines(body())}\n{end}",
+             f"{begin}\r\n{lines(body(), 20, chr(13) + chr(10))}", f"{begin}\n{lines(body(205))}", f"{begin}\n{lines(body(90_000))}\n{end}",
+             f"{begin}\n{lines(body())}\n", f"{begin} {lines(body(144), 64, ' ')}"]
+    texts = [f"é key: {k}{chr(10) if chr(10) in k else ' '}and the rest stays" for k in keys]
+    same = [f"see {begin}\n{lines(shared, n)}\n{end} here" for n in (64, 76, 40)]
+    rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts + same)] + [(99, f"{keys[0]}\n{keys[1]}", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    for i in range(len(texts)):
+        assert got[i].replace("\n", " ").split() == "é key: [SECRET] and the rest stays".split(), (i, got[i])
+    assert [got[len(texts) + i] for i in range(3)] == same and got[99] == "[SECRET]\n[SECRET]"
+    found = {x.doc_id: x for x in secrets.report(docs).collect()}
+    assert all(found[i].n_live == 1 and found[i].n_example == 0 and found[i].spans.startswith("private_key:7:") for i in range(len(texts)))
+    assert all(found[len(texts) + i].n_example == 1 for i in range(3))
+
+
 def fill(sizes, weights, total):
     """Targets by dealing out again and again."""
     left, target, open_ = total, {s: 0.0 for s in sizes}, set(sizes)
