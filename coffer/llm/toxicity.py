@@ -1,19 +1,23 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 5).
 
-Terms are the words of a text in lower case (letters and digits). The classifier is fitted on a bounded sample of
-labelled training rows (``TRAIN`` of each class, those with the smallest id hashes; a documented parameter): the ``TERMS``
-terms whose presence tells toxic from other training documents best (signed root of the G statistic) are the
-vocabulary. The share of toxic documents comes from all training labels and inverse document frequencies from one pass
-over all documents. A text is the vector of its vocabulary terms, weighted by (1 + log tf) idf, scaled to length one.
-
-Examples are a bounded sample of these (``EXAMPLES`` of each class, those with the smallest hashes). They form an inverted index in blocks of ``BLOCK`` examples; for each term and block the
-index holds the largest weight there. A query's upper bound in a block is the sum of its weights times these maxima; blocks
+Terms are the words of a text in lower case (letters and digits). Examples are a bounded sample of labelled training rows
+(``EXAMPLES`` of each class, those with the smallest hashes; a documented parameter), and every term of every example is
+in the term space. Inverse document frequencies come from one pass over all documents, the share of toxic documents from all
+training labels. A term's weight is its idf times one plus the root of the G statistic by which its presence tells toxic from
+other documents in a bounded sample of training rows (``TRAIN`` of each class, those with the smallest id hashes): what tells
+the classes apart weighs more, and no term weighs nothing. A text is the vector of its terms, (1 + log tf) times these
+weights, scaled to length one; terms that no example holds match nothing and are left out of its length.
+
+The examples form an inverted index. Rare terms have a list of the examples that hold them, which a query adds up in full.
+The lists of common terms (in more than one example in ``COMMON``) are kept in blocks of ``BLOCK`` examples with the largest
+weight in each. A query's upper bound in a block is the largest sum of rare terms there plus its common weights times these maxima; blocks
 are scored in falling order of their bounds, in waves, until no bound exceeds the ``NEIGHBOURS``-th best similarity, so the
 nearest examples are exact. Ties go to the smaller example number.
 
 The score is a vote of the nearest examples, weighted by similarity, with a prior of weight ``PRIOR`` at the training share of
 toxic documents, and then calibrated by isotonic steps fitted on the examples themselves, each scored without itself. Texts
-without a vocabulary term have no neighbours and get the share of toxic documents among such training examples. Evidence: the nearest examples' ids, similarities and labels.
+without a term of an example have no neighbours and get the share of toxic documents among examples without terms, or else
+among training documents. Evidence: the nearest examples' ids, similarities and labels.
 
 Learning uses training rows only; labels, language, source and ids are never inputs of a score. The index is bounded
 by its parameters and is what is broadcast; documents are never shuffled.
@@ -37,17 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import load, materialize, ship_package
 
-TERMS = 256
 #: Training documents of each class, at most, and examples of each class in the index, at most.
 TRAIN = 8000
 EXAMPLES = 1500
 BLOCK = 64
+#: A term that more than one example in so many holds has its list in blocks.
+COMMON = 8
 #: Blocks scored before the first look at the bounds; each further look comes after twice as many.
 WAVE = 4
 NEIGHBOURS = 15
 PRIOR = 0.25
-#: Least documents of a term in training, and least root of G, to enter the vocabulary.
-MIN_DOCS, MIN_ROOT_G = 4, 4.0
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,53 +68,45 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """``term, other, toxic``: training documents of each class that hold the term; each task folds its own rows first."""
+def _counted(rows: DataFrame, wanted: list[str], columns: int) -> dict[str, list[int]]:
+    """For each of ``wanted``, and for ``""`` (every row), the rows of ``rows`` (``text, column``) that hold it, by ``column``.
+    A task folds its own rows and sends one row a term."""
+    names = [f"n{i}" for i in range(columns)]
+    held = rows.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = (Counter(), Counter()), [0, 0]
+        known, counts = held.value, [Counter() for _ in range(columns)]
         for b in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-                counts[toxic == 1].update(set(terms(text)))
-                n[toxic == 1] += 1
-        names = sorted(set(counts[0]) | set(counts[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(names + [""], pa.string())] + [pa.array([c[t] for t in names] + [m], pa.int64()) for c, m in zip(counts, n)],
-                                         names=["term", "other", "toxic"])
+            for text, column in zip(*(c.to_pylist() for c in b.columns)):
+                counts[column].update(known.intersection(terms(text)))
+                counts[column][""] += 1
+        found = sorted(set().union(*counts))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())] + [pa.array([c[t] for t in found], pa.int64()) for c in counts], names=["term", *names])
 
-    return rows.mapInArrow(fold, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    folded = rows.mapInArrow(fold, ", ".join(["term string", *[f"{n} long" for n in names]]))
+    return {r[0]: list(r[1:]) for r in folded.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).collect()}
 
 
-def vocabulary(counted: DataFrame, size: int = TERMS) -> list[str]:
-    """The terms that tell toxic from other training documents best."""
-    whole = counted.filter("term = ''").first()
-    other, toxic = (whole["other"], whole["toxic"]) if whole else (0, 0)
+def discrimination(counts: dict[str, list[int]]) -> dict[str, float]:
+    """The root of the G statistic of each term's presence against the class, from its (other, toxic) documents."""
+    other, toxic = counts.get("", [0, 0])
     if not other or not toxic:
-        return []
-    a, b = F.col("toxic") / float(toxic), F.col("other") / float(other)
-    both = (F.col("toxic") + F.col("other")) / float(toxic + other)
-    part = lambda x, y: F.when((x > 0) & (y > 0), x * F.log(x / y)).otherwise(0.0)
-    g = 2 * (toxic * (part(a, both) + part(1 - a, 1 - both)) + other * (part(b, both) + part(1 - b, 1 - both)))
-    chosen = (counted.filter((F.col("term") != "") & (F.col("toxic") + F.col("other") >= MIN_DOCS)).withColumn("root", F.sqrt(F.greatest(g, F.lit(0.0))))
-              .filter(F.col("root") >= MIN_ROOT_G).filter(a > b).orderBy(F.desc("root"), "term").limit(size).collect())
-    return sorted(r["term"] for r in chosen)
+        return {}
+    part = lambda x, y: x * math.log(x / y) if x > 0 and y > 0 else 0.0
 
+    def root(n: int, m: int) -> float:
+        a, b, both = m / toxic, n / other, (m + n) / (toxic + other)
+        g = 2 * (toxic * (part(a, both) + part(1 - a, 1 - both)) + other * (part(b, both) + part(1 - b, 1 - both)))
+        return math.sqrt(max(g, 0.0))
 
-def document_frequencies(docs: DataFrame, chosen: list[str]) -> dict[str, float]:
-    """idf of each chosen term, over all of ``docs``; a task sends one row a term."""
-    wanted = frozenset(chosen)
+    return {t: root(n, m) for t, (n, m) in counts.items() if t}
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held = 0, Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                n += 1
-                held.update(wanted.intersection(terms(text)))
-        names = sorted(held)
-        yield pa.RecordBatch.from_arrays([pa.array(names + [""], pa.string()), pa.array([held[t] for t in names] + [n], pa.int64())], names=["term", "n"])
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(fold, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = {r["term"]: r["n"] for r in rows}
-    return {t: math.log(1 + n.get("", 0) / n[t]) for t in chosen if n.get(t)}
+def document_frequencies(docs: DataFrame, chosen: list[str]) -> dict[str, float]:
+    """idf of each chosen term, over all of ``docs``."""
+    n = _counted(docs.select(F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("column")), chosen, 1)
+    every = n.get("", [0])[0]
+    return {t: math.log(1 + every / n[t][0]) for t in chosen if n.get(t, [0])[0]}
 
 
 class Index:
@@ -119,22 +114,35 @@ class Index:
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         self.n = len(vectors)
-        blocks = max(1, -(-self.n // BLOCK))
-        self.most = np.zeros((n_terms, blocks))
-        # the list of a term, as the BLOCK weights of each block
-        self.lists = np.zeros((n_terms, blocks, BLOCK))
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                self.lists[t, i // BLOCK, i % BLOCK] = w
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
+        self.blocks = max(1, -(-self.n // BLOCK))
+        term = np.array([t for v in vectors for t in v], dtype=np.int64)
+        who = np.repeat(np.arange(self.n), [len(v) for v in vectors])
+        weight = np.array([w for v in vectors for w in v.values()], dtype=np.float64)
+        common = np.bincount(term, minlength=n_terms) * COMMON > self.n
+        # the list of a common term, as the BLOCK weights of each block
+        self.place = np.where(common, np.cumsum(common) - 1, -1)
+        self.lists = np.zeros((int(common.sum()), self.blocks, BLOCK))
+        here = common[term]
+        self.lists[self.place[term[here]], who[here] // BLOCK, who[here] % BLOCK] = weight[here]
+        self.most = self.lists.max(axis=2)
+        # the list of a rare term t is [begin[t], begin[t + 1]) of who and weight
+        term, self.who, self.weight = term[~here], who[~here], weight[~here]
+        order = np.argsort(term, kind="stable")
+        self.who, self.weight = self.who[order], self.weight[order]
+        self.begin = np.searchsorted(term[order], np.arange(n_terms + 1))
 
     def nearest(self, v: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The ``k`` nearest vectors of positive similarity, exactly."""
         if not v or not self.n:
             return []
-        t = np.fromiter(v, dtype=np.int64)
-        w = np.fromiter(v.values(), dtype=np.float64)
-        bound = w @ self.most[t]
+        t = np.fromiter(v, dtype=np.int64, count=len(v))
+        w = np.fromiter(v.values(), dtype=np.float64, count=len(v))
+        place = self.place[t]
+        begin, size = self.begin[t], self.begin[t + 1] - self.begin[t]
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        rare = np.bincount(self.who[at], self.weight[at] * np.repeat(w, size), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        t, w = place[place >= 0], w[place >= 0]
+        bound = rare.max(axis=1) + w @ self.most[t]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         similar, number, least = np.empty(0), np.empty(0, dtype=np.int64), 0.0
@@ -146,7 +154,7 @@ class Index:
             if not len(b):
                 break
             at, wave = at + wave, 2 * wave
-            got = np.round(w @ self.lists[t[:, None], b].reshape(len(t), -1), 12)
+            got = np.round(rare[b].ravel() + w @ self.lists[t[:, None], b].reshape(len(t), len(b) * BLOCK), 12)
             who = (b[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             hit = (got > 0) & (got >= least) & (who != without)
             similar, number = np.concatenate([similar, got[hit]]), np.concatenate([number, who[hit]])
@@ -160,9 +168,9 @@ class Index:
 class Model:
     """Examples, index and calibration; everything that a task needs to score texts."""
 
-    def __init__(self, idf: dict[str, float], share: float, examples: list[tuple[int, str, int]]):
-        self.number = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = [idf[t] for t in sorted(idf)]
+    def __init__(self, weights: dict[str, float], share: float, examples: list[tuple[int, str, int]]):
+        self.number = {t: i for i, t in enumerate(sorted(weights))}
+        self.weights = [weights[t] for t in sorted(weights)]
         self.share = share
         vectors = [self.vector(x[1]) for x in examples]
         self.ids, self.labels = [x[0] for x in examples], [x[2] for x in examples]
@@ -172,14 +180,13 @@ class Model:
         self.weight = {1: share / tox, 0: (1 - share) / max(1, len(self.labels) - tox)}
         mass = sum(self.weight[y] for y in bare)
         self.bare = sum(self.weight[y] for y in bare if y) / mass if mass else share
-        self.index = Index(vectors, len(self.idf))
+        self.index = Index(vectors, len(self.weights))
         raw = [(self._vote(self.index.nearest(v, NEIGHBOURS, i)), y) for i, (v, y) in enumerate(zip(vectors, self.labels)) if v]
         self.steps = _isotonic(sorted((s, self.weight[y], y) for s, y in raw))
-        self.memory: dict[tuple, tuple] = {}
 
     def vector(self, text: str) -> dict[int, float]:
         tf = Counter(i for i in map(self.number.get, terms(text)) if i is not None)
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(tf.items())}
+        v = {t: (1 + math.log(n)) * self.weights[t] for t, n in sorted(tf.items())}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / size for t, x in v.items()}
 
@@ -196,13 +203,8 @@ class Model:
         v = self.vector(text)
         if not v:
             return round(self.bare, 6), []
-        key = tuple(v.items())
-        if key not in self.memory:
-            near = self.index.nearest(v, NEIGHBOURS)
-            if len(self.memory) > 50_000:
-                self.memory.clear()
-            self.memory[key] = (round(self._calibrated(self._vote(near)), 6), near)
-        return self.memory[key]
+        near = self.index.nearest(v, NEIGHBOURS)
+        return round(self._calibrated(self._vote(near)), 6), near
 
     def _calibrated(self, raw: float) -> float:
         if not self.steps:
@@ -237,17 +239,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # at most 2 TRAIN rows of two numbers, so the texts need no shuffle
     d, k = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"), F.broadcast(chosen.select("doc_id", "toxic")).alias("k")
     labelled = materialize(d.join(k, F.col("d.doc_id") == F.col("k.doc_id")).select("d.doc_id", "text", "toxic"), "toxic-examples")
-    idf = document_frequencies(docs, vocabulary(materialize(_counted(labelled.select("text", "toxic")), "toxic-terms")))
-    # what the driver holds of an example is its vocabulary terms; only hashes are sorted to choose them
-    kept = F.array_join(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: w.isin(list(idf)) if idf else F.lit(False)), " ")
+    # only hashes are sorted to choose the examples
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
     examples = []
     for label in (0, 1):
         of = hashed.filter((F.col("toxic") == 1) if label else (F.col("toxic") != 1))
         last = of.select("h").orderBy("h").limit(EXAMPLES).agg(F.max("h")).first()[0]
         if last is not None:
-            examples += [(r[0], r[1], label) for r in of.filter(F.col("h") <= last).select("doc_id", kept.alias("t"), "h").sort("h", "doc_id", "t").collect()]
-    return Model(idf, share, examples)
+            examples += [(r[0], r[1], label) for r in of.filter(F.col("h") <= last).select("doc_id", "text", "h").sort("h", "doc_id", "text").collect()]
+    if len({label for *_, label in examples}) < 2:
+        return Model({}, share, examples)
+    chosen = sorted({t for _, text, _ in examples for t in terms(text)})
+    told = discrimination(_counted(labelled.select("text", (F.col("toxic") == 1).cast("int").alias("column")), chosen, 2))
+    idf = document_frequencies(docs, chosen)
+    return Model({t: x * (1 + told.get(t, 0.0)) for t, x in idf.items()}, share, examples)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>"

@@ -374,6 +374,24 @@ def test_toxicity_scores(spark, odd, none):
     assert toxicity.score(none, toxicity.train(none, few)).count() == 0
 
 
+def test_toxicity_uses_every_term_of_the_examples(spark):
+    import zlib
+    r = random.Random(40)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    plain = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    rows = [(i, f"{plain(30)} idiot {plain(30)}", 1) for i in ids[:60]] + [(i, f"zorg blat {plain(8)}", 1) for i in ids[60:62]]
+    rows += [(i, plain(60), 0) for i in ids[62:200]]
+    # neither is labelled: a slur of two examples only, and a long text like a clean example but for one listed word
+    rows += [(5000, "zorg blat, zorg", None), (5001, rows[150][1] + " idiot", None)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(model.number) == {t for _, text, y in rows if y is not None for t in toxicity.terms(text)}
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    assert {n.doc_id for n in got[5000].neighbours[:2]} == set(ids[60:62]) and all(n.similarity > 0.5 for n in got[5000].neighbours[:2])
+    assert rows[150][0] in {n.doc_id for n in got[5001].neighbours} and all(n.similarity < 1 for n in got[5001].neighbours)
+
+
 def test_block_max_search_is_exact():
     r = random.Random(2)
     vectors = []
