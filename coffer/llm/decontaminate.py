@@ -2,8 +2,8 @@
 
 A text is compared with the benchmark in windows as long as the items. Words are runs of ASCII letters and
 digits and of all characters beyond ASCII, in lower case, so changed case and punctuation make no difference. Each item, and each window of an item's length, has a
-``64 * LANES``-bit SimHash: the sign of a sum over its shingles (``k`` words, weighted by rarity in the benchmark) of
-+-1 for each bit of the shingle's hash.
+``64 * LANES``-bit SimHash: the sign of a sum over its distinct shingles (``k`` words, weighted by rarity in the whole
+benchmark) of +-1 for each bit of the shingle's hash, so equal sets of shingles have equal fingerprints.
 
 Multi-index Hamming search: a fingerprint is cut into ``BLOCKS`` blocks; two fingerprints within ``RADIUS`` differ
 in at most ``RADIUS // BLOCKS`` bits of some block. Each block of the items is expanded to all values that near
@@ -15,7 +15,8 @@ shingles are fingerprinted; shared shingles are found by a sorted lookup of all
 window that could be verified.
 
 The benchmark is the small side by contract: its words are sent to all tasks if it has ``MAX_ITEM_WORDS`` words or
-fewer, and else handled in runs of items of that many words, one pass over the documents each. Documents
+fewer, and else handled in runs of items of that many words, one pass over the documents each. Rarity is counted once
+over all items; a shingle of one item weighs as much as one of none, so only those of several are sent. Documents
 are never shuffled; each text is handled whole.
 
 Edge cases: null and empty texts and items match nothing; an item shorter than ``k`` words is one shingle as a whole
@@ -67,27 +68,46 @@ def _fold(total: np.ndarray) -> np.ndarray:
     return np.packbits(total > 1e-6, axis=-1)
 
 
+def _shingled(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place, words, distinct shingles) of each of the items' ``texts`` that has words."""
+    for words in runs(pc.utf8_lower(texts), space=PUNCTUATION):
+        edge = np.searchsorted(words.text, np.arange(words.first, words.first + words.count + 1))
+        for i in range(words.count):
+            n = int(edge[i + 1] - edge[i])
+            if n:
+                yield words.first + i, n, np.unique(_grams(words.hash[edge[i]: edge[i + 1]], min(k, n)))
+
+
+def shared_shingles(items: DataFrame, k: int = K) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of items with words, shingles that several of them hold, how many hold each) over all ``items``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, own in _shingled(b.column(0).fill_null(""), k):
+                # null stands for the item itself
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(own.view(np.int64))])], names=["h"])
+
+    found = items.select("text").mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("h IS NULL OR n > 1").collect()
+    n = sum(r["n"] for r in found if r["h"] is None)
+    some = sorted((r["h"] % 2**64, r["n"]) for r in found if r["h"] is not None)
+    return n, np.array([h for h, _ in some], dtype=np.uint64), np.array([c for _, c in some], dtype=np.int64)
+
+
 class Items:
-    """The benchmark's items, ready for search."""
+    """Items of the benchmark, ready for search. ``shared`` are the shared shingles of the whole benchmark, if ``rows`` are
+    a part of it."""
 
-    def __init__(self, rows: list[tuple[int, str]], k: int = K, threshold: float = THRESHOLD):
+    def __init__(self, rows: list[tuple[int, str]], k: int = K, threshold: float = THRESHOLD, shared: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.k, self.threshold = k, threshold
         self.ids, self.sets, self.words, prints = [], [], [], []
-        kept = []
-        lowered = pc.utf8_lower(pa.array([t or "" for _, t in rows], pa.string()))
-        for words in runs(lowered, space=PUNCTUATION):
-            edge = np.searchsorted(words.text, np.arange(words.first, words.first + words.count + 1))
-            for i in range(words.count):
-                n = int(edge[i + 1] - edge[i])
-                if n:
-                    kept.append((rows[words.first + i][0], n, _grams(words.hash[edge[i]: edge[i + 1]], min(k, n))))
-        everything = np.concatenate([np.unique(s) for _, _, s in kept]) if kept else np.empty(0, dtype=np.uint64)
+        kept = [(rows[i][0], n, own) for i, n, own in _shingled(pa.array([t or "" for _, t in rows], pa.string()), k)]
+        everything = np.concatenate([own for _, _, own in kept]) if kept else np.empty(0, dtype=np.uint64)
         self.known, count = np.unique(everything, return_counts=True)
-        # rarity in the benchmark; a shingle that no item holds weighs most
-        self.top = float(np.log(1 + max(len(kept), 1)))
-        self.rarity = np.log(1 + max(len(kept), 1) / count).astype(np.float64)
-        for item_id, n, s in kept:
-            own = np.unique(s)
+        # rarity in the benchmark; a shingle that no item holds weighs as much as one that one item holds
+        n_items, self.shared, count = shared if shared is not None else (len(kept), self.known, count)
+        self.top = float(np.log(1 + max(n_items, 1)))
+        self.rarity = np.log(1 + max(n_items, 1) / count).astype(np.float64)
+        for item_id, n, own in kept:
             self.ids.append(item_id)
             self.words.append(n)
             self.sets.append((own, self.weight(own)))
@@ -103,10 +123,10 @@ class Items:
         self.index = self._blocks()
 
     def weight(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.shared):
             return np.full(len(h), self.top)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.rarity[at], self.top)
+        at = np.minimum(np.searchsorted(self.shared, h), len(self.shared) - 1)
+        return np.where(self.shared[at] == h, self.rarity[at], self.top)
 
     def _values(self, prints: np.ndarray) -> np.ndarray:
         """The blocks of fingerprints (bytes) as numbers, one column a block."""
@@ -181,15 +201,28 @@ class Items:
         hit = np.zeros(len(h) + 1, dtype=np.int64)
         hit[inside + 1] = 1
         hit = np.cumsum(hit)
+        signs = _signs(h) * weight[:, None]
         sums = np.zeros((len(h) + 1, 64 * LANES), dtype=np.float64)
-        np.cumsum(_signs(h) * weight[:, None], axis=0, out=sums[1:])
+        np.cumsum(signs, axis=0, out=sums[1:])
+        # places whose shingle stands before, and the last such place
+        order = np.argsort(h, kind="stable")
+        again = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        again, before = order[again + 1], order[again]
         for size in sorted(here & set(sizes)):
             m = min(size - k + 1, len(h))
             begin = np.arange(0, max(1, min(starts, len(h) - m + 1)))
             begin = begin[hit[begin + m] > hit[begin]]
             if not len(begin):
                 continue
-            prints = _fold(sums[begin + m] - sums[begin])
+            total = sums[begin + m] - sums[begin]
+            # a repeat counts in no window that holds the place before too: those that begin in (again - m, before]
+            near = again - before < m
+            if near.any():
+                twice = np.zeros_like(sums)
+                np.add.at(twice, np.maximum(again[near] - m + 1, 0), signs[again[near]])
+                np.add.at(twice, before[near] + 1, -signs[again[near]])
+                total -= np.cumsum(twice, axis=0)[begin]
+            prints = _fold(total)
             for row, items, distance in self.within(prints):
                 a = int(begin[row])
                 own, first = np.unique(h[a: a + m], return_index=True)
@@ -216,17 +249,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float
     items = materialize(benchmark.select(F.col("item_id").cast("long"), "text"), "benchmark")
     total = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
     runs = max(1, -(-total // MAX_ITEM_WORDS))
+    # one run counts its own items, which are all
+    shared = spark.sparkContext.broadcast(shared_shingles(items, k) if runs > 1 else None)
     out = None
     for run in range(runs):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(runs)) == run).sort("item_id", "text").collect()]
-        found = _search(docs, spark.sparkContext.broadcast(rows), k, threshold)
+        found = _search(docs, spark.sparkContext.broadcast(rows), shared, k, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(docs: DataFrame, rows, k: int, threshold: float) -> DataFrame:
+def _search(docs: DataFrame, rows, shared, k: int, threshold: float) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows.value, k, threshold)
+        items = Items(rows.value, k, threshold, shared.value)
         for b in batches:
             ids = b.column(0).to_pylist()
             out = [(ids[t], items.ids[i], a, e, s, d) for t, i, a, e, s, d in items.search(b.column(1).fill_null(""))]

@@ -349,6 +349,34 @@ def test_decontamination_finds_every_passage(spark, odd, none):
     assert decontaminate.drop_contaminated(clashing(odd), bench).count() == len(ODD)
 
 
+def test_decontamination_does_not_depend_on_runs(spark, monkeypatch):
+    r = random.Random(7)
+    stock = [f"s{i}" for i in range(12)]
+    items = [(i, " ".join(stock + [f"u{i}x{j}" for j in range(r.randrange(8, 30))])) for i in range(40)] + [(40, None), (41, "?"), (42, "one two")]
+    texts = []
+    for i, t in items[:40]:
+        w = t.split()
+        texts += [(3 * i, f"before it {t} after it"), (3 * i + 1, " ".join(w[:-1] + ["other"])), (3 * i + 2, " ".join(["other", "words"] + w[2:]))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(x) for x in decontaminate.matches(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 150)
+    assert len(whole) >= 40 and sorted(tuple(x) for x in decontaminate.matches(docs, bench).collect()) == whole
+
+
+def test_repeats_leave_fingerprints_equal():
+    r = random.Random(8)
+    refrain = [f"r{i}" for i in range(5)]
+    for n in (30, 120):
+        item = refrain * n + [f"u{i}" for i in range(40)] + refrain * 3
+        found = list(decontaminate.Items([(1, " ".join(item))]).search(pa.array([" ".join([f"f{r.randrange(99)}" for _ in range(30)] + item + ["end"])])))
+        assert [(f[1], f[4], f[5]) for f in found] == [(0, 1.0, 0)]
+    # every window of a random text has the fingerprint of its distinct shingles
+    words = [f"w{r.randrange(3)}" for _ in range(60)]
+    for at in range(0, 40, 7):
+        items = decontaminate.Items([(1, " ".join(words[at: at + 20]))])
+        assert [f[4:] for f in items.search(pa.array([" ".join(words)]))] == [(1.0, 0)]
+
+
 def test_blocks_guarantee_the_radius():
     r = np.random.default_rng(1)
     items = decontaminate.Items([(i, " ".join(f"w{x}" for x in r.integers(0, 1000, 30))) for i in range(50)])
