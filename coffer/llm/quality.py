@@ -7,9 +7,10 @@ prose roughly normal). For each language and source a minimum-covariance-determi
 scatter of the ordinary documents; a document whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 
 The estimate follows FAST-MCD with deterministic starts: two initial subsets (nearest to the coordinate-wise medians
-by sum and by maximum of squared robust z-scores), ``STEPS`` concentration steps each (estimate from the subset, keep
-the ``H`` share with the smallest distances), the start with the smaller determinant, a consistency factor from the
-median distance, and one reweighting step. A step is one aggregation of sums and products by group, so a source that
+by sum and by maximum of squared robust z-scores), concentration steps (estimate from the subset, keep
+the ``H`` share with the smallest distances) until none lowers a determinant, the start with the smaller determinant, a consistency factor from the
+median distance (at least 1: where floored features make the median distance small, it would shrink their floor and
+reject ordinary documents), and one reweighting step. A step is one aggregation of sums and products by group, so a source that
 holds a third of all rows is folded map-side like any other. Vectors are rounded to 1/256 and quantiles are taken of
 rounded values: sums stay exact, ``percentile`` holds a bounded number of distinct values, and reruns agree.
 
@@ -32,10 +33,9 @@ FEATURES = ("x0", "x1", "x2", "x3", "x4")
 #: Least standard deviation of each feature.
 LEAST = (0.5, 0.1, 0.25, 0.25, 0.25)
 H = 0.75
-STEPS = 3
 MIN_GROUP = 60
-#: Squared distance beyond which a document is rejected; the 0.9999 quantile of chi-square with 5 degrees of freedom is 25.7.
-CUTOFF = 100.0
+#: Squared distance beyond which a document is rejected: the 0.9999 quantile of chi-square with 5 degrees of freedom.
+CUTOFF = 25.7448
 #: Medians of chi-square with 5 degrees of freedom, and its 0.975 quantile.
 CHI_MEDIAN, CHI_975 = 4.3515, 12.8325
 UNIT = 256.0
@@ -102,12 +102,13 @@ def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
     sums = [F.count("*").alias("_n")] + [F.sum(f).alias(f"_s{i}") for i, f in enumerate(FEATURES)]
     sums += [F.sum(F.col(f) * F.col(g)).alias(f"_s{i}{j}") for i, f in enumerate(FEATURES) for j, g in enumerate(FEATURES) if j <= i]
     e = rows.groupBy(*by).agg(*sums)
+    product = lambda i, j: F.col(f"_s{i}{j}") / F.col("_n") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n") / F.col("_n")
     e = e.select(*by, "_n", *[(F.col(f"_s{i}") / F.col("_n")).alias(f"m{i}") for i in range(5)],
-                 *[(F.col(f"_s{i}{j}") / F.col("_n") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n") / F.col("_n")
-                    + (F.lit((LEAST[i] * UNIT) ** 2) if i == j else F.lit(0.0))).alias(f"c{i}{j}")
+                 *[(F.greatest(product(i, j), F.lit((LEAST[i] * UNIT) ** 2)) if i == j else product(i, j)).alias(f"c{i}{j}")
                    for i in range(5) for j in range(i + 1)])
     for j in range(5):  # Cholesky, column by column
-        e = e.withColumn(f"l{j}{j}", F.sqrt(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))))
+        e = e.withColumn(f"l{j}{j}", F.sqrt(F.greatest(
+            F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0)), F.col(f"c{j}{j}") * 1e-6)))
         for i in range(j + 1, 5):
             e = e.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}"))
     det = sum((F.log(f"l{j}{j}") for j in range(5)), F.lit(0.0)).alias("logdet")
@@ -140,8 +141,15 @@ def estimates(rows: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("start"), sum(z[1:], z[0]).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*z).alias("d2")))).alias("_e"))
     seeds = seeds.select("gk", *FEATURES, "_e.start", "_e.d2")
     now = materialize(_estimate(_nearest(seeds, by, H), by), "mcd")
-    for _ in range(STEPS):
-        now = materialize(_estimate(_nearest(_distance(rows.join(now, "gk")), by, H), by), "mcd")
+    # a step counts only if it lowers the determinant, so the search ends
+    fell = F.coalesce(F.col("n.logdet") < F.col("o.logdet") - 1e-9, F.lit(False))
+    moved = True
+    while moved:
+        step = _estimate(_nearest(_distance(rows.join(now, "gk")), by, H), by)
+        both = now.alias("o").join(step.alias("n"), F.expr("o.gk = n.gk AND o.start = n.start"), "left")
+        both = materialize(both.select("o.gk", "o.start", *[F.when(fell, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in now.columns if c not in by],
+                                       fell.alias("_fell")), "mcd")
+        now, moved = both.drop("_fell"), bool(both.filter("_fell").limit(1).count())
     best = now.groupBy("gk").agg(F.min_by(F.struct(*[c for c in now.columns if c not in by]), F.struct("logdet", "start")).alias("b")).select("gk", "b.*")
     scaled = _rescaled(rows, materialize(best, "mcd"))
     ordinary = _distance(rows.join(materialize(scaled, "mcd"), "gk")).filter(F.col("d2") <= CHI_975)

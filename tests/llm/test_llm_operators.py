@@ -217,6 +217,17 @@ def test_quality_rejects_outliers_and_keeps_clean(spark, odd, none):
     assert quality.keep_good(none).columns == none.columns and quality.keep_good(none).count() == 0
 
 
+def test_quality_rejects_by_one_feature_alone(spark):
+    r = random.Random(6)
+    text = lambda i: "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(8)) for _ in range(r.randrange(18, 24)))
+    rows = [(i, text(i), "en", "a", 0) for i in range(200)]
+    # short repeated lines: no five-word window repeats, so the base rule is silent
+    rows += [(1000, "\n".join(x for i, line in enumerate(text(0).split("\n")) for x in (line, "go", "go")), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {x.doc_id for x in quality.keep_good(docs).collect()}
+    assert 1000 not in kept and len(kept) >= 196
+
+
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
