@@ -275,8 +275,9 @@ def _search(docs: DataFrame, rows, shared, k: int, threshold: float) -> DataFram
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = materialize(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    d, f = docs.withColumn("_id", F.col("doc_id").cast("long")).alias("d"), found.alias("f")
-    return d.join(f, F.expr("d._id <=> f.doc_id"), "left_anti").drop("_id")
+    # user columns travel in one struct, so their names can't clash
+    d, f = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).alias("d"), found.alias("f")
+    return d.join(f, F.expr("d.id <=> f.doc_id"), "left_anti").select("row.*")
 
 
 def op7_benchmark_decontamination(spark, sf_dir) -> DataFrame:

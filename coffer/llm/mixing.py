@@ -124,10 +124,12 @@ def apply_cuts(measured: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 1) -> DataFrame:
-    """All rows of ``docs`` with ``size, source_size, target, taken``."""
-    sizes = materialize(measure(docs, seed).select("source", "size", "mix_key"), "mix-sizes")
+    """All rows of ``docs`` with ``size, source_size, target, taken`` (which replace columns of these names)."""
+    # user columns travel in one struct, so their names can't clash
+    rows = docs.select("doc_id", "text", "source", F.struct(*[c for c in docs.columns if c not in MIX]).alias("row"))
+    sizes = materialize(measure(rows, seed).select("source", "size", "mix_key"), "mix-sizes")
     decided = materialize(cuts(sizes, materialize(targets(sizes, weights, share, cap), "mix-targets")).coalesce(1), "mix-cuts")
-    return apply_cuts(measure(docs, seed), decided).drop("mix_key")
+    return apply_cuts(measure(rows, seed), decided).select("row.*", *MIX)
 
 
 def op10_mix_sources(spark, sf_dir) -> DataFrame:

@@ -131,8 +131,10 @@ def redact(docs: DataFrame, min_owners: int = MIN_OWNERS, mask: str = "[SECRET]"
     _, judged = scan(docs, min_owners)
     live = materialize(judged.select(F.col("doc_id").alias("of"), "at", F.filter("judged", lambda s: ~s["example"]).alias("live"))
                        .filter(F.size("live") > 0), "secret-live")
+    # user columns travel in one struct, so their names can't clash
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     hit = text_of().rlike(ANY)
-    with_spans = docs.filter(hit).withColumn("found_at", F.sha2(F.to_json(candidates(text_of())), 256))
+    with_spans = rows.filter(hit).withColumn("found_at", F.sha2(F.to_json(candidates(text_of())), 256))
     joined = with_spans.join(live, F.expr("doc_id <=> of AND found_at = at"), "left")
     done = F.aggregate(
         F.col("live"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -141,10 +143,10 @@ def redact(docs: DataFrame, min_owners: int = MIN_OWNERS, mask: str = "[SECRET]"
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
                 acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"))),
         lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    clean = joined.withColumn("text", F.when(F.col("live").isNotNull(), done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.filter(~hit).unionByName(clean.select(*docs.columns))
+    masked = joined.select(F.when(F.col("live").isNotNull(), done).otherwise(F.col("text")).alias("masked"), F.col("live").isNotNull().alias("cut"), "row")
+    new = {"text": F.col("masked"), "n_chars": F.when(F.col("cut"), F.length("masked").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    clean = masked.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return docs.filter(~hit).unionByName(clean)
 
 
 def op9_secret_scan(spark, sf_dir) -> DataFrame:

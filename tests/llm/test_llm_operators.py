@@ -46,7 +46,19 @@ def none(spark):
 def clashing(df):
     """Columns with names that the operators use themselves."""
     from pyspark.sql import functions as F
-    return df.withColumns({c: F.lit("mine") for c in ("size", "taken", "fp", "removed", "gk", "n_words", "spans", "token", "component_id", "x0", "row")})
+    return df.withColumns({c: F.lit("mine") for c in ("size", "taken", "fp", "removed", "gk", "n_words", "spans", "token", "component_id", "x0", "row",
+                                                   "live", "at", "of", "found_at", "epochs", "cut_key", "cut_take", "_id", "id", "body", "out", "twice", "masked", "cut")})
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    docs = clashing(odd)
+    mine = {c for c in docs.columns if c not in odd.columns}
+    bench = spark.createDataFrame([(1, "some item of the benchmark with more than ten words in it here")], "item_id long, text string")
+    for out, own in ((jaccard.keep_one(docs), mine), (decontaminate.drop_contaminated(docs, bench), mine), (secrets.redact(docs), mine),
+                     (mixing.mix(docs), mine - {"size", "taken"})):
+        rows = out.collect()
+        assert rows and set(odd.columns) | own <= set(out.columns)
+        assert all(r[c] == "mine" for r in rows for c in own)
 
 
 def test_words_and_shingles_match_brute_force():
