@@ -335,7 +335,7 @@ def test_mix_reaches_targets(spark, odd, none):
 def test_queries_match_sql(spark, name):
     from tools.check_oracle import digest
     con = duckdb.connect()
-    for t in "documents pages benchmark labels".split():
+    for t in "documents pages benchmark labels embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF_SMALL)
     cur = con.execute(queries.ORACLE[name])
