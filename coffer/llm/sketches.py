@@ -11,7 +11,7 @@ serves all documents. Documents of a Jaccard similarity of num/den or more link;
    shared values drop out; a value that a third of all texts hold comes last in every set's order.
 4. First each list's sets of like size meet only one of them, the set with most shared values, so a group of thousands of near copies gives pairs
    in proportion to its members. Links found are contracted to classes; then only sets of different classes meet, and only if the parity
-   bits of their sketches allow the needed overlap.
+   bits of their sketches allow the needed overlap, and those of their whole sets the similarity.
 5. The union-sketch estimate: of the smallest ``SKETCH`` values of two sketches' union, those that both hold. Pairs whose estimate is
    below ``need`` are dropped, as are those whose whole sets differ in more parity bits than linked sets can.
 6. The other pairs are verified on whole sets, host by host.
@@ -105,16 +105,19 @@ def _shared(sets: DataFrame, values: str, k: int, num: int, den: int) -> DataFra
 
 
 def whole_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
-    """``fp, n, shingles, sketch, sketch_parity, parity`` of the vertices in ``live`` (written: ``fp, doc_id`` of one text each)."""
+    """``fp, n, shingles, sketch, sketch_parity, parity`` of the vertices in ``live`` (written: ``fp, doc_id`` of one text each, and
+    whether several rows have that id)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [[] for _ in range(6)]
+            wanted = b.column(1).to_pylist()
             for words in runs(b.column(0)):
-                for _, h in words.sets(k):
-                    if len(h):
+                for i, h in words.sets(k):
+                    # rows that share an id bring other texts along: they are told by their digest
+                    if len(h) and (fp := _digest(h)) == wanted[i]:
                         low = h[:SKETCH]
-                        for c, v in zip(cols, (_digest(h), len(h), h.tobytes(), low.view(np.int64), _parity(low), _parity(h))):
+                        for c, v in zip(cols, (fp, len(h), h.tobytes(), low.view(np.int64), _parity(low), _parity(h))):
                             c.append(v)
             types = [pa.int64(), pa.int64(), pa.binary(), _LONGS, _LONGS, _LONGS]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["fp", "n", "shingles", "sketch", "sketch_parity", "parity"])
@@ -122,16 +125,22 @@ def whole_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
     # most texts are not live: marks keep them out of the exchange, the merge join decides
     d = docs.select(F.col("doc_id").cast("long"), "text")
     d = Marks(live.select("doc_id")).tell(d, F.col("doc_id"), "live").filter("live").alias("d")
-    texts = d.join(live.select(F.col("doc_id").alias("of")).hint("merge"), F.expr("d.doc_id <=> of")).select("d.text")
-    made = texts.mapInArrow(of, "fp long, n long, shingles binary, sketch array<long>, sketch_parity array<long>, parity array<long>")
-    # rows that share an id may bring other texts along: they are told by their digest, and a digest's first row stays
-    return made.join(live.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    kept = "fp long, n long, shingles binary, sketch array<long>, sketch_parity array<long>, parity array<long>"
+    texts = lambda which: d.join(live.filter(which).select("fp", F.col("doc_id").alias("of")).hint("merge"), F.expr("d.doc_id <=> of")).select("d.text", "fp")
+    # only rows that share an id can repeat a text of one vertex, so only their sets need another exchange
+    return texts("NOT twice").mapInArrow(of, kept).unionByName(texts("twice").mapInArrow(of, kept).dropDuplicates(["fp"]))
 
 
 def _differ(bits: str) -> Column:
     return sum((F.bit_count(F.col(f"x.{bits}")[i].bitwiseXOR(F.col(f"y.{bits}")[i])) for i in range(WORDS)), F.lit(0))
 
 
+def _parity_allows(num: int, den: int) -> Column:
+    """Whether whole sets ``x`` and ``y`` differ in no more parity bits than linked sets can differ in shingles."""
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * num / (num + den))
+    return _differ("parity") <= F.col("x.n") + F.col("y.n") - 2 * need
+
+
 def _sizes_allow(num: int, den: int) -> Column:
     return F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num
 
@@ -150,15 +159,15 @@ def lists(sets: DataFrame, num: int, den: int) -> DataFrame:
 def estimated(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``pairs`` (``host, partner``) that pass the union-sketch estimate and the parity of the whole sets, with the partner's size ``n``."""
     p, x, y = pairs.alias("p"), sets.select("fp", "n", "sketch", "parity").alias("x"), sets.select("fp", "n", "sketch", "parity").alias("y")
-    both = p.join(x, F.col("p.host") == F.col("x.fp")).join(y, F.col("p.partner") == F.col("y.fp"))
+    # as merge joins at any size: pairs grow with the sets
+    both = p.join(x.hint("merge"), F.col("p.host") == F.col("x.fp")).join(y.hint("merge"), F.col("p.partner") == F.col("y.fp"))
     union = F.slice(F.array_sort(F.array_union(F.transform("x.sketch", _unsigned), F.transform("y.sketch", _unsigned))), 1, SKETCH)
     common = F.size(F.array_intersect(union, F.array_intersect(F.transform("x.sketch", _unsigned), F.transform("y.sketch", _unsigned))))
     least = least_overlap(SKETCH, num, den)
     # where the union is within the sketch, the estimate is the similarity itself
     passes = F.when((F.col("x.n") <= SKETCH) & (F.col("y.n") <= SKETCH) & (F.size(F.array_union("x.sketch", "y.sketch")) <= SKETCH),
                     common * den >= F.size(union) * num).otherwise(common >= least)
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * num / (num + den))
-    return both.filter((_differ("parity") <= F.col("x.n") + F.col("y.n") - 2 * need) & passes).select("host", "partner", F.col("y.n").alias("n"))
+    return both.filter(_parity_allows(num, den) & passes).select("host", "partner", F.col("y.n").alias("n"))
 
 
 def _unsigned(v: Column) -> Column:
@@ -171,11 +180,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     chunk of its partners, and chunks have a bounded number of shingles."""
     load_of = pairs.groupBy("host").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("chunks"))
     dealt = pairs.join(load_of, "host").select("host", "partner", F.pmod(F.xxhash64("partner"), F.col("chunks")).alias("chunk"))
-    d, s = dealt.alias("d"), sets.select("fp", "shingles").alias("s")
-    members = d.join(s, F.col("d.partner") == F.col("s.fp")).select("host", "chunk", F.col("partner").alias("member"), "shingles")
-    h = dealt.select("host", "chunk").distinct().alias("h")
-    hosts = h.join(s, F.col("h.host") == F.col("s.fp")).select("host", "chunk", F.lit(None).cast("long").alias("member"), "shingles")
-    rows = hosts.unionByName(members).repartition("host", "chunk").sortWithinPartitions("host", "chunk", F.col("member").asc_nulls_first())
+    none = F.lit(None).cast("long")
+    asked = dealt.select("host", "chunk", F.col("partner").alias("member"), F.col("partner").alias("of")).unionByName(
+        dealt.select("host", "chunk").distinct().select("host", "chunk", none.alias("member"), F.col("host").alias("of")))
+    asked = materialize(asked, "sketch-asked")
+    # one merge join fetches hosts and members; sets that nobody asks for stay where they are
+    s = Marks(asked.select("of")).tell(sets.select("fp", "shingles"), F.col("fp"), "asked").filter("asked").alias("s")
+    rows = asked.hint("merge").join(s, F.col("of") == F.col("s.fp")).select("host", "chunk", "member", "shingles")
+    rows = rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk", F.col("member").asc_nulls_first())
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, values = None, None
@@ -202,7 +214,9 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     some = rows.filter("fp IS NOT NULL")
     one = materialize(some.groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("probe").alias("probe")), "sketch-one")
     live = _shared(one, "probe", PROBE, num, den).select("fp")
-    live = materialize(one.select("fp", "doc_id").join(live.hint("merge"), "fp", "left_semi"), "sketch-live")
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("doc_id").alias("of"), F.lit(True).alias("several"))
+    live = one.select("fp", "doc_id").join(live.hint("merge"), "fp", "left_semi").join(twice.hint("merge"), F.expr("doc_id <=> of"), "left")
+    live = materialize(live.select("fp", "doc_id", F.coalesce("several", F.lit(False)).alias("twice")), "sketch-live")
     sets = materialize(whole_sets(docs, live, k), "sketch-sets")
     entered = materialize(lists(sets, num, den), "sketch-lists")
 
@@ -222,13 +236,13 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     marked = e.join(c, F.col("e.fp") == F.col("c.vertex"), "left").select("token", "fp", "n", "before", F.coalesce("component", "fp").alias("label"))
     marked = materialize(marked, "sketch-marked")
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    m, s = marked.join(mixed, "token", "left_semi").alias("m"), sets.select("fp", "sketch_parity").alias("s")
-    meeting = materialize(m.join(s, F.col("m.fp") == F.col("s.fp")).select("m.*", F.col("sketch_parity").alias("bits")), "sketch-meeting")
+    m, s = marked.join(mixed, "token", "left_semi").alias("m"), sets.select("fp", "sketch_parity", "parity").alias("s")
+    meeting = materialize(m.join(s, F.col("m.fp") == F.col("s.fp")).select("m.*", F.col("sketch_parity").alias("bits"), "parity"), "sketch-meeting")
     x, y = meeting.alias("x"), meeting.alias("y")
     sketch = lambda side: F.least(F.col(f"{side}.n"), F.lit(SKETCH))
     apart = sketch("x") + sketch("y") - 2 * F.greatest(_need(F.col("x.n"), SKETCH, num, den), _need(F.col("y.n"), SKETCH, num, den))
     rest = x.join(y, "token").filter((F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & _sizes_allow(num, den)
-                                     & (_differ("bits") <= apart) & ~F.arrays_overlap("x.before", "y.before"))
+                                     & (_differ("bits") <= apart) & _parity_allows(num, den) & ~F.arrays_overlap("x.before", "y.before"))
     rest = rest.select(F.col("x.fp").alias("host"), F.col("y.fp").alias("partner"))
     done = first.select(F.least("host", "partner").alias("host"), F.greatest("host", "partner").alias("partner"))
     rest = materialize(rest.join(done, ["host", "partner"], "left_anti"), "sketch-rest")
