@@ -54,12 +54,17 @@ def team_totals(tables: Tables) -> DataFrame:
 
 def team_rankings(tables: Tables) -> DataFrame:
     """Ranked teams: score desc, ties by team name (stable sort over ORDER BY name)."""
-    totals = team_totals(tables).withColumn(
+    return ranked(team_totals(tables))
+
+
+def ranked(totals: DataFrame) -> DataFrame:
+    """Rows of ``team_totals`` with score, position, medal and progress."""
+    totals = totals.withColumn(
         "donation_score", fx.donation_score(F.col("total_donated"), F.col("total_earned")))
     # One row per team: a single-partition window over an aggregated frame.
     w = Window.orderBy(F.desc("donation_score"), F.asc("team_name"), F.asc("id"))
-    ranked = totals.withColumn("position", F.row_number().over(w).cast("bigint"))
-    return ranked.select(
+    placed = totals.withColumn("position", F.row_number().over(w).cast("bigint"))
+    return placed.select(
         "id", "team_name", "member_count", "total_earned", "total_spent", "total_donated",
         "current_balance", "donation_score", "position",
         fx.medal(F.col("position")).alias("medal"),

@@ -6,9 +6,11 @@ DataFrame(s); nothing is updated in place (parquet has no MERGE here).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coffer.plans.numbering import dense_ids
+
 # Names the reset gives to teams 1-6, ledger texts of the admin
 # balance edit and of the sample ledger generator.
 RESET_TEAM_NAMES = {1: "A그룹", 2: "B그룹", 3: "C그룹", 4: "D그룹", 5: "E그룹", 6: "Z그룹"}
@@ -26,13 +28,11 @@ SAMPLE_DONATING_TEAMS_MAX_ID = 4
 def insert_if_absent(existing: DataFrame, candidates: DataFrame, key: str = "name") -> DataFrame:
     """Add candidate rows whose unique key is absent; new ids follow the current maximum.
 
-    The new rows are numbered in key order by a window over the (de-duplicated)
-    absent candidates only, which is the size of the insert batch.
+    The new rows are numbered in key order, range by range (``numbering.dense_ids``), so a batch of any size is spread.
     """
     new = candidates.select(key).distinct().join(existing.select(key), key, "left_anti")
-    top = existing.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = new.withColumn("id", (top + F.row_number().over(Window.orderBy(key))).cast("bigint"))
-    added = numbered.select("id", key, F.lit(True).alias("inserted"))
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = dense_ids(new, (key,), top).select("id", key, F.lit(True).alias("inserted"))
     return existing.select("id", key, F.lit(False).alias("inserted")).unionByName(added)
 
 

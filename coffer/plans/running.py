@@ -54,3 +54,18 @@ def exclusive_running_sums(df: DataFrame, sums: dict[tuple[str, str], dict[str,
                                for n in values})
         out = out.drop("_key", "_chunk", "_later", *[f"_{n}_in" for n in values], *[f"_{n}_off" for n in values])
     return out
+
+
+def running_last(df: DataFrame, key: str, chunk: str, value: str, name: str, order=ORDER) -> DataFrame:
+    """Add ``name``: per key, the last ``value`` that isn't null, at this row or before it (null without one).
+
+    Two levels, as the running sums: a window inside each (key, chunk), and per key one row a chunk for what comes before.
+    """
+    inside = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = df.groupBy(F.col(key).alias("_key"), F.col(chunk).alias("_chunk")).agg(F.max_by(value, known).alias("_end"))
+    carried = ends.select("_key", "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_carried")).filter("_carried IS NOT NULL")
+    out = df.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
+    out = out.join(F.broadcast(carried), F.col(key).eqNullSafe(F.col("_key")) & (F.col(chunk) == F.col("_chunk")), "left")
+    return out.withColumn(name, F.coalesce("_own", "_carried")).drop("_key", "_chunk", "_own", "_carried")

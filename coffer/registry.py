@@ -284,6 +284,12 @@ def _stream_team_totals(spark, sf_dir):
     return streams.run_team_totals(spark, t.transactions, t.users, t.teams)
 
 
+@register("stream_ranking")
+def _stream_ranking(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return streams.stream_totals(spark, t.transactions, t.users, t.teams).read("ranking")
+
+
 @register("stream_redeem")
 def _stream_redeem(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -296,8 +302,32 @@ def _stream_stock(spark, sf_dir):
     return streams.run_stock(spark, fixtures.stock_adjustments(spark, sf_dir), t.products)
 
 
-# --- file sources and sinks (inputs written from the test tables first) ------------
+# --- posting into stored tables ------------------------------------------------------
+from coffer.plans import posting  # noqa: E402
 from coffer.session import scratch_path  # noqa: E402
+from coffer.sources.commits import TableStore  # noqa: E402
+
+
+@register("post_redemptions")
+def _post_redemptions(spark, sf_dir):
+    """The stored ledger after a posted redemption log."""
+    t = tables(spark, sf_dir)
+    store = TableStore.create(spark, scratch_path(spark, "post"), {n: getattr(t, n) for n in ("users", "money_codes", "transactions")})
+    posting.post_redemptions(store, fixtures.redemption_requests(spark, sf_dir))
+    return store.read("transactions")
+
+
+@register("post_admission")
+def _post_admission(spark, sf_dir):
+    """The stored ledger after a posted run of store requests, with the role guard on."""
+    t = tables(spark, sf_dir)
+    names = ("users", "products", "teams", "orders", "donations", "transactions", "team_inventory")
+    store = TableStore.create(spark, scratch_path(spark, "post"), {n: getattr(t, n) for n in names})
+    posting.post_admission(store, fixtures.store_requests(spark, sf_dir))
+    return store.read("transactions")
+
+
+# --- file sources and sinks (inputs written from the test tables first) ------------
 from coffer.sources import files  # noqa: E402
 
 

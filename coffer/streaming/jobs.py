@@ -1,359 +1,163 @@
 """Structured Streaming twins of the batch jobs (ST1-ST3).
 
-* ST1 live team totals: the ledger stream joined to the (static) users, grouped
-  per team with partial aggregation; complete mode, one row of state per team.
-* ST2 first redemption wins: requests keyed by code through
-  ``applyInPandasWithState``; the state of a code is whether it is taken.
-* ST3 stock level and active flag: adjustments keyed by product through
-  ``applyInPandasWithState``; the state is (exists, stock, active).
-
-Order: requests may arrive out of order by up to ``ORDER_DELAY``. The stream
-carries an event-time watermark; each group keeps arriving requests in its
-state and releases them, sorted by (requested_at, request_id), once the
-watermark has passed them; an event-time timeout wakes a group whose pending
-requests the watermark passes while no new data arrives for it. A request
-behind the watermark is dropped by Spark before the stateful operator; the
-runner counts such drops from the query progress and fails rather than
-return an incomplete result. (A request at the watermark's exact edge that
-falls behind what its key already released is answered ``late``.) The source's ``maxFilesPerTrigger`` (or a
-Kafka source's ``maxOffsetsPerTrigger``) bounds what one group receives per
-micro-batch.
-Sinks are ``foreachBatch`` writes to parquet under the shared checkpoint
-folder, keyed by batch id so a replayed batch overwrites its own output
-(exactly-once results).
+* ST1 live team totals: each micro-batch of the ledger adds its sums per team to the totals of the version before; the
+  ranking of the totals is one more table of the version.
+* ST2 first redemption wins: a code's first request in (time, id) order takes it, as in the batch job; the codes taken so far are
+  an append-only table.
+* ST3 stock level and active flag: the batch job's fold, from the stock and flags that the version before left.
+
+All three are ``foreachBatch`` queries whose state and results are committed together (``folds.LogFold``, ``TableStore``); order,
+lateness and replay are described there. The source's ``maxFilesPerTrigger`` (or a Kafka source's ``maxOffsetsPerTrigger``)
+bounds a micro-batch.
 """
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from coffer.plans.redeem import REDEEM_ROLES
-from coffer.session import scratch_path, ship_package
+from coffer.operators import rankings
+from coffer.plans.redeem import redeem_codes
+from coffer.plans.stock import adjust_stock
+from coffer.session import materialize, scratch_path
+from coffer.sources.commits import TableStore
+from coffer.streaming.folds import LogFold
+
+ORDER_DELAY_SECONDS = 3600
 
 # --- plumbing ---------------------------------------------------------------------
 
 
 def _slices(df: DataFrame, time_col: str, pieces: int) -> list[DataFrame]:
-    """Cut a log into ``pieces`` consecutive time ranges (one small aggregate for the bounds)."""
+    """Cut a log into ``pieces`` consecutive time ranges (one small aggregate for the bounds); rows without a time come first."""
     micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {time_col})")
     bounds = df.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
     if bounds.lo is None:
         return [df]
     span = bounds.hi - bounds.lo + 1
-    piece = F.floor((micros - F.lit(bounds.lo)) * pieces / F.lit(span)).cast("int")
+    piece = F.coalesce(F.floor((micros - F.lit(bounds.lo)) * pieces / F.lit(span)).cast("int"), F.lit(0))
     return [df.filter(piece == i) for i in range(pieces)]
 
 
-def run_in_slices(spark: SparkSession, log: DataFrame, time_col: str, pieces: int, name: str,
-                  start_query, heartbeat: DataFrame | None = None) -> str:
-    """Feed ``log`` to a file-source stream slice by slice, in time order, and return the output folder.
+def feed(spark: SparkSession, parts: Iterable[DataFrame], name: str, sink) -> None:
+    """Append ``parts`` one by one to a file source and let a ``foreachBatch`` query consume each with ``availableNow``.
 
-    Each slice is appended to the source folder (with its own parallelism), then
-    the query is started with ``availableNow`` and runs until it has consumed
-    exactly the new files. Every start restores the operator state from the
-    checkpoint, as after a restart of a long-running query; this also stands in
-    for a log source (e.g. Kafka partitioned by key) that delivers each key's
-    requests in order.
+    Every start goes on from the checkpoint, as after a restart of a long-running query.
     """
-    ship_package(spark)
-    src, out, ck = (scratch_path(spark, f"{name}-{n}") for n in ("src", "out", "ck"))
-    log.limit(0).write.parquet(src)  # the folder exists (and has a schema) before the first start
-    parts = _slices(log, time_col, pieces)
-    if heartbeat is not None:
-        parts.append(heartbeat)
-    # State partitions are fixed at the first start (AQE cannot coalesce them): one per core,
-    # within the session's shuffle setting, which is restored afterwards.
-    setting = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions",
-                   str(max(1, min(int(setting), spark.sparkContext.defaultParallelism))))
-    dropped = 0
-    try:
-        for part in parts:
-            part.write.mode("append").parquet(src)
-            dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
-        if heartbeat is not None:  # one more start with no new data lets the last timeouts fire
-            dropped += run_to_end(start_query(spark.readStream.schema(log.schema).parquet(src), out, ck))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", setting)
-    if dropped:
-        raise RuntimeError(f"{dropped} requests arrived later than the watermark delay and were dropped; "
-                           "the result would not be whole")
-    return out
-
-
-def run_to_end(query) -> int:
-    """Wait for an ``availableNow`` query; return how many input rows its watermark dropped as late."""
-    query.awaitTermination()
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for p in query.recentProgress for op in p.get("stateOperators", []))
-
-
-def heartbeat_row(log: DataFrame, time_col: str, delay_seconds: int, **values) -> DataFrame:
-    """One marker row later than the whole log by more than the delay, to move the watermark past it."""
-    hi = log.agg(F.max(time_col).alias("hi"))
-    cols = []
-    for f in log.schema.fields:
-        if f.name == time_col:
-            cols.append(F.expr(f"timestampadd(SECOND, {delay_seconds + 1}, hi)").alias(f.name))
-        else:
-            cols.append(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name))
-    return hi.select(*cols)
-
-
-def _start(stream: DataFrame, sink, checkpoint: str, output_mode: str = "append"):
-    return (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def _batch_writer(path: str, mode: str = "append"):
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "overwrite":
-            batch.write.mode("overwrite").parquet(path)
-        else:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
-    return sink
-
-
-# --- event-time ordering inside a group ------------------------------------------------
-
-ORDER_DELAY_SECONDS = 3600
-ORDER_DELAY = f"{ORDER_DELAY_SECONDS} seconds"
-HEARTBEAT_ID = -1
-_ORDER = ["requested_at", "request_id"]
-
-
-def _micros(ts: pd.Series) -> pd.Series:
-    return pd.to_datetime(ts).astype("datetime64[us]").astype("int64")
+    src, ck = scratch_path(spark, f"{name}-src"), scratch_path(spark, f"{name}-ck")
+    schema = None
+    for part in parts:
+        if schema is None:
+            schema = part.schema
+            part.limit(0).write.parquet(src)  # the folder exists before the first start
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
 
 
-def _encode(pending: pd.DataFrame) -> str | None:
-    if pending.empty:
-        return None
-    p = pending.copy()
-    p["requested_at"] = _micros(p["requested_at"])  # zone-free: the NTZ wall time as plain micros
-    return p.to_json(orient="split", index=False)
-
-
-def _decode(text: str | None, columns: list[str]) -> pd.DataFrame:
-    if not text:
-        return pd.DataFrame(columns=columns)
-    p = pd.read_json(io.StringIO(text), orient="split", dtype=False)
-    p["requested_at"] = pd.to_datetime(p["requested_at"], unit="us")
-    return p
+# --- ST1 ------------------------------------------------------------------------------
 
+SUMS = ("earned", "spent", "donated")
 
-def _release(new: pd.DataFrame, pending: pd.DataFrame, state: GroupState, last_us: int | None):
-    """Split buffered + new requests into (ready in order, late, still pending) by the watermark."""
-    rows = pd.concat([x for x in (pending, new) if not x.empty]) if not (pending.empty and new.empty) else new
-    if rows.empty:
-        return rows, rows, rows
-    wm_us = state.getCurrentWatermarkMs() * 1000
-    t = rows["event_us"].astype("int64")  # epoch micros of the watermark's own event time
-    late = rows[(t <= last_us)] if last_us is not None else rows.iloc[0:0]
-    rows = rows[t > last_us] if last_us is not None else rows
-    t = rows["event_us"].astype("int64")
-    ready = rows[t <= wm_us].sort_values(_ORDER, kind="stable")
-    return ready, late, rows[t > wm_us]
 
+def team_increments(ledger: DataFrame, users: DataFrame) -> DataFrame:
+    """``team_id, earned, spent, donated`` of some ledger rows, summed per user before they meet the users."""
+    members = users.filter(F.col("team_id").isNotNull()).select(F.col("id").alias("user_id"), "team_id")
+    return rankings.ledger_by_user(ledger).join(members, "user_id").groupBy("team_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS])
 
-def _keep_pending(state: GroupState, pending: pd.DataFrame) -> None:
-    if not pending.empty:
-        state.setTimeoutTimestamp(int(pending["event_us"].astype("int64").min() // 1000))
 
+def totals_fold(spark: SparkSession, path: str, ledger: DataFrame, users: DataFrame, teams: DataFrame) -> LogFold:
+    """ST1: ``totals`` has a row per team, ``ranking`` the ranked teams; sums have no order, so nothing waits."""
 
-def _event_time(df: DataFrame) -> DataFrame:
-    """Watermarked event time (TIMESTAMP) plus the same instant as epoch micros for the group functions."""
-    df = df.withColumn("event_time", F.to_timestamp("requested_at"))
-    return df.withColumn("event_us", F.unix_micros("event_time")).withWatermark("event_time", ORDER_DELAY)
+    def step(store: TableStore, rows: DataFrame):
+        new = store.read("totals").unionByName(team_increments(rows, users)).groupBy("team_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS])
+        new = materialize(new, "st1-totals")
+        return {"totals": new, "ranking": rankings.ranked(team_board(new, users, teams))}, {}
 
+    none = team_increments(ledger.limit(0), users)
+    return LogFold(spark, path, ledger, None, 0, step, {"totals": none, "ranking": rankings.ranked(team_board(none, users, teams))})
 
-# --- ST1 ------------------------------------------------------------------------------
 
-def team_totals_stream(ledger: DataFrame, users: DataFrame) -> DataFrame:
-    """Per team: members seen in the ledger stream's joins and earned / spent / donated sums."""
-    members = users.filter(F.col("team_id").isNotNull()).select(F.col("id").alias("uid"), "team_id")
-    t, a = F.col("type"), F.col("amount")
-    j = ledger.join(members, ledger.user_id == members.uid)
-    return j.groupBy("team_id").agg(
-        F.sum(F.when(t == "earn", a).otherwise(0)).alias("earned"),
-        F.sum(F.when(t.isin("purchase", "donation_sent"), F.abs(a)).otherwise(0)).alias("spent"),
-        F.sum(F.when(t == "donation_sent", F.abs(a)).otherwise(0)).alias("donated"))
-
-
-def run_team_totals(spark: SparkSession, ledger: DataFrame, users: DataFrame, teams: DataFrame,
-                    pieces: int = 4) -> DataFrame:
-    """Stream the ledger through ST1 and return the final per-team totals (batch twin: A1 sums)."""
-    out = run_in_slices(spark, ledger, "created_at", pieces, "st1", lambda stream, out, ck: _start(
-        team_totals_stream(stream, users), _batch_writer(out, "overwrite"), ck, "complete"))
-    totals = spark.read.parquet(out)
+def team_board(totals: DataFrame, users: DataFrame, teams: DataFrame) -> DataFrame:
+    """Totals of all teams, also of those without members or ledger rows."""
     counts = users.filter(F.col("team_id").isNotNull()).groupBy(F.col("team_id").alias("ct")).agg(
         F.count(F.lit(1)).alias("member_count"))
     j = (teams.select("id", F.col("name").alias("team_name"))
          .join(totals, F.col("id") == totals.team_id, "left").join(counts, F.col("id") == counts.ct, "left"))
-    z = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("member_count", "earned", "spent", "donated")}
+    z = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("member_count", *SUMS)}
     return j.select("id", "team_name", z["member_count"].alias("member_count"),
                     z["earned"].alias("total_earned"), z["spent"].alias("total_spent"),
                     z["donated"].alias("total_donated"), (z["earned"] - z["spent"]).alias("current_balance"))
 
 
+def stream_totals(spark: SparkSession, ledger: DataFrame, users: DataFrame, teams: DataFrame, pieces: int = 4) -> TableStore:
+    """The whole ledger through ST1, slice by slice."""
+    fold = totals_fold(spark, scratch_path(spark, "st1"), ledger, users, teams)
+    feed(spark, _slices(ledger, "created_at", pieces), "st1", fold.batch)
+    return fold.close(spark)
+
+
+def run_team_totals(spark: SparkSession, ledger: DataFrame, users: DataFrame, teams: DataFrame, pieces: int = 4) -> DataFrame:
+    """Final per-team totals of ST1 (batch twin: A1 sums)."""
+    return team_board(stream_totals(spark, ledger, users, teams, pieces).read("totals"), users, teams)
+
+
 # --- ST2 ------------------------------------------------------------------------------
 
-REDEEM_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("code", T.StringType()), T.StructField("requested_at", T.TimestampNTZType()),
-    T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
-    T.StructField("amount", T.LongType()), T.StructField("code_id", T.LongType()),
-])
-REDEEM_STATE = T.StructType([T.StructField("taken", T.BooleanType()), T.StructField("last_us", T.LongType()),
-                             T.StructField("pending", T.StringType())])
-_REDEEM_IN = ["request_id", "user_id", "code", "requested_at", "event_us", "code_id", "code_amount",
-              "initially_used", "given", "role_ok"]
-
-
-def _redeem_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    new = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame(columns=_REDEEM_IN)
-    new = new[_REDEEM_IN] if not new.empty else new
-    taken, last_us, pending = state.get if state.exists else (None, None, None)
-    ready, late, pending = _release(new, _decode(pending, _REDEEM_IN), state, last_us)
-    out = []
-    for r in late.itertuples(index=False):
-        out.append((r.request_id, r.user_id, r.code, r.requested_at, False, "late", None, None))
-    for r in ready.itertuples(index=False):
-        exists = r.code_id is not None and not pd.isna(r.code_id)
-        if taken is None:
-            taken = bool(r.initially_used) if exists else False
-        if not r.given:
-            res = (False, "code_required")
-        elif not r.role_ok:
-            res = (False, "forbidden")
-        elif not exists or taken:
-            res = (False, "invalid_or_used")
-        else:
-            res = (True, None)
-            taken = True
-        ok = res[0]
-        out.append((r.request_id, r.user_id, r.code, r.requested_at, ok, res[1],
-                    int(r.code_amount) if ok else None, int(r.code_id) if ok else None))
-    if not ready.empty:
-        last_us = int(ready["event_us"].astype("int64").max())
-    state.update((taken, last_us, _encode(pending)))
-    _keep_pending(state, pending)
-    yield pd.DataFrame(out, columns=[f.name for f in REDEEM_OUT.fields]).astype(
-        {"amount": "Int64", "code_id": "Int64"})
-
-
-def redeem_stream(requests: DataFrame, users: DataFrame, codes: DataFrame) -> DataFrame:
-    """ST2 plan: requests joined to users and codes, then first-wins per code in group state."""
-    u = users.select(F.col("id").alias("uid"), "role")
-    c = codes.select(F.col("code").alias("c_code"), F.col("id").alias("code_id"),
-                     F.col("amount").alias("code_amount"), F.col("used_by").isNotNull().alias("initially_used"))
-    j = requests.join(u, requests.user_id == u.uid, "left").join(c, requests.code == c.c_code, "left")
-    j = j.select("request_id", "user_id", "code", "requested_at", "code_id", "code_amount", "initially_used",
-                 (F.col("code").isNotNull() & (F.col("code") != "")).alias("given"),
-                 F.coalesce(F.col("role").isin(*REDEEM_ROLES), F.lit(False)).alias("role_ok"))
-    return _event_time(j).groupBy("code").applyInPandasWithState(
-        _redeem_group, REDEEM_OUT, REDEEM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_redeem(spark: SparkSession, requests: DataFrame, users: DataFrame, codes: DataFrame,
-               pieces: int = 4) -> DataFrame:
+
+def redeem_fold(spark: SparkSession, path: str, requests: DataFrame, users: DataFrame, codes: DataFrame, delay: int = ORDER_DELAY_SECONDS) -> LogFold:
+    """ST2: ``results`` has a row per request, ``taken`` one per code that a request took.
+
+    The winner of a code among the requests of a batch is a grouped minimum (one row per code and map task), so a code that most requests
+    name costs no more than others. A winner is final: no request before it can still be applied.
+    """
+
+    def step(store: TableStore, ready: DataFrame):
+        gone = store.read("taken").select(F.col("code_id").alias("taken_id"), F.col("user_id").alias("taker"))
+        j = codes.join(gone, codes.id == gone.taken_id, "left")
+        now = j.select(*[F.coalesce("used_by", "taker").alias(c) if c == "used_by" else codes[c] for c in codes.columns])
+        results = materialize(redeem_codes(users, now, ready)["results"], "st2-results")
+        return {}, {"results": results, "taken": results.filter("accepted").select("code_id", "user_id")}
+
+    none = redeem_codes(users, codes, requests.limit(0))["results"]
+    return LogFold(spark, path, requests, "requested_at", delay, step, {"results": none, "taken": none.select("code_id", "user_id")})
+
+
+def run_redeem(spark: SparkSession, requests: DataFrame, users: DataFrame, codes: DataFrame, pieces: int = 4) -> DataFrame:
     """Run ST2 over a redemption log; returns the per-request results (batch twin: D3 results)."""
-    beat = heartbeat_row(requests, "requested_at", ORDER_DELAY_SECONDS, request_id=HEARTBEAT_ID)
-    out = run_in_slices(spark, requests, "requested_at", pieces, "st2", lambda stream, out, ck: _start(
-        redeem_stream(stream, users, codes), _batch_writer(out), ck), heartbeat=beat)
-    return spark.read.parquet(out).drop("_batch").filter(F.col("request_id") != HEARTBEAT_ID)
+    fold = redeem_fold(spark, scratch_path(spark, "st2"), requests, users, codes)
+    feed(spark, _slices(requests, "requested_at", pieces), "st2", fold.batch)
+    return fold.close(spark).read("results")
 
 
 # --- ST3 ------------------------------------------------------------------------------
 
-STOCK_OUT = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("product_id", T.LongType()),
-    T.StructField("type", T.StringType()), T.StructField("adjustment", T.LongType()),
-    T.StructField("requested_at", T.TimestampNTZType()), T.StructField("accepted", T.BooleanType()),
-    T.StructField("reason", T.StringType()), T.StructField("stock_before", T.LongType()),
-    T.StructField("stock_after", T.LongType()), T.StructField("is_active", T.BooleanType()),
-])
-STOCK_STATE = T.StructType([T.StructField("exists", T.BooleanType()), T.StructField("stock", T.LongType()),
-                            T.StructField("active", T.BooleanType()), T.StructField("started", T.BooleanType()),
-                            T.StructField("last_us", T.LongType()), T.StructField("pending", T.StringType())])
-_STOCK_IN = ["request_id", "product_id", "type", "adjustment", "requested_at", "event_us", "product_exists",
-             "stock0", "active0"]
-
-
-def _none(v):
-    return None if v is None or pd.isna(v) else v
-
-
-def _stock_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    new = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame(columns=_STOCK_IN)
-    new = new[_STOCK_IN] if not new.empty else new
-    exists, stock, active, started, last_us, pending = state.get if state.exists else (
-        None, None, None, False, None, None)
-    ready, late, pending = _release(new, _decode(pending, _STOCK_IN), state, last_us)
-    out = []
-    for r in late.itertuples(index=False):
-        out.append((r.request_id, r.product_id, r.type, _none(r.adjustment), r.requested_at, False, "late",
-                    None, None, active))
-    for r in ready.itertuples(index=False):
-        if not started:
-            exists, stock, active, started = bool(r.product_exists), _none(r.stock0), _none(r.active0), True
-        a = _none(r.adjustment)
-        before = after = None
-        if a is None:
-            ok, why = False, "adjustment_required"
-        elif r.type == "set":
-            if a < 0:
-                ok, why = False, "negative_stock"
-            else:
-                ok, why, after = True, None, a
-                if exists:
-                    stock = a
-                    if a > 0:
-                        active = True
-        elif not exists:
-            ok, why = False, "product_not_found"
-        else:
-            before = 0 if stock is None else stock
-            new_stock = before + a
-            if new_stock < 0:
-                ok, why = False, "below_zero"
-            else:
-                ok, why, after = True, None, new_stock
-                stock = new_stock
-                if new_stock > 0 and before <= 0:
-                    active = True
-                elif new_stock <= 0:
-                    active = False
-        out.append((r.request_id, r.product_id, r.type, a, r.requested_at, ok, why, before, after, active))
-    if not ready.empty:
-        last_us = int(ready["event_us"].astype("int64").max())
-    state.update((exists, stock, active, started, last_us, _encode(pending)))
-    _keep_pending(state, pending)
-    yield pd.DataFrame(out, columns=[f.name for f in STOCK_OUT.fields]).astype(
-        {"adjustment": "Int64", "stock_before": "Int64", "stock_after": "Int64", "is_active": "boolean"})
-
-
-def stock_stream(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """ST3 plan: adjustments joined to products, then folded per product in group state."""
-    p = products.select(F.col("id").alias("pid"), F.col("stock_quantity").alias("stock0"),
-                        F.col("is_active").alias("active0"))
-    j = requests.join(p, requests.product_id == p.pid, "left").withColumn(
-        "product_exists", F.col("pid").isNotNull())
-    return _event_time(j).groupBy("product_id").applyInPandasWithState(
-        _stock_group, STOCK_OUT, STOCK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def stock_fold(spark: SparkSession, path: str, requests: DataFrame, products: DataFrame, delay: int = ORDER_DELAY_SECONDS) -> LogFold:
+    """ST3: ``results`` has a row per request with the flag after it, ``stock`` the stock and flag of every product that a request named."""
+
+    def step(store: TableStore, ready: DataFrame):
+        held = store.read("stock").select(F.col("id").alias("held_id"), F.col("stock_quantity").alias("held_stock"), F.col("is_active").alias("held_active"))
+        j = products.join(held, products.id == held.held_id, "left")
+        # a product that was named keeps what the fold left it, also a null
+        since = {"stock_quantity": "held_stock", "is_active": "held_active"}
+        now = j.select(*[F.when(F.col("held_id").isNotNull(), F.col(since[c])).otherwise(products[c]).alias(c) if c in since else products[c]
+                         for c in products.columns])
+        ready = materialize(ready, "st3-ready")
+        run = adjust_stock(now, ready, flags=True)
+        named = ready.select(F.col("product_id").alias("id")).unionByName(held.select(F.col("held_id").alias("id"))).distinct()
+        stock = run.products.join(named, "id", "left_semi").select("id", "stock_quantity", "is_active")
+        return {"stock": stock}, {"results": run.results}
+
+    none = adjust_stock(products, requests.limit(0), flags=True)
+    return LogFold(spark, path, requests, "requested_at", delay, step,
+                   {"results": none.results, "stock": products.select("id", "stock_quantity", "is_active").limit(0)})
 
 
 def run_stock(spark: SparkSession, requests: DataFrame, products: DataFrame, pieces: int = 4) -> DataFrame:
     """Run ST3 over an adjustment log; returns the per-request results (batch twin: D8 results)."""
-    beat = heartbeat_row(requests, "requested_at", ORDER_DELAY_SECONDS, request_id=HEARTBEAT_ID,
-                         product_id=HEARTBEAT_ID, type="adjust", adjustment=0)
-    out = run_in_slices(spark, requests, "requested_at", pieces, "st3", lambda stream, out, ck: _start(
-        stock_stream(stream, products), _batch_writer(out), ck), heartbeat=beat)
-    return spark.read.parquet(out).drop("_batch").filter(F.col("request_id") != HEARTBEAT_ID)
+    fold = stock_fold(spark, scratch_path(spark, "st3"), requests, products)
+    feed(spark, _slices(requests, "requested_at", pieces), "st3", fold.batch)
+    return fold.close(spark).read("results")

@@ -562,6 +562,13 @@ FROM users u""")
 ORACLE["stream_team_totals"] = _q(RANKING_BASE + """
 SELECT id, team_name, member_count, total_earned, total_spent, total_donated, current_balance FROM scored""")
 ORACLE["stream_redeem"] = ORACLE["redeem_codes"]
+ORACLE["stream_ranking"] = ORACLE["team_rankings"]
+ORACLE["post_redemptions"] = _q(REDEEM + """
+SELECT id, user_id, type, amount, description, reference_id, created_at FROM transactions
+UNION ALL
+SELECT CAST((SELECT max(id) FROM transactions) + row_number() OVER (ORDER BY requested_at, request_id) AS BIGINT), user_id, 'earn',
+       CAST(mc_amount AS BIGINT), 'Redeemed code: ' || code, NULL, requested_at
+FROM res WHERE accepted""")
 
 # --- file sources and sinks: a round trip keeps the rows ------------------------------
 ORACLE["src_products_csv"] = _q("""

@@ -208,53 +208,137 @@ def test_admission_with_redemption_credits_on_store_log(spark):
                                        credits=rows(cr))
 
 
-def _feed(spark, parts, schema, start_query, name):
-    from coffer.session import scratch_path
+def _fed(spark, fold, parts):
+    """The store after the parts have arrived in this order, through a stream."""
+    streams.feed(spark, parts, "parts", fold.batch)
+    return fold.close(spark)
+
+
+def _stock_log(spark, rows_):
+    return spark.createDataFrame(rows_, STOCK_REQ)
+
+
+RESULT = ["request_id", "accepted", "reason", "stock_before", "stock_after"]
 
-    src, out, ck = (scratch_path(spark, f"{name}-{n}") for n in ("src", "out", "ck"))
-    spark.createDataFrame([], schema).write.parquet(src)
-    dropped = 0
-    for part in parts + [None]:
-        if part is not None:
-            part.write.mode("append").parquet(src)
-        dropped += streams.run_to_end(start_query(spark.readStream.schema(schema).parquet(src), out, ck))
-    return spark.read.parquet(out).drop("_batch").filter(f"request_id != {streams.HEARTBEAT_ID}"), dropped
+
+def by_id(df, cols=RESULT):
+    return sorted(rows(df.select(cols)), key=lambda r: r["request_id"])
 
 
 def test_stock_stream_orders_out_of_order_arrivals(spark):
     import datetime as dt
 
-    prods = [(1, "x", None, 5, "A", 2, 2, True, ts(0))]
-    t = make_tables(spark, products=prods)
+    from coffer.session import scratch_path
+
+    t = make_tables(spark, products=[(1, "x", None, 5, "A", 2, 2, True, ts(0))])
     base = dt.datetime(2024, 1, 1)
-    mk = lambda rows_: spark.createDataFrame(rows_, STOCK_REQ)
     early = [(1, 1, "adjust", -2, base + dt.timedelta(minutes=1)), (2, 1, "adjust", 5, base + dt.timedelta(minutes=2))]
-    later = [(3, 1, "adjust", -4, base + dt.timedelta(minutes=3)), (4, 1, "set", 0, base + dt.timedelta(minutes=4))]
-    beat = streams.heartbeat_row(mk(early + later), "requested_at", streams.ORDER_DELAY_SECONDS,
-                                 request_id=streams.HEARTBEAT_ID, product_id=streams.HEARTBEAT_ID, type="adjust",
-                                 adjustment=0)
-    out, dropped = _feed(spark, [mk(later), mk(early), beat], STOCK_REQ, lambda s, o, c: streams._start(
-        streams.stock_stream(s, t.products), streams._batch_writer(o), c), "ooo")
-    assert dropped == 0
-    batch = stock.adjust_stock(t.products, mk(early + later)).results
-    cols = ["request_id", "accepted", "reason", "stock_before", "stock_after"]
-    key = lambda r: r["request_id"]
-    assert sorted(rows(out.select(cols)), key=key) == sorted(rows(batch.select(cols)), key=key)
+    later = [(3, 1, "adjust", -4, base + dt.timedelta(minutes=3)), (4, 1, "set", 0, base + dt.timedelta(minutes=4)), (5, 1, "adjust", 1, None)]
+    whole = _stock_log(spark, early + later)
+    store = _fed(spark, streams.stock_fold(spark, scratch_path(spark, "ooo"), whole, t.products), [_stock_log(spark, later), _stock_log(spark, early)])
+    assert by_id(store.read("results")) == by_id(stock.adjust_stock(t.products, whole).results)
 
 
 def test_stock_stream_detects_requests_beyond_the_delay(spark):
     import datetime as dt
 
-    prods = [(1, "x", None, 5, "A", 2, 2, True, ts(0))]
-    t = make_tables(spark, products=prods)
+    from coffer.session import scratch_path
+    from coffer.sources.commits import TableStore
+
+    t = make_tables(spark, products=[(1, "x", None, 5, "A", 2, 2, True, ts(0))])
     base = dt.datetime(2024, 1, 1)
-    mk = lambda rows_: spark.createDataFrame(rows_, STOCK_REQ)
     first = [(1, 1, "adjust", 1, base), (2, 1, "adjust", 1, base + dt.timedelta(hours=5))]
-    straggler = [(3, 1, "adjust", 1, base + dt.timedelta(minutes=1))]
-    beat = streams.heartbeat_row(mk(first), "requested_at", streams.ORDER_DELAY_SECONDS,
-                                 request_id=streams.HEARTBEAT_ID, product_id=streams.HEARTBEAT_ID, type="adjust",
-                                 adjustment=0)
-    out, dropped = _feed(spark, [mk(first), mk(straggler), beat], STOCK_REQ, lambda s, o, c: streams._start(
-        streams.stock_stream(s, t.products), streams._batch_writer(o), c), "late")
-    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(out)}
-    assert got == {1: (True, None), 2: (True, None)} and dropped == 1  # the runner turns this into an error
+    straggler = [(3, 1, "adjust", 1, base - dt.timedelta(minutes=1))]
+    path = scratch_path(spark, "late")
+    fold = streams.stock_fold(spark, path, _stock_log(spark, first), t.products)
+    with pytest.raises(RuntimeError, match="1 requests arrived later"):
+        _fed(spark, fold, [_stock_log(spark, first), _stock_log(spark, straggler)])
+    store = TableStore(spark, path)
+    assert {r["request_id"]: r["accepted"] for r in rows(store.read("results"))} == {1: True, 2: True}
+    assert [r["request_id"] for r in rows(store.read("late"))] == [3]
+
+
+def test_stock_stream_of_a_hot_product(spark):
+    """80 % of the requests name one product: same results and flags as one after the other, and its rows lie in several ranges."""
+    import datetime as dt
+
+    from coffer.plans.running import add_chunk
+    from coffer.session import scratch_path
+
+    rnd = random.Random(12)
+    base = dt.datetime(2024, 1, 1)
+    prods = [(i, f"p{i}", None, 5, "c", rnd.choice([0, 2, None]), 5, rnd.choice([True, False]), ts(0)) for i in range(1, 5)]
+    t = make_tables(spark, products=prods)
+    reqs = [(k, 1 if rnd.random() < 0.8 else rnd.randint(2, 5), rnd.choice(["set"] + ["adjust"] * 6), rnd.choice([-6, -3, -1, 0, 2, 4, None]),
+             base + dt.timedelta(seconds=40 * k)) for k in range(400)]
+    req = _stock_log(spark, reqs)
+    fold = streams.stock_fold(spark, scratch_path(spark, "hot"), req, t.products, delay=600)
+    store = _fed(spark, fold, [_stock_log(spark, reqs[i: i + 150]) for i in range(0, 400, 150)])
+    state, want = sequential.stock_fold(rows(t.products), rows(req))
+    assert {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(store.read("results"))} == want
+    assert {r["id"]: (r["stock_quantity"], r["is_active"]) for r in rows(store.read("stock"))} == {
+        k: (v["stock"], v["active"]) for k, v in state.items()}
+    batch = stock.adjust_stock(t.products, req, flags=True).results
+    assert by_id(store.read("results"), RESULT + ["is_active"]) == by_id(batch, RESULT + ["is_active"])
+    chunks = add_chunk(req, "product_id", "chunk", 8).filter("product_id = 1").select("chunk").distinct().count()
+    assert chunks >= 4
+
+
+def test_redeem_stream_of_a_hot_code_equals_batch(spark):
+    """80 % of the requests name one code; a replayed micro-batch, also one that broke off, changes nothing."""
+    import datetime as dt
+
+    from coffer.plans import redeem
+    from coffer.session import scratch_path
+    from coffer.sources.commits import TableStore
+
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    t = make_tables(spark, users=[(i, f"u{i}", rnd.choice(["team_leader", "participant", "admin"]), 1, 0, ts(0)) for i in range(1, 20)],
+                    money_codes=[(i, f"C{i}", 10 * i, 3 if i == 4 else None, None, ts(0)) for i in range(1, 9)])
+    schema = "request_id long, user_id long, code string, requested_at timestamp_ntz"
+    reqs = [(k, rnd.randint(1, 22), "C1" if rnd.random() < 0.8 else rnd.choice(["C2", "C3", "C4", "C99", "", None]), base + dt.timedelta(seconds=30 * k))
+            for k in range(500)]
+    mk = lambda r: spark.createDataFrame(r, schema)
+    path = scratch_path(spark, "hotcode")
+    fold = streams.redeem_fold(spark, path, mk(reqs), t.users, t.money_codes, delay=900)
+    fold.batch(mk(reqs[250:300] + reqs[:250]), 0)
+    seen = {n: sorted(map(repr, rows(TableStore(spark, path).read(n)))) for n in ("results", "taken", "waiting")}
+    fold.batch(mk(reqs[:300]), 0)  # replayed after its commit
+    assert {n: sorted(map(repr, rows(TableStore(spark, path).read(n)))) for n in seen} == seen and TableStore(spark, path).version() == 1
+
+    def broken(store, ready):
+        replace, append = step(store, ready)
+        return replace, {**append, "results": append["results"].selectExpr("CAST(raise_error('lost') AS BIGINT) AS request_id")}
+
+    step, fold.step = fold.step, broken
+    with pytest.raises(Exception, match="lost"):
+        fold.batch(mk(reqs[300:]), 1)
+    assert {n: sorted(map(repr, rows(TableStore(spark, path).read(n)))) for n in seen} == seen
+    fold.step = step
+    fold.batch(mk(reqs[300:]), 1)
+    got = fold.close(spark).read("results")
+    want = redeem.redeem_codes(t.users, t.money_codes, mk(reqs))["results"]
+    key = lambda r: r["request_id"]
+    assert sorted(rows(got), key=key) == sorted(rows(want), key=key)
+
+
+def test_team_totals_survive_a_crash_in_mid_write(spark):
+    from coffer.operators import rankings
+    from coffer.session import scratch_path
+    from coffer.sources.commits import TableStore
+
+    t = fixtures.load_tables(spark, SF_SMALL)
+    half = t.transactions.filter("id % 2 = 0")
+    path = scratch_path(spark, "st1crash")
+    fold = streams.totals_fold(spark, path, t.transactions, t.users, t.teams)
+    fold.batch(half, 0)
+    before = rows(TableStore(spark, path).read("ranking").orderBy("position"))
+    step = fold.step
+    fold.step = lambda store, new: ({**step(store, new)[0], "ranking": store.read("ranking").selectExpr("raise_error('lost') AS id")}, {})
+    with pytest.raises(Exception, match="lost"):
+        fold.batch(t.transactions.filter("id % 2 = 1"), 1)
+    assert rows(TableStore(spark, path).read("ranking").orderBy("position")) == before and len(before) > 0
+    fold.step = step
+    fold.batch(t.transactions.filter("id % 2 = 1"), 1)
+    assert rows(fold.close(spark).read("ranking").orderBy("position")) == rows(rankings.team_rankings(t).orderBy("position"))
