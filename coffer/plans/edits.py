@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.plans.numbering import dense_ids
+from coffer.session import RoundTable
 
 # Names the reset gives to teams 1-6, ledger texts of the admin
 # balance edit and of the sample ledger generator.
@@ -23,6 +24,8 @@ SAMPLE_BASE_AMOUNT = 100000
 SAMPLE_DONATION_SHARE = 0.1
 SAMPLE_PURCHASE_SHARE = 0.05
 SAMPLE_DONATING_TEAMS_MAX_ID = 4
+# What a blank field of the product edit form stands for.
+EDIT_DEFAULTS = {"description": "", "category": "item"}
 
 
 def insert_if_absent(existing: DataFrame, candidates: DataFrame, key: str = "name") -> DataFrame:
@@ -36,20 +39,39 @@ def insert_if_absent(existing: DataFrame, candidates: DataFrame, key: str = "nam
     return existing.select("id", key, F.lit(False).alias("inserted")).unionByName(added)
 
 
+def guard_product_edits(edits: DataFrame) -> DataFrame:
+    """The edits with ``reject_reason`` (null: sound): a name that is given must not be blank, the price must be above 0 and
+    a stock that is given not below 0. Columns that the log doesn't have aren't checked."""
+    reason = F.lit(None).cast("string")
+    if "stock_quantity" in edits.columns:
+        reason = F.when(F.col("stock_quantity") < 0, "stock_negative").otherwise(reason)
+    if "price" in edits.columns:
+        reason = F.when(F.col("price").isNull() | (F.col("price") <= 0), "price_not_positive").otherwise(reason)
+    if "name" in edits.columns:
+        reason = F.when(F.coalesce("name", F.lit("")) == "", "name_required").otherwise(reason)
+    return edits.withColumn("reject_reason", reason)
+
+
 def apply_product_edits(products: DataFrame, edits: DataFrame) -> DataFrame:
-    """Partial edits by id; a missing or blank stock keeps the stock (Q27).
+    """Edits by id that pass ``guard_product_edits``; a missing or blank stock keeps the stock (Q27).
 
-    Edits of one product apply in the order of ``edited_at`` (and ``request_id``, where the edits have one): each column
-    takes the last value given for it, so an edit that leaves a column out doesn't undo an earlier one. Without
-    either column, the larger value wins. is_active is never changed by an edit (Q13).
+    As the edit form sends all its fields, a blank description becomes ``''`` and a blank category ``'item'``; columns that the
+    log doesn't have stay. Edits of one product apply in the order of ``edited_at`` (and ``request_id``, where the edits
+    have one): the last one counts, and of the stocks the last one given. Without either column, the larger value wins.
+    is_active is never changed by an edit (Q13).
     """
     changed = [c for c in edits.columns if c in products.columns and c not in ("id", "is_active")]
     order = [c for c in ("edited_at", "request_id") if c in edits.columns]
 
     def last(c):
-        return F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_value")))).getField("_value").alias(f"e_{c}")
+        if c in EDIT_DEFAULTS:
+            value = F.when(F.coalesce(c, F.lit("")) == "", EDIT_DEFAULTS[c]).otherwise(F.col(c))
+        else:
+            value = F.col(c)
+        return F.max(F.when(value.isNotNull(), F.struct(*order, value.alias("_value")))).getField("_value").alias(f"e_{c}")
 
-    e = edits.groupBy(F.col("id").alias("e_id")).agg(*[last(c) for c in changed])
+    sound = guard_product_edits(edits).filter("reject_reason IS NULL")
+    e = sound.groupBy(F.col("id").alias("e_id")).agg(*[last(c) for c in changed])
     j = products.join(e, products.id == e.e_id, "left")
     return j.select(*[F.coalesce(F.col(f"e_{c}"), products[c]).alias(c) if c in changed else products[c] for c in products.columns])
 
@@ -116,21 +138,51 @@ def sample_ledger(users: DataFrame, teams: DataFrame) -> DataFrame:
     return x.select("team_id", "user_id", "r.type", "r.amount", "r.description")
 
 
-def generated_codes(requests: DataFrame) -> DataFrame:
-    """N codes per request: 'RC' + epoch millis + 6 base-36 characters.
+def _drawn(slots: DataFrame) -> DataFrame:
+    """``slots`` (request_id, n, attempt, requested_at, ...) with ``code``: 'RC' + epoch millis + 6 base-36 characters of a
+    hash of request, index and attempt."""
+    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', requested_at)")
+    seed = F.concat_ws("-", F.col("request_id").cast("string"), F.col("n").cast("string"), F.col("attempt").cast("string"))
+    h = F.conv(F.substring(F.md5(seed), 1, 12), 16, 10).cast("bigint") % F.lit(36 ** 6)
+    return slots.withColumn("code", F.concat(F.lit("RC"), millis.cast("string"), F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 6, "0")))
+
 
-    Requests carry (request_id, amount, quantity, requested_at). The random part
-    of the application is a seeded hash of (request, index) here, so a rerun
-    gives the same codes. Rows per request are made with ``sequence`` + explode.
+def code_request_results(requests: DataFrame) -> DataFrame:
+    """Every request with ``accepted`` and ``reason``: an amount above 0 and a quantity of 1 or more are needed."""
+    reason = (F.when(F.col("amount").isNull() | (F.col("amount") <= 0), "amount_not_positive")
+              .when(F.col("quantity").isNull() | (F.col("quantity") < 1), "quantity_below_one"))
+    return requests.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+
+
+def generated_codes(requests: DataFrame, existing: DataFrame | None = None, draw=_drawn) -> DataFrame:
+    """N codes for each accepted request (request_id, amount, quantity, requested_at), all different and none of
+    ``existing``.
+
+    The random part of the application is a hash of (request, index, attempt) here, so a rerun gives the same codes. Of equal
+    draws the first by (request, index) stands; the others, and draws that exist already, are drawn again until none is left, so a
+    round holds only what collided in the one before, whose codes are written tables.
     """
-    r = requests.filter((F.col("amount") > 0) & (F.col("quantity") >= 1))
-    x = r.select("request_id", "amount", "requested_at",
-                 F.explode(F.sequence(F.lit(1), F.col("quantity").cast("int"))).alias("n"))
-    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', requested_at)")
-    h = F.abs(F.xxhash64("request_id", "n")) % F.lit(36 ** 6)
-    suffix = F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 6, "0")
-    return x.select("request_id", "n", F.concat(F.lit("RC"), millis.cast("string"), suffix).alias("code"),
-                    F.col("amount").cast("bigint").alias("amount"), F.col("requested_at").alias("created_at"))
+    ok = code_request_results(requests).filter("accepted")
+    slots = ok.select("request_id", "amount", "requested_at", F.explode(F.sequence(F.lit(1), F.col("quantity").cast("int"))).alias("n"),
+                      F.lit(0).alias("attempt"))
+    rounds = RoundTable(requests.sparkSession, "codes")
+    known = existing.select("code") if existing is not None else None
+    while True:
+        fresh = draw(slots)
+        first = fresh.groupBy(F.col("code").alias("_code")).agg(F.min(F.struct("request_id", "n")).alias("_first"))
+        fresh = fresh.join(first, fresh.code == first._code).withColumn("stands", F.struct("request_id", "n") == F.col("_first")).drop("_code", "_first")
+        if known is not None:
+            k = known.select(F.col("code").alias("_known")).distinct()
+            fresh = fresh.join(k, fresh.code == k._known, "left").withColumn("stands", F.col("stands") & F.col("_known").isNull()).drop("_known")
+        made = rounds.write(fresh)
+        again = made.filter("NOT stands")
+        if again.isEmpty():
+            break
+        done = rounds.all().filter("stands").select("code")
+        known = done if existing is None else existing.select("code").unionByName(done)
+        slots = again.drop("code", "stands").withColumn("attempt", F.col("attempt") + 1)
+    return rounds.all().filter("stands").select("request_id", "n", "code", F.col("amount").cast("bigint").alias("amount"),
+                                                F.col("requested_at").alias("created_at"))
 
 
 def reset_users(users: DataFrame) -> DataFrame:

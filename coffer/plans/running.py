@@ -56,12 +56,12 @@ def exclusive_running_sums(df: DataFrame, sums: dict[tuple[str, str], dict[str,
     return out
 
 
-def running_last(df: DataFrame, key: str, chunk: str, value: str, name: str, order=ORDER) -> DataFrame:
-    """Add ``name``: per key, the last ``value`` that isn't null, at this row or before it (null without one).
+def running_last(df: DataFrame, key: str, chunk: str, value: str, name: str, order=ORDER, inclusive: bool = True) -> DataFrame:
+    """Add ``name``: per key, the last ``value`` that isn't null, at this row (unless not ``inclusive``) or before it (null without one).
 
     Two levels, as the running sums: a window inside each (key, chunk), and per key one row a chunk for what comes before.
     """
-    inside = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col(value).isNotNull(), F.struct(*order))
     ends = df.groupBy(F.col(key).alias("_key"), F.col(chunk).alias("_chunk")).agg(F.max_by(value, known).alias("_end"))

@@ -105,7 +105,7 @@ def _affordable_quantity(spark, sf_dir):
 
 # --- checks -------------------------------------------------------------------
 from coffer.operators import checks  # noqa: E402
-from coffer.plans import admit, edits, leaders, redeem, stock  # noqa: E402
+from coffer.plans import admit, edits, leaders, members, redeem, stock  # noqa: E402
 from coffer.plans import inventory as inventory_job  # noqa: E402
 
 
@@ -177,6 +177,27 @@ def _apply_product_edits(spark, sf_dir):
     return edits.apply_product_edits(tables(spark, sf_dir).products, fixtures.product_edits(spark, sf_dir))
 
 
+@register("toggle_products")
+def _toggle_products(spark, sf_dir):
+    return edits.toggle_products(tables(spark, sf_dir).products, fixtures.toggle_requests(spark, sf_dir))
+
+
+@register("guard_product_edits")
+def _guard_product_edits(spark, sf_dir):
+    return edits.guard_product_edits(fixtures.product_edits(spark, sf_dir))
+
+
+def _edit_users(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return members.edit_users(t.users, t.teams, fixtures.user_requests(spark, sf_dir, t.users))
+
+
+QUERIES["edit_users"] = lambda spark, sf_dir: _edit_users(spark, sf_dir)["users"]
+QUERIES["edit_users_results"] = lambda spark, sf_dir: _edit_users(spark, sf_dir)["results"]
+QUERIES["edit_users_teams"] = lambda spark, sf_dir: _edit_users(spark, sf_dir)["teams"]
+QUERIES["edit_users_ledger"] = lambda spark, sf_dir: _edit_users(spark, sf_dir)["ledger"]
+
+
 @register("verify_orders")
 def _verify_orders(spark, sf_dir):
     return edits.verify_orders(tables(spark, sf_dir).orders, fixtures.verify_requests(spark, sf_dir))
@@ -196,7 +217,8 @@ def _sample_ledger(spark, sf_dir):
 
 @register("generated_codes")
 def _generated_codes(spark, sf_dir):
-    return edits.generated_codes(fixtures.code_generation_requests(tables(spark, sf_dir).money_codes))
+    t = tables(spark, sf_dir)
+    return edits.generated_codes(fixtures.code_generation_requests(t.money_codes), t.money_codes)
 
 
 @register("reset_users")

@@ -259,12 +259,20 @@ def leader_requests(spark: SparkSession, sf_dir: str, users_df: DataFrame) -> Da
 
 
 def product_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product edits: of every 13th part by its own row, and of the products that 'signup' events name, with blank fields, bad
+    prices and stocks, and several edits of one product."""
     p = _t(spark, sf_dir, "part").filter(F.col("p_partkey") % 13 == 0)
-    return p.select(
-        F.col("p_partkey").cast("bigint").alias("id"),
+    own = p.select(
+        F.col("p_partkey").cast("bigint").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("description"), F.col("p_type").alias("category"),
         (F.floor(F.col("p_retailprice") / 10) + 1).cast("bigint").alias("price"),
         F.when(F.col("p_size") % 2 == 0, F.lit(None)).otherwise(F.col("p_size")).cast("bigint").alias("stock_quantity"),
-    )
+        F.lit(0).cast("bigint").alias("request_id"), F.expr(BASE_TS).alias("edited_at"))
+    k = F.col("event_id").cast("bigint")
+    later = _t(spark, sf_dir, "events").filter(F.col("event_type") == "signup").select(
+        F.col("user_id").cast("bigint").alias("id"), F.when(k % 23 == 1, F.lit("")).otherwise(F.concat(F.lit("edited "), (k % 50).cast("string"))).alias("name"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("text")).alias("description"), F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("goods")).alias("category"),
+        (k % 90 - 5).alias("price"), F.when(k % 2 == 0, k % 60 - 4).alias("stock_quantity"), k.alias("request_id"), F.col("ts").alias("edited_at"))
+    return own.unionByName(later)
 
 
 def new_user_snapshot(users_df: DataFrame) -> DataFrame:
@@ -315,3 +323,27 @@ def delete_requests(products_df: DataFrame) -> DataFrame:
 def user_delete_requests(users_df: DataFrame) -> DataFrame:
     """A bulk delete request for every user (the guard decides who may go)."""
     return users_df.select(F.col("id").alias("user_id"))
+
+
+def user_requests(spark: SparkSession, sf_dir: str, users_df: DataFrame) -> DataFrame:
+    """User creates and edits: every 'click' event. One in 25 creates a user; the rest edit the event's user, some with a new
+    name, another team, an unknown team or role, or without a name."""
+    e = _t(spark, sf_dir, "events").filter(F.col("event_type") == "click").withColumn("k", F.col("event_id").cast("bigint"))
+    u = users_df.select(F.col("id").alias("u_id"), F.col("username").alias("u_name"), F.col("team_id").alias("u_team"))
+    j = e.join(u, e.user_id == u.u_id, "left")
+    k = F.col("k")
+    create = k % 25 == 0
+    name = (F.when(k % 41 == 3, F.lit("")).when(create, F.concat(F.lit("new"), (k % 1000).cast("string")))
+            .when(k % 10 == 1, F.concat(F.lit("alias"), (k % 130).cast("string"))).otherwise(F.coalesce("u_name", F.lit("nobody"))))
+    role = F.when(k % 67 == 5, "owner").when(k % 3 == 0, "team_leader").when(k % 97 == 2, "admin").otherwise("participant")
+    team = (F.when(k % 83 == 1, F.lit(999)).when(k % 11 == 4, F.lit(None)).when(k % 4 == 1, k % 25).otherwise(F.col("u_team")))
+    return j.select(k.alias("request_id"), F.when(~create, F.col("user_id").cast("bigint")).alias("user_id"), name.alias("username"), role.alias("role"),
+                    team.cast("bigint").alias("team_id"), F.when(k % 4 == 2, k % 500 - 50).cast("bigint").alias("balance"), F.col("ts").alias("requested_at"))
+
+
+def toggle_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product switches: every 'purchase' event, of the product with the user's number; some without a value."""
+    e = _t(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    k = F.col("event_id")
+    return e.select(k.cast("bigint").alias("request_id"), F.col("user_id").cast("bigint").alias("product_id"),
+                    F.when(k % 17 != 0, k % 3 != 0).alias("is_active"), F.col("ts").alias("requested_at"))

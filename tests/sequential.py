@@ -122,3 +122,46 @@ def stock_fold(products, adjustments):
                 s["active"] = False
             results[rid] = (True, None)
     return state, results
+
+
+def user_fold(users, teams, requests):
+    """User creates and edits one by one. Returns (results, users, leader by team, ledger rows)."""
+    people = {u["id"]: dict(u) for u in users}
+    leader = {t["id"]: t["leader_id"] for t in teams}
+    owner = {u["username"]: ("user", u["id"]) for u in users}
+    stored, top = set(people), max(people, default=0)
+    results, ledger = {}, []
+
+    def clear(uid):
+        for t in leader:
+            if leader[t] == uid:
+                leader[t] = None
+
+    for r in sorted(requests, key=lambda r: (r["requested_at"], r["request_id"])):
+        rid, uid, name, role, team = r["request_id"], r["user_id"], r["username"], r["role"], r["team_id"]
+        claim = ("new", rid) if uid is None else ("user", uid)
+        reason = ("username_and_role_required" if not name or not role else "user_not_found" if uid is not None and uid not in stored
+                  else "invalid_role" if role not in ("admin", "team_leader", "participant") else "team_not_found" if team is not None and team not in leader
+                  else "username_taken" if owner.setdefault(name, claim) != claim else None)
+        if reason:
+            results[rid] = (uid, False, reason)
+            continue
+        old = people.get(uid)
+        if uid is None:
+            uid = top = top + 1
+            people[uid] = {"id": uid, "balance": 0, "created_at": r["requested_at"]}
+        elif r["balance"] is not None and r["balance"] != old["balance"]:
+            ledger.append((rid, uid, r["balance"] - old["balance"]))
+            people[uid]["balance"] = r["balance"]
+        was = (old["role"], old["team_id"]) if old is not None else (None, None)
+        people[uid].update(username=name, role=role, team_id=team)
+        if was[0] == "team_leader" and was != (role, team) and (was[1] is not None or role != "team_leader"):
+            clear(uid)
+        if role == "team_leader" and team is not None:
+            for other in people.values():
+                if other["id"] != uid and other["team_id"] == team and other["role"] == "team_leader":
+                    other["role"] = "participant"
+                    clear(other["id"])
+            leader[team] = uid
+        results[rid] = (uid, True, None)
+    return results, people, leader, ledger
