@@ -255,8 +255,9 @@ def read_archives(listed: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    # one archive is one unit of work
-    return listed.select("path", "records", "folder").repartition(F.col("path")).mapInArrow(read, RECORD)
+    # one archive is one unit of work; the number is given, so that adaptive execution doesn't merge these small partitions
+    todo = listed.select("path", "records", "folder")
+    return todo.repartition(max(1, todo.count()), "path").mapInArrow(read, RECORD)
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
