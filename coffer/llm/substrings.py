@@ -2,18 +2,19 @@
 
 Texts are cut into units: lines, and within a line sentences (a unit ends after ``.``, ``!`` or ``?`` and white space), so a passage
 that stands inside a longer line of another text is found too. A unit is normalised (words in lower case, letters and digits
-only, one space between) and hashed to 128 bits. Digests are grouped over the whole corpus, the occurrence ranked first (smallest ``doc_id``, then
-smallest offset) is kept, and every later one is removed; original offsets stay with every removed unit. Units of
-fewer than ``MIN_WORDS`` words are too common to mean anything and aren't hashed. Repeated units that follow each other form
-a run, with what short units stand between them; a run of ``MIN_RUN`` words or more goes, a shorter one stays, so
-a greeting or a stock phrase that many clean documents share is no reason to cut them.
+only, one space between) and hashed to 128 bits; every unit that holds a word is. Digests are grouped over the whole corpus, the occurrence ranked
+first (smallest ``doc_id``, then smallest offset) is kept, and every later one is removed; original offsets stay with every removed
+unit. Repeated units that follow each other, with nothing that occurs once between them, form a run. A run goes if it has
+``MIN_RUN`` words or more, or if it is the whole text, however short; units of fewer than ``MIN_WORDS`` words at its ends stay. So a greeting
+or a stock phrase that many clean documents share is no reason to cut them, and text that occurs once is never cut. Of
+letters written without spaces (Chinese, Japanese, Thai, ...) each counts as a word.
 
 Scale: what is shuffled is one narrow row a unit, never texts. The first occurrence is a map-side minimum, so a line
 that a third of all documents hold is one row a task; units that occur once drop out in that aggregation, and the join
 back to the units is one that Spark can split. Removal reads each text once more, with its own units only.
 
 Edge cases: null and empty texts have no units; equal units inside one text count as occurrences like any others;
-of repeated rows (equal doc_id and text) each unit is kept in one row only, the others lose it; null doc_ids rank last;
+repeated rows (equal doc_id and text) count as one document: each keeps or loses the same units; null doc_ids rank last;
 a text of any length is handled whole; empty tables give empty results; other columns are passed through.
 """
 
@@ -33,67 +34,76 @@ MIN_WORDS = 4
 MIN_RUN = 25
 _UNIT = re.compile(r"[^\n]*?[.!?](?=\s)|[^\n]+")
 _WORD = re.compile(r"[^\W_]+")
-UNITS = "doc_id long, row long, unit int, start int, end int, n_words int, hi long, lo long"
+# letters of scripts that don't put spaces between words
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNITS = "doc_id long, row long, unit int, units int, start int, end int, n_words int, hi long, lo long"
 
 
-def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit of ``min_words`` words or more, without white space at its ends."""
+def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each unit that holds a word, without white space at its ends."""
     out = []
     for m in _UNIT.finditer(text):
         raw = m[0]
         words = _WORD.findall(raw)
-        if len(words) >= min_words:
+        if words:
             start = m.start() + len(raw) - len(raw.lstrip())
-            out.append((start, m.start() + len(raw.rstrip()), len(words), hashlib.blake2b(" ".join(words).lower().encode(), digest_size=16).digest()))
+            # a word of unspaced letters counts by its letters
+            n = len(words) if raw.isascii() else sum(max(1, len(_UNSPACED.findall(w))) for w in words)
+            out.append((start, m.start() + len(raw.rstrip()), n, hashlib.blake2b(" ".join(words).lower().encode(), digest_size=16).digest()))
     return out
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a unit of every whole text; ``row`` tells rows of equal doc_id apart (a hash of the text)."""
+def units(docs: DataFrame) -> DataFrame:
+    """One row a unit of every whole text, with the number of its ``units``; ``row`` tells rows of equal doc_id apart (a hash of the text)."""
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for doc_id, row, text in zip(*(c.to_pylist() for c in b.columns)):
-                for i, (start, end, n, digest) in enumerate(units_of(text, min_words)):
-                    for c, v in zip(cols, (doc_id, row, i, start, end, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))):
+                found = units_of(text)
+                for i, (start, end, n, digest) in enumerate(found):
+                    for c, v in zip(cols, (doc_id, row, i, len(found), start, end, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))):
                         c.append(v)
                 if len(cols[0]) >= 100_000:
                     yield _rows(cols)
-                    cols = [[] for _ in range(8)]
+                    cols = [[] for _ in range(9)]
             yield _rows(cols)
 
     def _rows(cols: list[list]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.int64()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in UNITS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, UNITS)
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row, unit, start, end, n_words, kept_doc_id, kept_start`` of every unit that is not the first of its kind."""
-    every = units(docs, min_words)
+def repeated(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, unit, units, start, end, n_words, kept_doc_id, kept_start`` of every unit that is not the first of its kind."""
+    every = units(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
     first = every.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", "first")
     e, f = every.alias("e"), materialize(first, "unit-first").alias("f")
     later = e.join(f, F.expr("e.hi = f.hi AND e.lo = f.lo")).filter(
         ~(F.expr("e.doc_id <=> f.first.doc_id") & (F.col("e.row") == F.col("f.first.row")) & (F.col("e.start") == F.col("f.first.start"))))
-    return later.select("e.doc_id", "e.row", "e.unit", "e.start", "e.end", "e.n_words",
+    return later.select("e.doc_id", "e.row", "e.unit", "e.units", "e.start", "e.end", "e.n_words",
                         F.col("f.first.doc_id").alias("kept_doc_id"), F.col("f.first.start").alias("kept_start"))
 
 
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """One row for every document that loses something: ``doc_id, row, n_removed, removed_words, removed`` (spans in
     code points of the original text, with the place of the occurrence that is kept, in order) and ``kept_doc_ids``."""
-    r = repeated(docs, min_words)
+    r = repeated(docs)
     # repeated rows have the same spans
-    r = r.groupBy("doc_id", "row", "unit", "start", "end", "n_words").agg(F.min(F.struct("kept_doc_id", "kept_start")).alias("k"))
+    r = r.groupBy("doc_id", "row", "unit", "units", "start", "end", "n_words").agg(F.min(F.struct("kept_doc_id", "kept_start")).alias("k"))
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("unit"))
-    runs = (r.withColumn("run", run).groupBy("doc_id", "row", "run")
+    one = Window.partitionBy("doc_id", "row", "run")
+    long = F.when(F.col("n_words") >= min_words, F.col("unit"))
+    r = r.withColumn("run", run).withColumns({"from": F.min(long).over(one), "to": F.max(long).over(one),
+                                              "whole": F.count("*").over(one) == F.col("units")})
+    runs = (r.filter(F.col("whole") | F.col("unit").between(F.col("from"), F.col("to"))).groupBy("doc_id", "row", "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("words"), F.min_by("k", "unit").alias("k"),
-                 F.collect_set("k.kept_doc_id").alias("from")).filter(F.col("words") >= min_run))
+                 F.collect_set("k.kept_doc_id").alias("from"), F.max("whole").alias("whole")).filter(F.col("whole") | (F.col("words") >= min_run)))
     span = F.struct("start", "end", F.col("k.kept_doc_id").alias("kept_doc_id"), F.col("k.kept_start").alias("kept_start"))
     return (runs.groupBy("doc_id", "row").agg(F.count("*").alias("n_removed"), F.sum("words").alias("removed_words"),
                                               F.sort_array(F.collect_list(span)).alias("removed"),
@@ -106,12 +116,16 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -
     own = [c for c in docs.columns if c != "removed"]
     d = docs.select(*own).withColumn("_row", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long")).alias("d")
     j = d.join(lost.alias("l"), F.expr("d._id <=> l.doc_id AND d._row = l.row"), "left")
+    # after a cut, white space goes up to the next text; all else stays as it is
+    def after(start, length):
+        return F.regexp_replace(F.col("d.text").substr(start, length), r"^\s+", "")
+
     piece = F.aggregate(
         "l.removed", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.col("d.text").substr(acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
-        lambda acc: F.concat(acc["out"], F.col("d.text").substr(acc["at"] + 1, F.length("d.text"))))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(piece, " {2,}", " "), "\n{2,}", "\n"), r"^[ \n]+|[ \n]+$", "")
-    return j.select(*[F.when(F.col("l.removed").isNull(), F.col("d.text")).otherwise(clean).alias("text") if c == "text" else F.col(f"d.{c}") for c in own],
+        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(acc["at"] == 0, F.col("d.text").substr(F.lit(1), s["start"])).otherwise(
+            after(acc["at"] + 1, s["start"] - acc["at"]))).alias("out")),
+        lambda acc: F.concat(acc["out"], after(acc["at"] + 1, F.length("d.text"))))
+    return j.select(*[F.when(F.col("l.removed").isNull(), F.col("d.text")).otherwise(piece).alias("text") if c == "text" else F.col(f"d.{c}") for c in own],
                     F.col("l.removed").alias("removed"))
 
 
