@@ -51,34 +51,79 @@ def check_domain(t: Tables) -> DataFrame:
 
 
 def check_unique(t: Tables) -> DataFrame:
-    """Duplicated keys: (table, key columns, key value, count) for every key seen more than once."""
+    """Duplicated keys: (table, key columns, key value, count) for every key seen more than once (a key with a NULL passes)."""
     parts = []
     for table, cols in UNIQUE_KEYS.items():
-        df = getattr(t, table)
+        df = getattr(t, table).dropna(subset=list(cols))
         dup = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("dup_count")).filter("dup_count > 1")
-        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
         parts.append(dup.select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
                                 key.alias("key_value"), "dup_count"))
     return _union(parts)
 
 
-def check_foreign_keys(t: Tables) -> DataFrame:
-    """Orphans per edge: child rows whose non-NULL reference has no parent row.
+def _rules(kinds: tuple[str, ...]) -> list[tuple[str, str, str, str | None]]:
+    """(rule, table, columns, parent) of every rule of these kinds."""
+    made = {
+        "not_null": [(table, c, None) for table, cols in NOT_NULL.items() for c in cols],
+        "domain": [(table, c, None) for table, c in DOMAINS],
+        "unique": [(table, ",".join(cols), None) for table, cols in UNIQUE_KEYS.items()],
+        "foreign_key": list(FOREIGN_KEYS),
+    }
+    return [(kind, *rule) for kind in kinds for rule in made[kind]]
+
 
-    Child rows are first counted per reference (a partial aggregate, so each
-    map task ships one row per distinct reference); only those counts are
-    anti-joined to the parent keys and summed.
+def rule_violations(t: Tables, kinds: tuple[str, ...] = ("not_null", "domain", "unique", "foreign_key")) -> DataFrame:
+    """V1-V4 as one report: (rule, table, columns, parent table, violations), a row for every rule, also an unbroken one.
+
+    Rows are counted for NOT NULL, domains and foreign keys, repeated keys for uniqueness. Each table is read once: a row gives
+    its own id (where another table refers to it), its references, its unique keys and the rules that it breaks by itself, all as
+    (space, key, rule). These are counted by (space, key) in the map tasks, so a key of a third of all rows is one row a task, and
+    after one exchange a reference meets its parent's id as a row of the same group: no join and no list of ids.
     """
-    parts = []
-    for child, col, parent in FOREIGN_KEYS:
-        c = (getattr(t, child).select(F.col(col).alias("ref")).filter(F.col("ref").isNotNull())
-             .groupBy("ref").agg(F.count(F.lit(1)).alias("n")))
-        p = getattr(t, parent).select(F.col("id").alias("ref"))
-        orphans = c.join(p, "ref", "left_anti").agg(
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphan_count"))
-        parts.append(orphans.select(F.lit(child).alias("child_table"), F.lit(col).alias("column_name"),
-                                    F.lit(parent).alias("parent_table"), "orphan_count"))
-    return _union(parts)
+    rules = _rules(kinds)
+    own = -1
+    wanted = {parent for kind, _, _, parent in rules if kind == "foreign_key"}
+    stacked = []
+    for table, df in t.items():
+        def entry(space: str, key, rule: int, when):
+            return F.when(when, F.struct(F.lit(space).alias("space"), key.cast("string").alias("key"), F.lit(rule).alias("rule")))
+
+        entries = [entry(f"id {table}", F.col("id"), own, F.col("id").isNotNull())] if table in wanted else []
+        for i, (kind, of, cols, parent) in enumerate(rules):
+            if of != table:
+                continue
+            if kind == "not_null":
+                entries.append(entry("broken", F.lit(i), i, F.col(cols).isNull()))
+            elif kind == "domain":
+                entries.append(entry("broken", F.lit(i), i, F.col(cols).isNotNull() & ~F.col(cols).isin(*DOMAINS[table, cols])))
+            elif kind == "foreign_key":
+                entries.append(entry(f"id {parent}", F.col(cols), i, F.col(cols).isNotNull()))
+            else:
+                # as JSON, so that no two keys are written alike; a key with a null passes
+                names = cols.split(",")
+                whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names])
+                entries.append(entry(f"key {i}", F.to_json(F.struct(*names)), i, whole))
+        if entries:
+            stacked.append(df.select(F.inline(F.array_compact(F.array(*entries)))))
+    by_key = _union(stacked).groupBy("space", "key").agg(
+        F.count_if(F.col("rule") == own).alias("owners"),
+        *[F.count_if(F.col("rule") == i).alias(f"n{i}") for i in range(len(rules))])
+    broken = []
+    for i, (kind, *_) in enumerate(rules):
+        n = F.col(f"n{i}")
+        broken.append(F.when(F.col("owners") == 0, n).otherwise(0) if kind == "foreign_key" else (n > 1).cast("bigint") if kind == "unique" else n)
+    totals = by_key.agg(*[F.coalesce(F.sum(b), F.lit(0)).cast("bigint").alias(f"n{i}") for i, b in enumerate(broken)])
+    named = [F.struct(F.lit(kind).alias("rule"), F.lit(table).alias("table_name"), F.lit(cols).alias("column_names"),
+                      F.lit(parent).cast("string").alias("parent_table"), F.col(f"n{i}").alias("violations"))
+             for i, (kind, table, cols, parent) in enumerate(rules)]
+    return totals.select(F.inline(F.array(*named)))
+
+
+def check_foreign_keys(t: Tables) -> DataFrame:
+    """Orphans per edge: child rows whose non-NULL reference has no parent row; each table is read once (``rule_violations``)."""
+    return rule_violations(t, ("foreign_key",)).select("table_name", "column_names", "parent_table", "violations").toDF(
+        "child_table", "column_name", "parent_table", "orphan_count")
 
 
 def leader_status(t: Tables) -> DataFrame:

@@ -47,6 +47,19 @@ def lookup_user(t: Tables, keys: DataFrame) -> DataFrame:
         "request_id", "user_id", "username", "role", "team_id", "balance")
 
 
+def login_lookup(t: Tables, keys: DataFrame) -> DataFrame:
+    """Lookup by user name for many keys (request_id, username): the session's user with the team's name, or a reason.
+
+    A blank name is refused, an unknown one has no row. Passwords aren't handled.
+    """
+    u = t.users.select(F.col("username").alias("found"), F.col("id").alias("user_id"), "role", "team_id", "balance")
+    tm = t.teams.select(F.col("id").alias("tid"), F.col("name").alias("team_name"))
+    asked = keys.select("request_id", "username").withColumn("blank", F.coalesce(F.col("username") == "", F.lit(True)))
+    j = asked.join(u, (asked.username == u.found) & ~asked.blank, "left").join(tm, F.col("team_id") == F.col("tid"), "left")
+    reason = F.when(F.col("blank"), "username_required").when(F.col("user_id").isNull(), "unknown")
+    return j.select("request_id", "username", "user_id", "role", "team_id", "team_name", "balance", reason.alias("reason"))
+
+
 def table_counts(t: Tables) -> DataFrame:
     """Row count of each of the eight tables (status page and start-up check)."""
     # a global count gives a row for an empty table too

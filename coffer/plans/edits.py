@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from coffer.plans.numbering import dense_ids
 from coffer.session import RoundTable
+from coffer.sources.tables import Tables
 
 # Names the reset gives to teams 1-6, ledger texts of the admin
 # balance edit and of the sample ledger generator.
@@ -200,6 +201,12 @@ def reset_teams(teams: DataFrame) -> DataFrame:
                           for c in teams.columns])
 
 
+def reset_tables(t: Tables) -> dict[str, DataFrame]:
+    """The whole reset. Admins stay with balance 0, teams without leaders and under the reset names; the other six tables are emptied."""
+    emptied = ("products", "orders", "transactions", "money_codes", "team_inventory", "donations")
+    return {"users": reset_users(t.users), "teams": reset_teams(t.teams), **{n: getattr(t, n).limit(0) for n in emptied}}
+
+
 def delete_products(products: DataFrame, requests: DataFrame, orders: DataFrame, donations: DataFrame,
                     inventory: DataFrame) -> dict[str, DataFrame]:
     """Delete requested products unless an order, donation or inventory row points to it."""

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coffer.sources.commits import TableStore
+
 DONATION_REFERENCE = "0"
 
 
@@ -79,3 +81,32 @@ def upsert(prior: DataFrame, events: DataFrame) -> DataFrame:
         F.when(matched_new, F.col("n.reference_id")).otherwise(F.col("p.reference_id")).alias("reference_id"),
         F.when(matched_new, F.col("n.created_at")).otherwise(F.col("p.created_at")).alias("created_at"),
     )
+
+
+class StoredInventory:
+    """The inventory as a table of a ``TableStore`` in buckets by (team, product).
+
+    ``upsert`` reads and writes only the buckets that its events touch, as the next version; a killed run leaves the last one.
+    The number of buckets is fixed for a table: choose it so that a bucket fits a task, and batches touch few of them.
+    """
+
+    def __init__(self, store: TableStore, name: str = "inventory", buckets: int = 64):
+        self.store, self.name, self.n = store, name, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("team_id").cast("bigint"), F.col("product_id").cast("bigint")), F.lit(self.n)).cast("int")
+
+    def upsert(self, events: DataFrame) -> list[int]:
+        """Add a batch of events (later than those before); the buckets written again."""
+        # at most as many rows as there are buckets come to the driver
+        touched = sorted(r[0] for r in events.select(self._bucket().alias("b")).distinct().collect())
+        if not touched:
+            return []
+        prior = self.store.read_buckets(self.name, touched)
+        new = materialise(events) if prior is None else upsert(prior, events)
+        self.store.commit_buckets(self.name, new.withColumn("bucket", self._bucket()), "bucket", touched)
+        return touched
+
+    def read(self) -> DataFrame | None:
+        """The state; None before the first upsert."""
+        return self.store.read_buckets(self.name)

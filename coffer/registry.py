@@ -93,6 +93,18 @@ def _lookup_user(spark, sf_dir):
     return directory.lookup_user(tables(spark, sf_dir), fixtures.redemption_requests(spark, sf_dir))
 
 
+@register("login_lookup")
+def _login_lookup(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return directory.login_lookup(t, fixtures.user_requests(spark, sf_dir, t.users))
+
+
+@register("test_ledger_rows_named")
+def _test_ledger_rows_named(spark, sf_dir):
+    """The ledger rows of test data where some users are named as test users are."""
+    return catalog.test_ledger_rows(fixtures.with_testers(tables(spark, sf_dir)))
+
+
 @register("donation_targets")
 def _donation_targets(spark, sf_dir):
     return catalog.donation_target_check(tables(spark, sf_dir), fixtures.store_requests(spark, sf_dir))
@@ -110,12 +122,12 @@ from coffer.plans import inventory as inventory_job  # noqa: E402
 
 
 def _damaged(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return t.with_(users=fixtures.damaged_users(t.users))
+    return fixtures.damaged(tables(spark, sf_dir))
 
 
 for _name, _op in {"check_not_null": checks.check_not_null, "check_domain": checks.check_domain,
-                   "check_unique": checks.check_unique, "check_foreign_keys": checks.check_foreign_keys}.items():
+                   "check_unique": checks.check_unique, "check_foreign_keys": checks.check_foreign_keys,
+                   "rule_violations": checks.rule_violations}.items():
     QUERIES[_name] = (lambda op: lambda spark, sf_dir: op(_damaged(spark, sf_dir)))(_op)
 _on_tables("leader_status", checks.leader_status)
 _on_tables("duplicate_leaders", checks.duplicate_leaders)
@@ -238,6 +250,13 @@ def _delete_products(spark, sf_dir):
                                  t.team_inventory)["results"]
 
 
+@register("delete_unsold_products")
+def _delete_unsold_products(spark, sf_dir):
+    """Deletions where many products have no order, donation or inventory row."""
+    t = fixtures.with_unsold(tables(spark, sf_dir))
+    return edits.delete_products(t.products, fixtures.delete_requests(t.products), t.orders, t.donations, t.team_inventory)["results"]
+
+
 # --- redemption -------------------------------------------------------------------
 def _redeem(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -328,6 +347,7 @@ def _stream_stock(spark, sf_dir):
 from coffer.plans import posting  # noqa: E402
 from coffer.session import scratch_path  # noqa: E402
 from coffer.sources.commits import TableStore  # noqa: E402
+from coffer.sources.tables import Tables  # noqa: E402
 
 
 @register("post_redemptions")
@@ -349,6 +369,28 @@ def _post_admission(spark, sf_dir):
     return store.read("transactions")
 
 
+@register("reset_store")
+def _reset_store(spark, sf_dir):
+    """Row counts of all stored tables after the retention reset, which one commit carries out."""
+    t = tables(spark, sf_dir)
+    store = TableStore.create(spark, scratch_path(spark, "reset"), dict(t.items()))
+    posting.reset(store)
+    return directory.table_counts(Tables(**{name: store.read(name) for name, _ in t.items()}))
+
+
+@register("inventory_upsert_stored")
+def _inventory_upsert_stored(spark, sf_dir):
+    """As inventory_upsert, with a stored state of which only the touched buckets are written again."""
+    t = tables(spark, sf_dir)
+    ev = inventory_job.inventory_events(t.orders, t.donations)
+    cut = F.lit(INVENTORY_CUTOFF).cast("timestamp_ntz")
+    store = TableStore.create(spark, scratch_path(spark, "inventory"))
+    state = inventory_job.StoredInventory(store, buckets=8)
+    state.upsert(ev.filter(F.col("created_at") < cut))
+    state.upsert(ev.filter(F.col("created_at") >= cut))
+    return state.read()
+
+
 # --- file sources and sinks (inputs written from the test tables first) ------------
 from coffer.sources import files  # noqa: E402
 

@@ -279,15 +279,67 @@ def new_user_snapshot(users_df: DataFrame) -> DataFrame:
     return users_df.withColumn("balance", F.col("balance") + ((F.col("id") % 3) - 1) * 50)
 
 
-def damaged_users(users_df: DataFrame) -> DataFrame:
-    """Users with rule-breaking rows mixed in (bad role, unknown team, repeated name) for the checks."""
+#: Rule-breaking values mixed into every table for the checks: of each table, the columns that are replaced, as SQL.
+DAMAGE = {
+    "users": {
+        "username": "CASE WHEN id % 90 = 6 THEN 'dup' WHEN id % 110 = 8 THEN NULL ELSE username END",
+        "role": "CASE WHEN id % 50 = 3 THEN 'x' WHEN id % 130 = 9 THEN NULL ELSE role END",
+        "team_id": "CASE WHEN id % 60 = 4 THEN 999 ELSE team_id END"},
+    "teams": {
+        "name": "CASE WHEN id % 12 = 5 THEN NULL WHEN id % 9 = 2 THEN 'same' ELSE name END",
+        "leader_id": "CASE WHEN id % 7 = 3 THEN -1 - id ELSE leader_id END"},
+    "products": {
+        "name": "CASE WHEN id % 70 = 11 THEN NULL ELSE name END",
+        "price": "CASE WHEN id % 80 = 13 THEN NULL ELSE price END"},
+    "orders": {
+        "user_id": "CASE WHEN user_id % 50 = 1 THEN NULL WHEN user_id % 50 = 2 THEN -user_id ELSE user_id END",
+        "team_id": "CASE WHEN product_id % 90 = 17 THEN 998 WHEN product_id % 90 = 18 THEN NULL ELSE team_id END",
+        "product_id": "CASE WHEN product_id % 60 = 7 THEN -product_id WHEN product_id % 60 = 9 THEN NULL ELSE product_id END",
+        "total_price": "CASE WHEN product_id % 75 = 19 THEN NULL ELSE total_price END",
+        "status": "CASE WHEN product_id % 40 = 21 THEN 'lost' ELSE status END"},
+    "transactions": {
+        "user_id": "CASE WHEN id % 500 = 7 THEN -1 - user_id WHEN id % 500 = 8 THEN NULL ELSE user_id END",
+        "type": "CASE WHEN id % 400 = 9 THEN 'gift' WHEN id % 600 = 13 THEN NULL ELSE type END",
+        "amount": "CASE WHEN id % 300 = 11 THEN NULL ELSE amount END"},
+    "money_codes": {
+        "code": "CASE WHEN id % 45 = 4 THEN 'RC0' WHEN id % 50 = 6 THEN NULL ELSE code END",
+        "amount": "CASE WHEN id % 55 = 8 THEN NULL ELSE amount END",
+        "used_by": "CASE WHEN id % 35 = 9 THEN -5 ELSE used_by END"},
+    "team_inventory": {
+        "team_id": "CASE WHEN product_id % 85 = 5 THEN 997 WHEN product_id % 85 = 6 THEN NULL ELSE team_id END",
+        "product_id": "CASE WHEN product_id % 65 = 3 THEN -product_id WHEN product_id % 65 = 4 THEN NULL ELSE product_id END",
+        "quantity": "CASE WHEN product_id % 95 = 7 THEN NULL ELSE quantity END",
+        "obtained_from": "CASE WHEN product_id % 105 = 8 THEN 'found' WHEN product_id % 115 = 9 THEN NULL ELSE obtained_from END"},
+    "donations": {
+        "donor_id": "CASE WHEN product_id % 45 = 2 THEN -1 - donor_id WHEN product_id % 45 = 1 THEN NULL ELSE donor_id END",
+        "recipient_id": "CASE WHEN product_id % 55 = 3 THEN -3 ELSE recipient_id END",
+        "donor_team_id": "CASE WHEN product_id % 65 = 4 THEN 996 WHEN product_id % 115 = 14 THEN NULL ELSE donor_team_id END",
+        "recipient_team_id": "CASE WHEN product_id % 75 = 6 THEN 995 WHEN product_id % 75 = 7 THEN NULL ELSE recipient_team_id END",
+        "product_id": "CASE WHEN product_id % 85 = 8 THEN -product_id WHEN product_id % 85 = 9 THEN NULL ELSE product_id END",
+        "amount": "CASE WHEN product_id % 95 = 10 THEN NULL ELSE amount END",
+        "quantity": "CASE WHEN product_id % 105 = 12 THEN NULL ELSE quantity END"},
+}
+
+
+def damaged(t: Tables) -> Tables:
+    """The tables with rows that break every rule of the checks mixed in (``DAMAGE``)."""
+    return t.with_(**{name: getattr(t, name).select(*[F.expr(by[c]).alias(c) if c in by else F.col(c) for c in getattr(t, name).columns])
+                      for name, by in DAMAGE.items()})
+
+
+def with_testers(t: Tables) -> Tables:
+    """The tables with one user in 37 named as test users are; one in 41 has a name that only looks so."""
     i = F.col("id")
-    return users_df.select(
-        "id",
-        F.when(i % 90 == 6, F.lit("dup")).otherwise(F.col("username")).alias("username"),
-        F.when(i % 50 == 3, F.lit("x")).otherwise(F.col("role")).alias("role"),
-        F.when(i % 60 == 4, F.lit(999).cast("bigint")).otherwise(F.col("team_id")).alias("team_id"),
-        "balance", "created_at")
+    name = (F.when(i % 37 == 5, F.concat(F.lit("test_"), i.cast("string"))).when(i % 41 == 6, F.concat(F.lit("Test_"), i.cast("string")))
+            .when(i % 43 == 7, F.lit("test")).otherwise(F.col("username")))
+    return t.with_(users=t.users.withColumn("username", name))
+
+
+def with_unsold(t: Tables) -> Tables:
+    """The tables without the orders, donations and inventory of every third product, bar one trace of some: products that may go."""
+    pid = F.col("product_id")
+    return t.with_(orders=t.orders.filter((pid % 3 != 1) | (pid % 5 == 0)), donations=t.donations.filter((pid % 3 != 1) | (pid % 7 == 0)),
+                   team_inventory=t.team_inventory.filter((pid % 3 != 1) | (pid % 13 == 0)))
 
 
 def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ the test table it is built from.
 
 from __future__ import annotations
 
+from coffer.sources.fixtures import DAMAGE
+
 FIXTURE = r"""
 WITH
 users AS (
@@ -360,6 +362,18 @@ FROM team_inventory ti JOIN products p ON ti.product_id = p.id WHERE ti.quantity
 ORACLE["lookup_user"] = _q("""
 SELECT r.request_id, r.user_id, u.username, u.role, u.team_id, u.balance
 FROM redemption_requests r LEFT JOIN users u ON u.id = r.user_id""")
+ORACLE["login_lookup"] = _q("""
+SELECT r.request_id, r.username, u.id AS user_id, u.role, u.team_id,
+       (SELECT name FROM teams WHERE teams.id = u.team_id) AS team_name, u.balance,
+       CASE WHEN coalesce(r.username, '') = '' THEN 'username_required' WHEN u.id IS NULL THEN 'unknown' END AS reason
+FROM user_requests r LEFT JOIN (SELECT * FROM users WHERE username <> '') u USING (username)""")
+ORACLE["test_ledger_rows_named"] = _q(r"""
+, called AS (
+  SELECT id, team_id, CASE WHEN id % 37 = 5 THEN 'test_' || id WHEN id % 41 = 6 THEN 'Test_' || id WHEN id % 43 = 7 THEN 'test' ELSE username END AS nick
+  FROM users)
+SELECT c.team_id, t.name AS team_name, nick AS leader_name, tr.id AS transaction_id, tr.type, tr.amount, tr.description, tr.created_at
+FROM called c JOIN teams t ON t.id = c.team_id JOIN transactions tr ON tr.user_id = c.id
+WHERE regexp_matches(nick, '^test.') OR starts_with(tr.description, 'Test')""")
 ORACLE["donation_targets"] = _q("""
 SELECT r.request_id, r.user_id, u.team_id AS donor_team_id, r.recipient_team_id, t.name AS recipient_name,
        COALESCE(t.id IS NOT NULL AND t.id <> u.team_id, false) AS is_valid_target
@@ -373,63 +387,69 @@ SELECT r.request_id, r.user_id, r.product_id, u.balance, p.price, p.stock_quanti
        u.balance >= p.price AS can_afford
 FROM store_requests r JOIN users u ON u.id = r.user_id JOIN products p ON p.id = r.product_id""")
 
-# --- checks (on users with damaged rows mixed in) --------------------------------
-DAMAGED = """
-, dusers AS (
-  SELECT id, CASE WHEN id % 90 = 6 THEN 'dup' ELSE username END AS username,
-         CASE WHEN id % 50 = 3 THEN 'x' ELSE role END AS role,
-         CASE WHEN id % 60 = 4 THEN CAST(999 AS BIGINT) ELSE team_id END AS team_id, balance, created_at
-  FROM users)
-"""
-_REQUIRED = [("users", "dusers", ["username", "role"]), ("teams", "teams", ["name"]),
-             ("products", "products", ["name", "price"]),
-             ("orders", "shop_orders", ["user_id", "team_id", "product_id", "total_price"]),
-             ("transactions", "transactions", ["user_id", "type", "amount"]),
-             ("money_codes", "money_codes", ["code", "amount"]),
-             ("team_inventory", "team_inventory", ["team_id", "product_id", "quantity", "obtained_from"]),
-             ("donations", "donations", ["donor_id", "donor_team_id", "recipient_team_id", "product_id", "amount",
+# --- checks (on tables with damaged rows mixed in) --------------------------------
+DAMAGED = "".join(
+    f", d{name} AS (SELECT * REPLACE ({', '.join(f'{sql} AS {col}' for col, sql in by.items())}) FROM {'shop_orders' if name == 'orders' else name})"
+    for name, by in DAMAGE.items()) + "\n"
+_REQUIRED = [("users", "dusers", ["username", "role"]), ("teams", "dteams", ["name"]),
+             ("products", "dproducts", ["name", "price"]),
+             ("orders", "dorders", ["user_id", "team_id", "product_id", "total_price"]),
+             ("transactions", "dtransactions", ["user_id", "type", "amount"]),
+             ("money_codes", "dmoney_codes", ["code", "amount"]),
+             ("team_inventory", "dteam_inventory", ["team_id", "product_id", "quantity", "obtained_from"]),
+             ("donations", "ddonations", ["donor_id", "donor_team_id", "recipient_team_id", "product_id", "amount",
                                          "quantity"])]
 ORACLE["check_not_null"] = _q(DAMAGED + " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
     f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM {src}"
     for name, src, cols in _REQUIRED for c in cols))
 _DOMAIN = [("users", "dusers", "role", "'admin', 'team_leader', 'participant'"),
-           ("orders", "shop_orders", "status", "'pending', 'verified', 'cancelled'"),
-           ("transactions", "transactions", "type",
+           ("orders", "dorders", "status", "'pending', 'verified', 'cancelled'"),
+           ("transactions", "dtransactions", "type",
             "'earn', 'purchase', 'donation_sent', 'donation_received', 'admin_adjustment'"),
-           ("team_inventory", "team_inventory", "obtained_from", "'purchase', 'donation'")]
+           ("team_inventory", "dteam_inventory", "obtained_from", "'purchase', 'donation'")]
 ORACLE["check_domain"] = _q(DAMAGED + " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
     f"CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) AS BIGINT) AS bad_count FROM {src}"
     for name, src, c, vals in _DOMAIN))
 ORACLE["check_unique"] = _q(DAMAGED + """
 SELECT 'users' AS table_name, 'username' AS key_columns, username AS key_value, CAST(count(*) AS BIGINT) AS dup_count
-FROM dusers GROUP BY username HAVING count(*) > 1
+FROM dusers WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
 UNION ALL
-SELECT 'teams', 'name', name, count(*) FROM teams GROUP BY name HAVING count(*) > 1
+SELECT 'teams', 'name', name, count(*) FROM dteams WHERE name IS NOT NULL GROUP BY name HAVING count(*) > 1
 UNION ALL
-SELECT 'money_codes', 'code', code, count(*) FROM money_codes GROUP BY code HAVING count(*) > 1
+SELECT 'money_codes', 'code', code, count(*) FROM dmoney_codes WHERE code IS NOT NULL GROUP BY code HAVING count(*) > 1
 UNION ALL
-SELECT 'team_inventory', 'team_id,product_id',
-       COALESCE(CAST(team_id AS VARCHAR), 'NULL') || '|' || COALESCE(CAST(product_id AS VARCHAR), 'NULL'), count(*)
-FROM team_inventory GROUP BY team_id, product_id HAVING count(*) > 1""")
-_FK = [("users", "dusers", "team_id", "teams", "teams"), ("teams", "teams", "leader_id", "users", "dusers"),
-       ("orders", "shop_orders", "user_id", "users", "dusers"), ("orders", "shop_orders", "team_id", "teams", "teams"),
-       ("orders", "shop_orders", "product_id", "products", "products"),
-       ("transactions", "transactions", "user_id", "users", "dusers"),
-       ("money_codes", "money_codes", "used_by", "users", "dusers"),
-       ("team_inventory", "team_inventory", "team_id", "teams", "teams"),
-       ("team_inventory", "team_inventory", "product_id", "products", "products"),
-       ("donations", "donations", "donor_id", "users", "dusers"),
-       ("donations", "donations", "recipient_id", "users", "dusers"),
-       ("donations", "donations", "donor_team_id", "teams", "teams"),
-       ("donations", "donations", "recipient_team_id", "teams", "teams"),
-       ("donations", "donations", "product_id", "products", "products")]
+SELECT 'team_inventory', 'team_id,product_id', CAST(team_id AS VARCHAR) || '|' || CAST(product_id AS VARCHAR), count(*)
+FROM dteam_inventory WHERE team_id IS NOT NULL AND product_id IS NOT NULL GROUP BY team_id, product_id HAVING count(*) > 1""")
+_FK = [("users", "dusers", "team_id", "teams", "dteams"), ("teams", "dteams", "leader_id", "users", "dusers"),
+       ("orders", "dorders", "user_id", "users", "dusers"), ("orders", "dorders", "team_id", "teams", "dteams"),
+       ("orders", "dorders", "product_id", "products", "dproducts"),
+       ("transactions", "dtransactions", "user_id", "users", "dusers"),
+       ("money_codes", "dmoney_codes", "used_by", "users", "dusers"),
+       ("team_inventory", "dteam_inventory", "team_id", "teams", "dteams"),
+       ("team_inventory", "dteam_inventory", "product_id", "products", "dproducts"),
+       ("donations", "ddonations", "donor_id", "users", "dusers"),
+       ("donations", "ddonations", "recipient_id", "users", "dusers"),
+       ("donations", "ddonations", "donor_team_id", "teams", "dteams"),
+       ("donations", "ddonations", "recipient_team_id", "teams", "dteams"),
+       ("donations", "ddonations", "product_id", "products", "dproducts")]
 ORACLE["check_foreign_keys"] = _q(DAMAGED + " UNION ALL ".join(
     f"SELECT '{child}' AS child_table, '{c}' AS column_name, '{parent}' AS parent_table, "
     f"CAST(count(*) AS BIGINT) AS orphan_count FROM {csrc} x "
     f"WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {psrc} p WHERE p.id = x.{c})"
     for child, csrc, c, parent, psrc in _FK))
+_KEYS = [("users", "dusers", "username"), ("teams", "dteams", "name"), ("money_codes", "dmoney_codes", "code"),
+         ("team_inventory", "dteam_inventory", "team_id,product_id")]
+ORACLE["rule_violations"] = _q(DAMAGED + " UNION ALL ".join(
+    [f"SELECT 'not_null' AS rule, '{name}' AS table_name, '{c}' AS column_names, CAST(NULL AS VARCHAR) AS parent_table, "
+     f"(SELECT CAST(count(*) AS BIGINT) FROM {src} WHERE {c} IS NULL) AS violations" for name, src, cols in _REQUIRED for c in cols]
+    + [f"SELECT 'domain', '{name}', '{c}', NULL, (SELECT count(*) FROM {src} WHERE {c} NOT IN ({vals}))" for name, src, c, vals in _DOMAIN]
+    + [f"SELECT 'unique', '{name}', '{cols}', NULL, (SELECT count(*) FROM (SELECT {cols} FROM {src} "
+       f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols.split(','))} GROUP BY ALL HAVING count(*) > 1))"
+       for name, src, cols in _KEYS]
+    + [f"SELECT 'foreign_key', '{child}', '{c}', '{parent}', (SELECT count(*) FROM {csrc} x LEFT JOIN {psrc} p ON p.id = x.{c} "
+       f"WHERE p.id IS NULL AND x.{c} IS NOT NULL)" for child, csrc, c, parent, psrc in _FK]))
 ORACLE["leader_status"] = _q("""
 , labels(fits, status) AS (VALUES (true, '✅ OK'), (false, '⚠️ Leader role mismatch')),
 led AS (SELECT t.id, t.name, t.leader_id, w.username, w.role, coalesce(w.role = 'team_leader', true) AS fits
@@ -458,6 +478,7 @@ FROM (SELECT id, name, price, stock_quantity,
 # --- set-based jobs -----------------------------------------------------------------
 ORACLE["inventory_state"] = _q("SELECT * FROM team_inventory")
 ORACLE["inventory_upsert"] = ORACLE["inventory_state"]
+ORACLE["inventory_upsert_stored"] = ORACLE["inventory_state"]
 ORACLE["sync_leaders"] = _q("""
 , claims AS (
   SELECT team_id, id AS user_id, 1 AS turn FROM users WHERE role = 'team_leader'
@@ -539,6 +560,19 @@ ORACLE["delete_products"] = _q("""
            FROM products p WHERE NOT p.is_active)
 SELECT id AS product_id, NOT referenced AS deleted, CASE WHEN referenced THEN 'referenced' END AS reason FROM refd""")
 
+ORACLE["delete_unsold_products"] = _q("""
+, kept AS (
+  SELECT product_id FROM shop_orders WHERE product_id % 3 <> 1 OR product_id % 5 = 0
+  UNION SELECT product_id FROM donations WHERE product_id % 3 <> 1 OR product_id % 7 = 0
+  UNION SELECT product_id FROM team_inventory WHERE product_id % 3 <> 1 OR product_id % 13 = 0)
+SELECT id AS product_id, id NOT IN (SELECT product_id FROM kept) AS deleted,
+       CASE WHEN id IN (SELECT product_id FROM kept) THEN 'referenced' END AS reason
+FROM products WHERE is_active = false""")
+ORACLE["reset_store"] = _q("""
+SELECT 'users' AS table_name, count(*) AS row_count FROM users WHERE role = 'admin'
+UNION ALL SELECT 'teams', count(*) FROM teams
+UNION ALL SELECT unnest(['products', 'orders', 'transactions', 'money_codes', 'team_inventory', 'donations']), CAST(0 AS BIGINT)""")
+
 REDEEM = """
 , rq AS (
   SELECT r.*, (r.code IS NOT NULL AND r.code <> '') AS given,
