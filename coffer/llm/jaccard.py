@@ -22,6 +22,10 @@ the same for all sets, with every set it links to.
    prefix). The host's overlap with a node's prefix is counted once for all sets below, and a subtree is left as soon
    as the overlap so far plus what the remaining lengths allow can't reach the threshold. Hosts with many partners are
    split into chunks of bounded size.
+5. ``degrees``: every link lies inside a component, so the links of a text are counted there. A component is cut into
+   blocks of bounded size; two blocks meet in a group of their own if they share a prefix shingle, and all overlaps of
+   their sets come from one product of matrices. Counts come back, no pairs: a group of thousands of near copies, all
+   linked with each other, gives a row for each set and meeting of blocks.
 
 Edge cases: null or empty texts have no shingles, link with nothing and are their own component; a text of fewer words
 than ``k`` is one shingle; repeated rows and equal texts share a component; one text of any length is handled in one
@@ -57,6 +61,9 @@ PARITY_WORDS = 8
 #: Sets of one shingle that a task meets at once, and meetings of a task on average.
 SLICE_ROWS = 256
 TASK_MEETINGS = 2_000_000
+#: Sets of a block on average, and the blocks' columns (shingles) that are multiplied at once.
+BLOCK_SETS = 512
+COLUMNS = 4096
 
 
 def _prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -379,8 +386,9 @@ def _sliced(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x.repartition(parts, "token", "slice").alias("x"), y.repartition(parts, "token", "slice").alias("y")
 
 
-def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Enough links ``a, b`` between the vertices of ``rows`` (a written table of ``fingerprints``) to join every component."""
+def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Enough links ``a, b`` between the vertices of ``rows`` (a written table of ``fingerprints``) to join every component,
+    with the sets (``_sets_of``) and the prefix rows of the vertices that may link."""
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     prefix = materialize(prefixes(docs, k, num, den, total), "jaccard-prefix")
     several = prefix.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
@@ -422,26 +430,131 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     done = first.select(F.least("host", "partner").alias("host"), F.greatest("host", "partner").alias("partner"))
     rest = materialize(_pairs(rest).join(done, ["host", "partner"], "left_anti"), "jaccard-rest")
     more = materialize(verify(rest, sets, num, den), "jaccard-more")
-    return found.unionByName(more)
-
-
-def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of every row of ``docs``; ``n_links`` counts the links that joined its set."""
+    return found.unionByName(more), sets, prefix
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each set of ``y``."""
+    held = x + y
+    token = np.unique(np.concatenate(held), return_inverse=True)[1]
+    who = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    left = who < len(x)
+    df = [np.bincount(token[at], minlength=token.max() + 1) for at in (left, ~left)]
+    # shingles with the same holders are one column, as heavy as they are many; holders told apart by sums of random words
+    word = mix(np.arange(1, len(held) + 1, dtype=np.uint64))
+    order = np.argsort(token, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    holders = np.add.reduceat(word[who[order]], begin)
+    both = np.flatnonzero((df[0] > 0) & (df[1] > 0))
+    _, first, weight = np.unique(holders[both], return_index=True, return_counts=True)
+    column = np.full(len(begin), -1)
+    column[both[first]] = np.arange(len(first))
+    col = column[token]
+    out = np.zeros((len(x), len(y)))
+    for at in range(0, len(first), COLUMNS):
+        wide = min(COLUMNS, len(first) - at)
+        here = (col >= at) & (col < at + wide)
+        m = np.zeros((len(held), wide), dtype=np.float32)
+        m[who[here], col[here] - at] = 1
+        out += (m[:len(x)] * weight[at: at + wide].astype(np.float32)) @ m[len(x):].T
+    return out
+
+
+def degrees(label: DataFrame, sets: DataFrame, prefix: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """``fp, links``: with how many rows of other sets each set of the components ``label`` (``vertex, component``) links;
+    ``copies`` (``fp, copies``) are the rows of a set, ``prefix`` the prefix rows of all sets that may link."""
+    # a little wider than the sizes of linked sets can differ, so that they lie in neighbouring bands in spite of rounding
+    step = 1.001 * float(np.log(den / num)) if num < den else 1.0
+    # as many blocks as members or shingles ask for; linked sets mostly have the same least shingle
+    cells = lambda: F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / CHUNK_ROWS))
+    s = sets.select("fp", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.xxhash64(F.expr("substring(shingles, 1, 8)")).alias("least")).alias("s")
+    l_ = label.alias("l")
+    members = materialize(s.join(l_, F.col("s.fp") == F.col("l.vertex")).select("fp", "n", "least", "component"), "jaccard-members")
+    large = members.groupBy("component").agg(cells().alias("cells"))
+    dealt = members.join(large, "component").select(
+        "fp", "n", "component", F.when(F.col("cells") > 1, F.floor(F.log("n") / step).cast("long")).otherwise(0).alias("band"), F.pmod("least", "cells").alias("cell"))
+    dealt = materialize(dealt, "jaccard-cells")
+    cut = dealt.groupBy("component", "band", "cell").agg(cells().alias("cuts"))
+    place = F.struct("component", "band", "cell", F.pmod(F.xxhash64("fp"), "cuts").alias("cut"))
+    block = materialize(dealt.join(cut, ["component", "band", "cell"]).select("fp", "component", "band", F.xxhash64(place).alias("block")), "jaccard-blocks")
+    # blocks of one component meet if a shingle is in a prefix on both sides and their sizes allow a link
+    p, b = prefix.select("token", "fp").alias("p"), block.alias("b")
+    several = block.groupBy("component").agg(F.count_distinct("block").alias("m")).filter("m > 1").select("component")
+    at = p.join(b.join(several, "component", "left_semi"), "fp").select("token", "component", "band", "block").distinct()
+    at = materialize(at, "jaccard-block-tokens")
+    x, y = at.alias("x"), at.alias("y")
+    met = (x.join(y, ["token", "component"]).filter((F.col("x.block") < F.col("y.block")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1))
+           .select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct())
+    met = materialize(met.unionByName(block.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()), "jaccard-block-pairs")
+    sides = met.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(
+        met.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
+    full = block.select("fp", "block").join(sets.select("fp", "shingles"), "fp").join(copies, "fp")
+    rows = full.join(sides, "block").select("a", "b", "side", "fp", "copies", "shingles").repartition("a", "b").sortWithinPartitions("a", "b", "side")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [])
+
+        def closed() -> tuple[list, list]:
+            x, y = held
+            if key is None or len(x) + len(y) < 2:
+                return [], []
+            other = y if key[0] != key[1] else x
+            size = [np.array([len(h) for _, _, h in side]) for side in (x, other)]
+            linked = (num + den) * _overlaps([h for _, _, h in x], [h for _, _, h in other]) >= num * (size[0][:, None] + size[1][None, :])
+            if other is x:
+                np.fill_diagonal(linked, False)
+            fp, n = [f for f, _, _ in x], (linked @ np.array([c for _, c, _ in other])).tolist()
+            if other is not x:
+                fp, n = fp + [f for f, _, _ in y], n + (np.array([c for _, c, _ in x]) @ linked).tolist()
+            return fp, n
+
+        for batch in batches:
+            fps, ns = [], []
+            for a, b, side, fp, c, s in zip(*[batch.column(i).to_pylist() for i in range(5)], batch.column(5)):
+                if (a, b) != key:
+                    f, n = closed()
+                    fps += f
+                    ns += n
+                    key, held = (a, b), ([], [])
+                held[side].append((fp, c, np.frombuffer(s.as_buffer(), dtype=np.uint64).copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ns, pa.int64())], names=["fp", "links"])
+        f, n = closed()
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(n, pa.int64())], names=["fp", "links"])
+
+    return rows.mapInArrow(count, "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """``fingerprints`` of ``docs``, and ``fp, component_id`` of their vertices, with ``n_links`` if asked, as written tables."""
     ship_package(docs.sparkSession)
     rows = materialize(fingerprints(docs, k), "jaccard-rows")
-    edges = materialize(links(docs, rows, k, num, den), "jaccard-edges")
-    label = materialize(components(edges), "jaccard-components")
-    degree = (edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links")))
-    one = rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    o, c, g = one.alias("o"), label.alias("c"), degree.alias("g")
-    vertex = (o.join(c, F.col("o.fp") == F.col("c.vertex"), "left").join(g, F.col("o.fp") == F.col("g.fp"), "left")
-              .select("o.fp", "least", F.coalesce("component", "o.fp").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    edges, sets, prefix = links(docs, rows, k, num, den)
+    label = materialize(components(materialize(edges, "jaccard-edges")), "jaccard-components")
+    one = rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    o, c = one.alias("o"), label.alias("c")
+    vertex = (o.join(c, F.col("o.fp") == F.col("c.vertex"), "left")
+              .select("o.fp", "least", "copies", F.coalesce("component", "o.fp").alias("component")))
     name = vertex.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(vertex.join(name, "component").select("fp", "component_id", "n_links"), "jaccard-named")
+    if not count_links:
+        return rows, materialize(vertex.join(name, "component").select("fp", "component_id"), "jaccard-named")
+    vertex = materialize(vertex, "jaccard-vertices")
+    v, g = vertex.alias("v"), degrees(label, sets, prefix, vertex.select("fp", "copies"), num, den).alias("g")
+    counted = v.join(g, F.col("v.fp") == F.col("g.fp"), "left").select(
+        "v.fp", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows, materialize(counted.join(name, "component").select("fp", "component_id", "n_links"), "jaccard-named")
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` of every row of ``docs``; ``n_links`` counts all other rows that it links with,
+    also those with the same set."""
+    return _joined(*_classes(docs, k, num, den, True)).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def _joined(rows: DataFrame, named: DataFrame) -> DataFrame:
     r, v = rows.alias("r"), named.alias("v")
     return r.join(v, F.col("r.fp") == F.col("v.fp"), "left").select(
         "r.doc_id", "r.n_shingles", F.when(F.col("r.fp").isNull(), F.col("r.doc_id")).otherwise(F.col("v.component_id")).alias("component_id"),
-        F.coalesce("v.n_links", F.lit(0)).alias("n_links"))
+        *[f"v.{c}" for c in named.columns if c == "n_links"])
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -450,7 +563,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     What goes is decided on narrow rows. Only the texts that may go, or whose id occurs twice, are shuffled; the others
     stay where they are read. User columns travel in one struct, so their names can't clash.
     """
-    decided = materialize(join(docs, k, num, den).groupBy("doc_id").agg(
+    decided = materialize(_joined(*_classes(docs, k, num, den, False)).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.expr("component_id <=> doc_id")).alias("kept")), "jaccard-decided")
     gone = materialize(decided.filter("NOT kept").select("doc_id"), "jaccard-gone")
     repeated = materialize(decided.filter("n > 1").select("doc_id"), "jaccard-repeated")

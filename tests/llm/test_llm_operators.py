@@ -116,6 +116,25 @@ def test_jaccard_join_finds_every_link(spark, seed, k, num, den):
     assert {d: x.component_id for d, x in got.items()} == want
 
 
+@pytest.mark.parametrize("block", [5, 512])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    r = random.Random(block)
+    base = [[f"w{r.randrange(5000)}" for _ in range(n)] for n in (40, 90, 300)]
+    rows = [(0, None), (1, ""), (2, "a"), (3, "A"), (4, "a")]
+    for i in range(5, 95):
+        w = list(base[i % 3])
+        for _ in range(r.randrange(0, 1 + len(w) // 30)):
+            w[r.randrange(len(w))] = f"z{r.randrange(30)}"
+        rows.append((i, " ".join(w[: int(len(w) * r.uniform(0.85, 1))])))
+    rows += [(100 + i, rows[5 + i][1]) for i in range(9)]
+    sets = {d: shingle_set(t, 4) for d, t in rows}
+    want = {d: sum(1 for e, s in sets.items() if e != d and s and 100 * len(a & s) >= 85 * len(a | s)) for d, a in sets.items()}
+    assert max(want.values()) > 9
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {x.doc_id: x.n_links for x in got} == want
+
+
 def test_prefix_tree_prunes_nothing_that_links():
     r = np.random.default_rng(5)
     pool = np.sort(r.choice(2**40, 400, replace=False)).astype(np.uint64)
