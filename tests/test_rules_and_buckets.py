@@ -145,3 +145,33 @@ def test_killed_upsert_leaves_the_last_version(spark, tmp_path, batches, monkeyp
     state.upsert(batches.filter("product_id % 2 = 1"))
     whole = sorted(map(str, rows(inventory.materialise(batches).select(state.read().columns))))
     assert sorted(map(str, rows(state.read()))) == whole
+
+
+def test_rule_report_holds_few_counts_a_key(spark, tmp_path):
+    fixtures.load_tables(spark, SF_SMALL).write_parquet(str(tmp_path / "snap"))
+    df = checks.rule_violations(Tables.read_parquet(spark, str(tmp_path / "snap")))
+    by_key = [x for x in _plan(df).split("\n\n") if "HashAggregate" in x and "Keys [2]: [space" in x]
+    assert by_key and all(x.split("Functions [")[1].split("]")[0] <= "8" for x in by_key)
+
+
+def test_many_lines_are_folded_by_as_many_tasks(spark, monkeypatch):
+    want = {name: rows(df) for name, df in fixtures.load_tables(spark, SF_SMALL).items() if name in ("orders", "donations", "team_inventory")}
+    monkeypatch.setattr(fixtures, "TASK_LINES", 100)
+    assert fixtures.tasks(spark, SF_SMALL) > 8
+    t = fixtures.load_tables(spark, SF_SMALL)
+    for name, held in want.items():
+        assert sorted(map(str, rows(getattr(t, name)))) == sorted(map(str, held))
+    assert "hashpartitioning(l_orderkey#" in _plan(t.orders) and f", {fixtures.tasks(spark, SF_SMALL)})" in _plan(t.team_inventory)
+
+
+def test_team_inventory_counts_equal_product_rows(spark):
+    from coffer.operators import inventory as inv_ops
+
+    p = (1, "p1", None, 3, "c", 9, 9, True, ts(0))
+    t = make_tables(spark, products=[p, p, (2, "p2", "d", 4, "c", 9, 9, True, ts(0))],
+                    team_inventory=[("a", 7, 1, 2, "purchase", "o1", ts(0)), ("b", 7, 1, 3, "donation", "0", ts(1)), ("c", 7, 2, 5, "purchase", "o2", ts(2)),
+                                    ("d", 7, 2, 0, "purchase", "o3", ts(3)), ("e", 7, 3, 1, "purchase", "o4", ts(3))])
+    df = inv_ops.team_inventory(t)
+    assert [(r["team_id"], r["product_id"], r["total_quantity"], r["entries_count"]) for r in rows(df)] == [(7, 1, 10, 2), (7, 2, 5, 1)]
+    # the products' texts aren't part of the entries' groups
+    assert "Keys [2]: [team_id" in _plan(df)
