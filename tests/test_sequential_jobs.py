@@ -342,3 +342,39 @@ def test_team_totals_survive_a_crash_in_mid_write(spark):
     fold.step = step
     fold.batch(t.transactions.filter("id % 2 = 1"), 1)
     assert rows(fold.close(spark).read("ranking").orderBy("position")) == rows(rankings.team_rankings(t).orderBy("position"))
+
+
+def test_admission_moves_rows_of_hot_keys_only(spark, monkeypatch):
+    """Without a hot user or product no range exchange runs; requests that the start can't serve enter no round."""
+    from coffer.plans import running
+
+    def moved(*_, **__):
+        raise AssertionError("rows were dealt by ranges")
+
+    monkeypatch.setattr(running, "add_chunk", moved)
+    monkeypatch.setattr(admit, "add_chunk", moved)
+    users = [(i, f"u{i}", "team_leader", 1, 0 if i % 4 == 0 else 30, ts(0)) for i in range(1, 41)]
+    teams = [(1, "t1", None, ts(0)), (2, "t2", None, ts(0))]
+    prods = [(i, f"p{i}", None, 3, "c", 9, 9, True, ts(0)) for i in range(1, 41)]
+    rnd = random.Random(3)
+    reqs = [(f"r{k:04d}", 1 + k % 40, "purchase", None, 1 + k // 2 % 40, rnd.choice([1, 2, 5, 50]), "", ts(k)) for k in range(240)]
+    t = make_tables(spark, users=users, teams=teams, products=prods)
+    req = spark.createDataFrame(reqs, STORE_REQ)
+    seen = []
+    real = admit._round
+    monkeypatch.setattr(admit, "_round", lambda w: (seen.append(w.count()), real(w))[1])
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=True, partitions=4)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req))
+    assert seen[0] == sum(r[5] <= 9 and 3 * r[5] <= (0 if r[1] % 4 == 0 else 30) for r in reqs)
+
+
+def test_hot_keys_are_cut_and_others_left(spark):
+    from coffer.plans.running import add_hot_chunk
+
+    df = spark.range(400).selectExpr("id AS request_id", "timestamp_seconds(id) AS requested_at", "IF(id % 2 = 0, -1L, id) AS k")
+    got = rows(add_hot_chunk(df, "k", "chunk", 6))
+    assert len(got) == 400 and {r["chunk"] for r in got if r["k"] != -1} == {-1}
+    hot = [r["chunk"] for r in sorted(got, key=lambda r: r["request_id"]) if r["k"] == -1]
+    assert hot == sorted(hot) and len(set(hot)) >= 4
+    assert add_hot_chunk(df.filter("k <> -1"), "k", "chunk", 6).columns == df.columns
