@@ -5,7 +5,7 @@ serves all documents. Documents of a Jaccard similarity of num/den or more link;
 
 1. ``rows``: one pass over the texts: size and digest of every set, and the ``PROBE`` smallest hashes. Equal sets are one vertex from here on.
 2. ``live``: the probe is a sketch too, and a prefix of the larger one. Sets of which fewer than the least probe overlap are held by any other set
-   drop out; they are most. Only the texts of live sets are read again, for their sketches and whole sets (sorted hashes).
+   drop out; they are most. Only the texts of live sets are read again, for their sketches. Whole sets are neither written nor moved.
 3. Inverted lists: each retained value's sets, rare values first. Two sets that link must share ``need`` values of their sketches,
    so each set enters the lists of its first ``size - need + 1`` values alone, and a pair is made at the first value that both enter. Values of one set and sets with too few
    shared values drop out; a value that a third of all texts hold comes last in every set's order.
@@ -14,7 +14,7 @@ serves all documents. Documents of a Jaccard similarity of num/den or more link;
    bits of their sketches allow the needed overlap, and those of their whole sets the similarity.
 5. The union-sketch estimate: of the smallest ``SKETCH`` values of two sketches' union, those that both hold. Pairs whose estimate is
    below ``need`` are dropped, as are those whose whole sets differ in more parity bits than linked sets can.
-6. The other pairs are verified on whole sets, host by host.
+6. The other pairs are verified on whole sets, host by host: their texts move, less than their hashes, and are hashed where they meet.
 
 Probability enters in steps 2, 3 and 5 alone: the overlap of a linked pair in the union sketch is a sum of at least num/den per draw.
 ``least_overlap`` takes the number that a pair at the threshold undercuts with a probability below ``MISS`` (1e-8), so a link is lost once in a
@@ -41,7 +41,7 @@ from .components import components
 from .hashing import mix, runs
 from .marks import Marks
 
-SKETCH, PROBE = 64, 16
+SKETCH, PROBE = 64, 32
 MISS = 1e-8
 #: 64-bit words of parity bits.
 WORDS = 8
@@ -97,38 +97,46 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
 def _shared(sets: DataFrame, values: str, k: int, num: int, den: int) -> DataFrame:
     """``token, fp, n, df`` of the values that several of ``sets`` (``fp, n`` and the array ``values``) hold, of sets that have enough of them."""
     each = sets.select("fp", "n", F.explode(values).alias("token"))
-    several = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    e, s = each.alias("e"), several.alias("s")
+    several = materialize(each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "sketch-several")
+    # most values are one set's alone: marks keep them out of the exchange, the join decides
+    e, s = Marks(several.select("token")).tell(each, F.col("token"), "known").filter("known").alias("e"), several.alias("s")
     held = e.join(s, F.col("e.token") == F.col("s.token")).select("e.token", "fp", "n", "df")
     enough = held.groupBy("fp", "n").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     return enough.filter(F.col("shared") >= _need(F.col("n"), k, num, den))
 
 
-def whole_sets(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
-    """``fp, n, shingles, sketch, sketch_parity, parity`` of the vertices in ``live`` (written: ``fp, doc_id`` of one text each, and
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the rows whose id is in the column ``doc_id`` of ``ids`` (written), and of a few others: a join decides."""
+    return Marks(ids.select("doc_id")).tell(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), "asked").filter("asked").select("doc_id", "text")
+
+
+def sketched(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """``fp, n, sketch, sketch_parity, parity`` of the vertices in ``live`` (written: ``fp, doc_id`` of one text each, and
     whether several rows have that id)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[] for _ in range(6)]
-            wanted = b.column(1).to_pylist()
-            for words in runs(b.column(0)):
+            cols, at = [[] for _ in range(5)], []
+            for words in runs(b.column(1)):
                 for i, h in words.sets(k):
-                    # rows that share an id bring other texts along: they are told by their digest
-                    if len(h) and (fp := _digest(h)) == wanted[i]:
+                    if len(h):
+                        at.append(i)
                         low = h[:SKETCH]
-                        for c, v in zip(cols, (fp, len(h), h.tobytes(), low.view(np.int64), _parity(low), _parity(h))):
+                        for c, v in zip(cols, (_digest(h), len(h), low.view(np.int64), _parity(low), _parity(h))):
                             c.append(v)
-            types = [pa.int64(), pa.int64(), pa.binary(), _LONGS, _LONGS, _LONGS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["fp", "n", "shingles", "sketch", "sketch_parity", "parity"])
+            types = [pa.int64(), pa.int64(), _LONGS, _LONGS, _LONGS]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))],
+                                             names=["doc_id", "fp", "n", "sketch", "sketch_parity", "parity"])
 
-    # most texts are not live: marks keep them out of the exchange, the merge join decides
-    d = docs.select(F.col("doc_id").cast("long"), "text")
-    d = Marks(live.select("doc_id")).tell(d, F.col("doc_id"), "live").filter("live").alias("d")
-    kept = "fp long, n long, shingles binary, sketch array<long>, sketch_parity array<long>, parity array<long>"
-    texts = lambda which: d.join(live.filter(which).select("fp", F.col("doc_id").alias("of")).hint("merge"), F.expr("d.doc_id <=> of")).select("d.text", "fp")
-    # only rows that share an id can repeat a text of one vertex, so only their sets need another exchange
-    return texts("NOT twice").mapInArrow(of, kept).unionByName(texts("twice").mapInArrow(of, kept).dropDuplicates(["fp"]))
+    def read(some: DataFrame) -> DataFrame:
+        return _texts(docs, some).mapInArrow(of, "doc_id long, fp long, n long, sketch array<long>, sketch_parity array<long>, parity array<long>")
+
+    once, twice = live.filter("NOT twice"), live.filter("twice")
+    out = read(once).join(once.select("fp", F.col("doc_id").alias("of")).alias("l").hint("merge"), "fp").filter("doc_id <=> of").drop("doc_id", "of")
+    if twice.isEmpty():
+        return out
+    # rows that share an id bring other texts along and may repeat one: they are told by their digest
+    return out.unionByName(read(twice).drop("doc_id").dropDuplicates(["fp"]).join(twice.select("fp").hint("merge"), "fp", "left_semi"))
 
 
 def _differ(bits: str) -> Column:
@@ -158,7 +166,9 @@ def lists(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def estimated(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``pairs`` (``host, partner``) that pass the union-sketch estimate and the parity of the whole sets, with the partner's size ``n``."""
-    p, x, y = pairs.alias("p"), sets.select("fp", "n", "sketch", "parity").alias("x"), sets.select("fp", "n", "sketch", "parity").alias("y")
+    # sets without a pair stay where they are
+    met = Marks(pairs.select(F.explode(F.array("host", "partner")).alias("fp"))).tell(sets.select("fp", "n", "sketch", "parity"), F.col("fp"), "met").filter("met").drop("met")
+    p, x, y = pairs.alias("p"), met.alias("x"), met.alias("y")
     # as merge joins at any size: pairs grow with the sets
     both = p.join(x.hint("merge"), F.col("p.host") == F.col("x.fp")).join(y.hint("merge"), F.col("p.partner") == F.col("y.fp"))
     union = F.slice(F.array_sort(F.array_union(F.transform("x.sketch", _unsigned), F.transform("y.sketch", _unsigned))), 1, SKETCH)
@@ -175,35 +185,48 @@ def _unsigned(v: Column) -> Column:
     return v.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links ``a, b`` among ``pairs`` (``host, partner, n``, written), by whole sets. A host's set is read once for each
+def verified(pairs: DataFrame, docs: DataFrame, live: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links ``a, b`` among ``pairs`` (``host, partner, n``, written) of vertices in ``live``, by whole sets. A host's text is read once for each
     chunk of its partners, and chunks have a bounded number of shingles."""
     load_of = pairs.groupBy("host").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("chunks"))
     dealt = pairs.join(load_of, "host").select("host", "partner", F.pmod(F.xxhash64("partner"), F.col("chunks")).alias("chunk"))
     none = F.lit(None).cast("long")
-    asked = dealt.select("host", "chunk", F.col("partner").alias("member"), F.col("partner").alias("of")).unionByName(
-        dealt.select("host", "chunk").distinct().select("host", "chunk", none.alias("member"), F.col("host").alias("of")))
-    asked = materialize(asked, "sketch-asked")
-    # one merge join fetches hosts and members; sets that nobody asks for stay where they are
-    s = Marks(asked.select("of")).tell(sets.select("fp", "shingles"), F.col("fp"), "asked").filter("asked").alias("s")
-    rows = asked.hint("merge").join(s, F.col("of") == F.col("s.fp")).select("host", "chunk", "member", "shingles")
+    asked = dealt.select("host", "chunk", F.col("partner").alias("member"), F.col("partner").alias("fp")).unionByName(
+        dealt.select("host", "chunk").distinct().select("host", "chunk", none.alias("member"), F.col("host").alias("fp")))
+    asked = materialize(asked.join(live.hint("merge"), "fp"), "sketch-asked")
+    once, twice = asked.filter("NOT twice"), asked.filter("twice")
+    # one merge join fetches hosts and members; texts that nobody asks for stay where they are
+    a, t = once.hint("merge").alias("a"), _texts(docs, once).alias("t")
+    rows = a.join(t, F.expr("a.doc_id <=> t.doc_id")).select("host", "chunk", "member", "text")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = [_digest(h) if len(h) else None for words in runs(b.column(1)) for _, h in words.sets(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), b.column(1)], names=["fp", "text"])
+
+    if not twice.isEmpty():
+        # of rows that share an id, as in ``sketched``
+        own = _texts(docs, twice).mapInArrow(told, "fp long, text string").filter("fp IS NOT NULL")
+        own = Marks(twice.select("fp")).tell(own, F.col("fp"), "asked").filter("asked").drop("asked").dropDuplicates(["fp"])
+        rows = rows.unionByName(twice.hint("merge").join(own, "fp").select("host", "chunk", "member", "text"))
     rows = rows.repartition("host", "chunk").sortWithinPartitions("host", "chunk", F.col("member").asc_nulls_first())
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, values = None, None
         for b in batches:
             a_out, b_out = [], []
-            for of, member, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                h = np.frombuffer(packed.as_buffer(), dtype=np.uint64)
-                if member is None:
-                    # the host comes first and stays while its members pass
-                    host, values = of, h.copy()
-                    continue
-                at = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                both = int((values[at] == h).sum())
-                if den * both >= num * (len(values) + len(h) - both):
-                    a_out.append(host)
-                    b_out.append(member)
+            of, members = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for words in runs(b.column(3)):
+                for i, h in words.sets(k):
+                    if members[i] is None:
+                        # the host comes first and stays while its members pass
+                        host, values = of[i], h.copy()
+                        continue
+                    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                    both = int((values[at] == h).sum())
+                    if den * both >= num * (len(values) + len(h) - both):
+                        a_out.append(host)
+                        b_out.append(members[i])
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(links, "a long, b long")
@@ -217,7 +240,7 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     twice = rows.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("doc_id").alias("of"), F.lit(True).alias("several"))
     live = one.select("fp", "doc_id").join(live.hint("merge"), "fp", "left_semi").join(twice.hint("merge"), F.expr("doc_id <=> of"), "left")
     live = materialize(live.select("fp", "doc_id", F.coalesce("several", F.lit(False)).alias("twice")), "sketch-live")
-    sets = materialize(whole_sets(docs, live, k), "sketch-sets")
+    sets = materialize(sketched(docs, live, k), "sketch-sets")
     entered = materialize(lists(sets, num, den), "sketch-lists")
 
     # of each list and size band, the set with most shared values stands for the others
@@ -229,7 +252,7 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     x, y = pivots.alias("x"), near.alias("y")
     first = x.join(y, ["token", "band"]).filter((F.col("x.fp") != F.col("y.fp")) & _sizes_allow(num, den)).select(F.col("x.fp").alias("host"), F.col("y.fp").alias("partner"))
     first = materialize(first.distinct(), "sketch-first")
-    found = materialize(verified(materialize(estimated(first, sets, num, den), "sketch-estimated"), sets, num, den), "sketch-links")
+    found = materialize(verified(materialize(estimated(first, sets, num, den), "sketch-estimated"), docs, live, k, num, den), "sketch-links")
 
     # what different classes still share
     e, c = entered.alias("e"), components(found).alias("c")
@@ -246,7 +269,7 @@ def links(docs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataF
     rest = rest.select(F.col("x.fp").alias("host"), F.col("y.fp").alias("partner"))
     done = first.select(F.least("host", "partner").alias("host"), F.greatest("host", "partner").alias("partner"))
     rest = materialize(rest.join(done, ["host", "partner"], "left_anti"), "sketch-rest")
-    more = materialize(verified(materialize(estimated(rest, sets, num, den), "sketch-estimated"), sets, num, den), "sketch-more")
+    more = materialize(verified(materialize(estimated(rest, sets, num, den), "sketch-estimated"), docs, live, k, num, den), "sketch-more")
     return found.unionByName(more)
 
 

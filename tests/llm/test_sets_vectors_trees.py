@@ -145,6 +145,52 @@ def test_sketch_classes_of_odd_rows(spark):
     assert sketches.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sketch_classes_of_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    base = [[f"w{r.randrange(900)}" for _ in range(n)] for n in (9, 30, 70, 200)]
+    rows = []
+    for i in range(160):
+        w = list(base[i % len(base)])
+        for _ in range(r.randrange(0, 1 + len(w) // 14)):
+            w[r.randrange(len(w))] = f"z{r.randrange(60)}"
+        rows.append((None if i % 5 == 0 else i // 3 if i % 2 else 1000 + i, " ".join(w)))
+    rows += rows[:40] + [(7, None), (7, "")]
+    got = collections.Counter(tuple(x) for x in sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100)
+                              .select("doc_id", "n_shingles", "component_id", "kept").collect())
+    sets = {j: shingles(t, 3) for j, (_, t) in enumerate(rows)}
+    members = collections.defaultdict(list)
+    for j, c in brute_classes(sets, 85, 100).items():
+        members[c].append(j)
+    want = collections.Counter()
+    for of in members.values():
+        least = min((rows[j][0] for j in of if rows[j][0] is not None), default=None)
+        want.update((rows[j][0], len(sets[j]), least, rows[j][0] == least) for j in of)
+    assert got == want
+
+
+def test_sketch_tables_hold_no_whole_sets_and_few_live_ones(spark, monkeypatch):
+    r = random.Random(5)
+    passages = [" ".join(f"p{i}.{j}" for j in range(14)) for i in range(12)]
+    # a quarter of a text's shingles are in other texts too, no two texts are near each other, but for twenty
+    rows = [(i, " ".join([f"u{i}.{j}" for j in range(110)] + r.sample(passages, 3))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"v{i % 10}.{j}" for j in range(400)) + f" end{i}") for i in range(20)]
+    tables = {}
+
+    def kept(df, name, **options):
+        tables.setdefault(name, []).append(materialize(df, name, **options))
+        return tables[name][-1]
+
+    monkeypatch.setattr(sketches, "materialize", kept)
+    got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert len({x.component_id for x in got}) == 310
+    assert {f.dataType.typeName() for of in tables.values() for t in of for f in t.schema} <= {"long", "integer", "double", "boolean", "array"}
+    for t in (t for of in tables.values() for t in of):
+        for f in t.schema:
+            if f.dataType.typeName() == "array":
+                assert (t.agg(F.max(F.size(f.name))).first()[0] or 0) <= sketches.SKETCH
+    assert 20 <= tables["sketch-live"][0].count() < 80
+
+
 def test_marks_lose_no_id(spark):
     ids = materialize(spark.range(0, 90_000, 3).select(F.col("id").alias("of")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS of")), "ids")
     told = Marks(ids).tell(spark.range(100_000).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id")), F.col("id"), "hit")
