@@ -378,3 +378,91 @@ def test_hot_keys_are_cut_and_others_left(spark):
     hot = [r["chunk"] for r in sorted(got, key=lambda r: r["request_id"]) if r["k"] == -1]
     assert hot == sorted(hot) and len(set(hot)) >= 4
     assert add_hot_chunk(df.filter("k <> -1"), "k", "chunk", 6).columns == df.columns
+
+
+def _plan(df) -> str:
+    import contextlib
+    import io
+
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+def _cold_store(spark, users=40, products=40, log=240, seed=5, leaders=1):
+    """Requests of many users for many products, none of them hot."""
+    rnd = random.Random(seed)
+    us = [(i, f"u{i}", "team_leader" if i % leaders == 0 else "participant", 1 + i % 2, rnd.choice([0, 20, 60]), ts(0)) for i in range(1, users + 1)]
+    teams = [(1, "t1", None, ts(0)), (2, "t2", None, ts(0))]
+    prods = [(i, f"p{i}", None, rnd.choice([1, 3]), "c", 9, 9, i % 9 != 0, ts(0)) for i in range(1, products + 1)]
+    t = make_tables(spark, users=us, teams=teams, products=prods)
+    reqs = [(f"r{k:04d}", rnd.randint(1, users + 1), rnd.choice(["purchase", "donate"]), rnd.choice([1, 2, 3, None]), rnd.randint(1, products + 1),
+             rnd.choice([1, 2, 5, 0]), "m", ts(rnd.randint(0, 30))) for k in range(log)]
+    return t, spark.createDataFrame(reqs, STORE_REQ)
+
+
+@pytest.mark.parametrize("guard", [True, False])
+@pytest.mark.parametrize("seed", range(2))
+def test_requests_stay_with_their_products(spark, seed, guard):
+    """Whole requests lie dealt by product: accepted ones are read there without an exchange of theirs, results move them once."""
+    t, req = _cold_store(spark, seed=seed)
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=guard, partitions=4)
+    got = {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)}
+    assert got == sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=guard)
+    assert {r["request_id"] for r in rows(a.granted)} == {k for k, v in got.items() if v[0]} != set()
+    # what goes by an exchange to be joined is the places won, not the requests
+    assert "Bucketed: true" in _plan(a.granted) and "Exchange hashpartitioning(request_id" not in _plan(a.granted)
+    moved = _plan(a.results.filter("user_id IS NOT NULL AND product_id IS NOT NULL"))
+    assert "Bucketed: true" in moved and moved.count("REPARTITION_BY_NUM") == 1
+
+
+def test_the_guard_bars_requests_before_they_go_to_their_products(spark, monkeypatch):
+    t, req = _cold_store(spark, leaders=8)
+    seen = []
+    real = admit.materialize_dealt
+    monkeypatch.setattr(admit, "materialize_dealt", lambda df, *more: (seen.append(df.count()), real(df, *more))[1])
+    a = admit.admit(t.users, t.products, t.teams, req, role_guard=True, partitions=4)
+    want = sequential.admission(rows(t.users), rows(t.products), rows(t.teams), rows(req), role_guard=True)
+    assert {r["request_id"]: (r["accepted"], r["reason"]) for r in rows(a.results)} == want
+    assert seen == [sum(v[1] != "forbidden" for v in want.values())] and seen[0] < 60
+
+
+def test_repeated_requests_and_users(spark):
+    """A request id stands for all requests that have it, whether or not the users' ids repeat too."""
+    t, req = _cold_store(spark, log=120)
+    twice = req.unionByName(req.limit(30))
+    key = lambda r: tuple(map(str, r.values()))
+    run = lambda users: admit.admit(users, t.products, t.teams, twice, role_guard=False, partitions=4)
+    one = run(t.users)
+    # a repeated user nobody buys for sends the same log through the chunks
+    other = run(t.users.unionByName(spark.createDataFrame([(999, "x", "participant", 1, 0, ts(0))] * 2, t.users.schema)))
+    assert sorted(rows(one.results), key=key) == sorted(rows(other.results), key=key)
+    assert sorted(rows(one.granted), key=key) == sorted(rows(other.granted), key=key)
+    assert one.results.count() > 150
+
+
+def test_hot_keys_are_found_without_moving_rows(spark):
+    from coffer.plans.running import has_hot_key
+
+    df = spark.range(400).selectExpr("id AS a", "IF(id % 2 = 0, -1L, id) AS b", "IF(id % 2 = 0, NULL, id) AS c")
+    assert not has_hot_key(df, ("a", "c"), 6) and has_hot_key(df, ("a", "b"), 6) and not has_hot_key(df.limit(0), ("a", "b"), 6)
+    assert not has_hot_key(spark.range(12).selectExpr("id % 12 AS k"), ("k",), 6) and has_hot_key(spark.range(12).selectExpr("id % 6 AS k"), ("k",), 6)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    import glob
+    import time
+
+    from coffer.session import materialize, shuffles_dropped
+
+    where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in where for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    df = spark.range(1000).repartition(3, "id")
+    before = files()
+    with shuffles_dropped(spark):
+        materialize(df, "dropped")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
